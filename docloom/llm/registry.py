@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, records, sharding
+from . import bpe, records, sharding, simhash, toxicity
 
 _ALL = {
+    "op1_toxicity": toxicity,
     "op3_token_records": records,
     "op4_byte_bpe": bpe,
+    "op6_simhash": simhash,
     "op7_sharding": sharding,
 }
 

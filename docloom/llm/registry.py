@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language, records, sharding, simhash, toxicity
+from . import bpe, decontaminate, language, records, sharding, simhash, toxicity
 
 _ALL = {
     "op1_toxicity": toxicity,
@@ -10,6 +10,7 @@ _ALL = {
     "op4_byte_bpe": bpe,
     "op6_simhash": simhash,
     "op7_sharding": sharding,
+    "op8_decontamination": decontaminate,
     "op10_language_id": language,
 }
 

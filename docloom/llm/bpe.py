@@ -127,31 +127,29 @@ def _long(rows: DataFrame, ranks_path: str, pattern: str, chunk: int, overlap: i
             yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(ks, pa.int32()), pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64())), pa.array(ends, pa.int64())], ["key", "k", "head", "tail", "upto"])
 
     def encode(batches):
-        for keys, ids, ks, starts, ends, pieces in rows_of(batches, "key", "doc_id", "k", "start", "end", "piece"):
-            coded = _encode([p[a - k * chunk : b - k * chunk] for k, a, b, p in zip(ks, starts, ends, pieces)], ranks_path, pattern)
-            yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(ks, pa.int32()), pa.array([x.tobytes() for x in coded], pa.binary())], ["key", "doc_id", "k", "ids"])
+        for keys, ids, ks, starts, ends, apart, pieces in rows_of(batches, "key", "doc_id", "k", "start", "end", "apart", "piece"):
+            # where the text can't be stitched, its own characters go on instead of ids
+            part = ["" if x else p[a - k * chunk : b - k * chunk] for x, k, a, b, p in zip(apart, ks, starts, ends, pieces)]
+            coded = [p[:chunk].encode() if x else c.tobytes() for x, c, p in zip(apart, _encode(part, ranks_path, pattern), pieces)]
+            yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(ks, pa.int32()), pa.array(apart), pa.array(coded, pa.binary())], ["key", "doc_id", "k", "apart", "coded"])
 
     def gather(pdf):
         copies, i = int((pdf["k"] == 0).sum()), pdf["doc_id"].iloc[0]
-        ids = b"".join(pdf.drop_duplicates("k").sort_values("k")["ids"])
+        ids = b"".join(pdf.drop_duplicates("k").sort_values("k")["coded"])
+        if pdf["apart"].iloc[0]:
+            ids = next(_encode([ids.decode()], ranks_path, pattern)).tobytes()
         x = np.frombuffer(ids, "<u4")
         i = None if i is None or i != i else int(i)
         return _batch([i] * copies, [len(x)] * copies, [ids] * copies, [decode(x, ranks_path, pattern)] * copies, digest).to_pandas()
 
-    def keyed(batches):
-        for ids, texts in rows_of(batches, "doc_id", "text"):
-            yield pa.record_batch([pa.array([key_of(i, t) for i, t in zip(ids, texts)], pa.binary()), pa.array(ids, pa.int64()), pa.array(texts)], ["key", "doc_id", "text"])
-
     chunks = rows.mapInArrow(cut, "key binary, doc_id long, k int, last int, piece string").repartition(partitions(rows), "key", "k")
     marks = chunks.mapInArrow(mark, "key binary, k int, head array<long>, tail array<long>, upto long").dropDuplicates(["key", "k"])
     order, every = Window.partitionBy("key").orderBy("k"), Window.partitionBy("key")
     meet = F.array_min(F.array_intersect(F.lag("tail").over(order), "head"))
     starts = marks.select("key", "k", "upto", F.when(F.col("k") == 0, F.lit(0).cast("long")).otherwise(meet).alias("start"))
     stitches = starts.select("key", "k", "start", F.coalesce(F.lead("start").over(order), "upto").alias("end"), F.max(F.col("start").isNull()).over(every).alias("apart"))
-    coded = chunks.join(stitches.where("not apart").drop("apart"), ["key", "k"]).mapInArrow(encode, "key binary, doc_id long, k int, ids binary")
-    odd = stitches.where("apart and k = 0").select("key")
-    whole = rows.mapInArrow(keyed, "key binary, doc_id long, text string").join(odd, "key", "left_semi")
-    return coded.groupBy("key").applyInPandas(gather, out).unionByName(whole.select("doc_id", "text").mapInArrow(_whole(ranks_path, pattern, digest), out))
+    coded = chunks.join(stitches, ["key", "k"]).mapInArrow(encode, "key binary, doc_id long, k int, apart boolean, coded binary")
+    return coded.groupBy("key").applyInPandas(gather, out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

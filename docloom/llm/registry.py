@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, records, sharding, simhash, toxicity
+from . import bpe, chat, decontaminate, language, records, sharding, simhash, toxicity
 
 _ALL = {
     "op1_toxicity": toxicity,
@@ -11,6 +11,7 @@ _ALL = {
     "op6_simhash": simhash,
     "op7_sharding": sharding,
     "op8_decontamination": decontaminate,
+    "op9_chat_format": chat,
     "op10_language_id": language,
 }
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, language, records, sharding, simhash, toxicity
+from . import ann, bpe, chat, decontaminate, language, records, sharding, simhash, toxicity
 
 _ALL = {
     "op1_toxicity": toxicity,
     "op3_token_records": records,
     "op4_byte_bpe": bpe,
+    "op5_nearest_neighbours": ann,
     "op6_simhash": simhash,
     "op7_sharding": sharding,
     "op8_decontamination": decontaminate,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, decontaminate, language, records, sharding, simhash, toxicity
+from . import ann, bpe, chat, decontaminate, language, records, sharding, simhash, substrings, toxicity
 
 _ALL = {
     "op1_toxicity": toxicity,
+    "op2_substring_dedup": substrings,
     "op3_token_records": records,
     "op4_byte_bpe": bpe,
     "op5_nearest_neighbours": ann,

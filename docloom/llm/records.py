@@ -22,9 +22,11 @@ Null text counts as empty: only the end id. Repeated doc_ids keep an order by te
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ END_ID = 2
 #: Words kept per process; beyond it the store starts anew.
 WORDS_KEPT = 1_000_000
 MASK = 0xA282EAD8
+#: Letters, then marks: two pre-tokens at least, which meet where the letters end (an apostrophe may take letters along).
+TAIL = re.compile(r"([^\W\d_]+)([^\w\s']+)")
 MANIFEST = "file string, first_doc long, first_text_crc long, n_records long, n_tokens long, width int"
 RECORDS = "doc_id long, start long, n_tokens long, ids binary"
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
@@ -71,65 +75,84 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        #: True for the ids that end a pre-token
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start: list[int] = []
-        self.n: list[int] = []
-
-    def _add(self, word: str, ids: np.ndarray) -> None:
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+        self.start, self.n, self.mark = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, bool)
+
+    def _add(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        base = len(self.place)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while base + len(words) > len(self.start):
+            self.start, self.n, self.mark = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.n, self.mark))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.place[word] = len(self.start)
-        self.start.append(self.used)
-        self.n.append(len(ids))
+        self.start[base : base + len(words)] = self.used + np.cumsum(n) - n
+        self.n[base : base + len(words)] = n
+        self.place.update(zip(words, range(base, base + len(words))))
         self.used += len(ids)
 
-    def _ids(self, word: str) -> np.ndarray:
-        i = self.place[word]
-        return self.flat[self.start[i] : self.start[i] + self.n[i]]
-
     def learn(self, words: set[str]) -> None:
-        """Encodes words not seen yet. A comma or full stop after a letter is a pre-token of its own, and case is
-        dropped, so such words share the ids of their plain form."""
+        """Encodes words not seen yet. One of letters only is one pre-token, so many go through one call and part at
+        the ids that end a pre-token."""
         if len(self.place) > WORDS_KEPT:
             self.clear()
         new = [w for w in words if w not in self.place]
-        cores = {self._core(w) for w in new}
-        plain = [c for c in {".", ",", *cores} if c not in self.place]
-        for at in range(0, len(plain), 4_096):
-            part = plain[at : at + 4_096]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, np.uint32)
-            # a token lies in the word in which its first character stands
-            begins = np.cumsum([0, *(len(c) + 1 for c in part)])
-            first = np.searchsorted(np.array([a for a, _ in found.offsets], np.int64), begins)
-            for c, a, b in zip(part, first, first[1:]):
-                self._add(c, ids[a:b])
-        for w in new:
-            if w not in self.place:
-                core = self._core(w)
-                ids = self._ids(core)
-                self._add(w, ids if len(core) == len(w) else np.concatenate([ids, self._ids(w[-1])]))
-
-    @staticmethod
-    def _core(word: str) -> str:
-        bare = word[:-1] if len(word) > 1 and word[-1] in ",." and word[-2].isalpha() else word
-        return bare.lower() if bare.isascii() and bare.isalpha() else bare
+        odd = [w for w in new if not w.isalpha()]
+        tails = {w: m.groups() for w in odd if (m := TAIL.fullmatch(w))}
+        letters = [w for w in {*new, *(a for a, _ in tails.values())} if w.isalpha() and w not in self.place]
+        for at in range(0, len(letters), 8_192):
+            part = letters[at : at + 8_192]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):  # letters that change when composed: one by one
+                self._single(part)
+            else:
+                self._add(part, ids, np.diff(ends, prepend=0))
+        self._single(list({w for w in odd if w not in tails} | {b for _, b in tails.values() if b not in self.place}))
+        both = [w for w in tails if w not in self.place]
+        places = np.array([[self.place[x] for x in tails[w]] for w in both], np.int64).reshape(-1)
+        n, base = self.n[places], len(self.place)
+        self._add(both, self.flat[ragged(self.start[places], n)], n.reshape(-1, 2).sum(1))
+        self.mark[base : base + len(both)] = True
+
+    def _single(self, words: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
+        base = len(self.place)
+        self._add(words, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
+        self.mark[base : base + len(words)] = [w in (",", ".") or (w != "" and not w[-1].isalnum()) for w in words]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each text has."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [_plain(t).split(" ") for t in texts]
+        words, ends = self._places(split)
+        # a mark parted from the mark before it was one pre-token with it: such texts are split at blanks alone
+        pair = np.flatnonzero(self.mark[words[1:]] & self.mark[words[:-1]])
+        if len(pair):
+            for i in np.unique(np.searchsorted(ends, pair, side="right") - 1):
+                split[i] = texts[i].split(" ")
+            words, ends = self._places(split)
+        n = self.n[words]
+        ids = self.flat[ragged(self.start[words], n)]
+        return ids, np.add.reduceat(n, ends[:-1])
+
+    def _places(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         self.learn(set().union(*split))
-        place = self.place
-        words = np.fromiter((place[w] for s in split for w in s), np.int64, sum(map(len, split)))
-        n = np.array(self.n, np.int64)[words]
-        ids = self.flat[ragged(np.array(self.start, np.int64)[words], n)]
         ends = np.cumsum([0, *map(len, split)])
-        return ids, np.add.reduceat(np.append(n, 0), ends[:-1]) if len(texts) else n
+        return np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, ends[-1]), ends
+
+
+def _plain(text: str) -> str:
+    """The text in lower case, its line breaks as blanks and its commas and full stops parted from the word before
+    them: all of this leaves the ids as they are, and leaves fewer different words to encode."""
+    text = f"{text} ".replace("\n", " ").replace(", ", " , ").replace(". ", " . ")
+    return text.lower() if text.isascii() or not ("\u0130" in text or "\u03a3" in text) else text
 
 
 @functools.cache

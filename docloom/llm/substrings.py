@@ -203,11 +203,12 @@ def _locate_hot(pdf: pd.DataFrame, confirmed: pd.DataFrame) -> pd.DataFrame:
 
 
 def repeated(docs: DataFrame, shard: int = SHARD) -> DataFrame:
-    """doc_id, text, spans of each row of ``docs``: spans is an array of struct<key, start, stop> of repeated words, in
-    which key tells rows with equal doc_id apart; null if there are none."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """doc_id, text, rest (struct of the other columns), spans of each row of ``docs``: spans is an array of struct<key,
+    start, stop> of repeated words, in which key tells rows with equal doc_id apart; null if there are none."""
+    others = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*others, F.lit(0).alias("docloom_end")).alias("rest"))
     n = partitions(docs)
-    marks = rows.where("doc_id is not null").mapInArrow(_anchored, "h long, doc_id long")
+    marks = rows.where("doc_id is not null").select("doc_id", "text").mapInArrow(_anchored, "h long, doc_id long")
     counted = marks.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     recurring = materialise(counted.where("first < last").select("h", "first"), "recurring-anchors")
     found = materialise(marks.join(recurring, "h").select("doc_id", "h", "first"), "anchored")
@@ -255,21 +256,29 @@ def digests(docs: DataFrame) -> DataFrame:
             n = [m for _, m in found]
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array([m - len(k) for k, m in found], pa.int64()), pa.array([hashlib.sha256(b" ".join(k)).hexdigest() for k, _ in found])], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return repeated(docs).mapInArrow(work, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return repeated(docs.select("doc_id", "text")).mapInArrow(work, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """doc_id, text of each row: a text that loses words is what is left of it, joined by blanks; others stay as they are."""
+    """``docs`` with each text that loses words replaced by what is left of it, joined by blanks; n_chars, where there
+    is such a column, follows."""
 
     def work(batches):
-        for ids, texts, spans in rows_of(batches, "doc_id", "text", "spans"):
-            out = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            (texts, spans), out = next(rows_of([b], "text", "spans")), []
             for t, s in zip(texts, spans):
                 kept, n = _kept(t, s)
                 out.append(t if len(kept) == n else b" ".join(kept).decode())
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["doc_id", "text"])
-
-    return repeated(docs).mapInArrow(work, "doc_id long, text string")
+            at = b.schema.names.index
+            yield pa.record_batch([b.column(at("doc_id")), pa.array(out, pa.string()), b.column(at("rest"))], ["doc_id", "text", "rest"])
+
+    found = repeated(docs)
+    kept = found.drop("spans")
+    out = found.mapInArrow(work, kept.schema)
+    columns = [F.col(c) if c in ("doc_id", "text") else F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("rest").getField(c).alias(c) for c in docs.columns]
+    return out.select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

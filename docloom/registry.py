@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+MODULES = ("text", "access")
 
 
 def query(name: str, sql: str | None = None):
@@ -25,7 +27,9 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    pass
+    """Imports the modules that register queries."""
+    for name in MODULES:
+        importlib.import_module(f"docloom.plans.{name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

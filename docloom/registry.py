@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("text", "access")
+MODULES = ("text", "access", "retrieval")
 
 
 def query(name: str, sql: str | None = None):

@@ -14,6 +14,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Events that close a document's progress.
 TERMINAL = ("completed", "failed", "summary_failed", "replace_complete", "replace_failed")
+#: How long a document's state outlives its last event, in event time.
+KEEP_MS = 24 * 3_600_000
 PROGRESS = "document_id long, events long, last_type string, terminal_id long, closed boolean"
 
 
@@ -26,10 +28,10 @@ def dedupe_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 def document_progress(events: DataFrame) -> DataFrame:
     """Running progress per document: events so far, last type, and the terminal event that closed it. What comes after the
     terminal event is ignored. A document's state is three numbers and a word, however many events it has; it ends a day
-    after its last event."""
+    of event time after its last event. ``events`` needs a watermark on ts."""
     rows = events.select("document_id", "event_id", "type", "ts")
     state = "events long, last_type string, terminal_id long"
-    return rows.groupBy("document_id").applyInPandasWithState(_advance, PROGRESS, state, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("document_id").applyInPandasWithState(_advance, PROGRESS, state, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -43,7 +45,8 @@ def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterato
             n, last = n + 1, e.type
             closed = int(e.event_id) if e.type in TERMINAL else None
     state.update((n, last, closed))
-    state.setTimeoutDuration(24 * 3_600_000)
+    newest = max((int(f["ts"].max().timestamp() * 1_000) for f in frames), default=0)
+    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + KEEP_MS)
     yield pd.DataFrame({"document_id": [key[0]], "events": [n], "last_type": [last], "terminal_id": pd.array([closed], "Int64"), "closed": [closed is not None]})
 
 

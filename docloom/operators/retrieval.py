@@ -226,3 +226,40 @@ def expand_context(seeds: DataFrame, phases: dict[str, DataFrame], cap: int) ->
     once = reduce(DataFrame.unionByName, rows).groupBy("question_id", "found").agg(F.min(at).alias("at"), F.min_by("origin", at).alias("origin"))
     w = Window.partitionBy("question_id").orderBy("at", "found")
     return once.withColumn("position", F.row_number().over(w)).where(F.col("position") <= cap).select("question_id", F.col("found").alias("parent_id"), "origin", "position")
+
+
+#: References that are followed whatever the question, and texts that are guides to others.
+OVERRIDES = r"(?i)(resolution|restatement|amendment|appendix|annex|addendum|tn-\d+)"
+GUIDES = r"(?i)(reading guide|where to find what|table of contents|contents|document control)"
+NUMBERED = r"(?i)(?:figure|table|note|tn|form|resolution|appendix|section|§)\s*([a-z0-9\.\-_]+)"
+
+
+def follow_references(seeds: DataFrame, parents: DataFrame, questions: DataFrame, limit: int) -> DataFrame:
+    """question_id, seed, order, found: for each reference of a seed that matters, the chunk of its document that best
+    defines it, at most ``limit`` per question.
+
+    A reference matters if it is of an overriding kind, if the question cites it, or if a line of a guide or contents
+    chunk that has it shares a word of four letters with the question. Of the first five current chunks (by chunk_index)
+    that hold it, contents lists go, and one with the reference in its heading (3) or at its start (2) comes first.
+    parents: id, document_id, chunk_index, text, search_text, heading, refs (array), is_toc, removed_in.
+    """
+    own = parents.select(F.col("id").alias("parent_id"), "document_id", "text", "is_toc", F.posexplode("refs").alias("at", "ref"))
+    asked = questions.select("question_id", F.lower("text").alias("question"))
+    rows = seeds.join(own, "parent_id").join(asked, "question_id").withColumn("ref", F.trim("ref")).withColumn("low", F.lower("ref"))
+    number = F.lower(F.coalesce(F.nullif(F.regexp_extract("ref", NUMBERED, 1), F.lit("")), "ref"))
+    cited = F.contains("question", "low") | ((F.char_length(number) >= 2) & F.contains("question", number))
+    line = F.get(F.filter(F.split("text", "\n"), lambda x: F.contains(F.lower(x), F.col("low"))), F.lit(0))
+    guide = F.coalesce("is_toc", F.lit(False)) | F.coalesce("text", F.lit("")).rlike(GUIDES)
+    shared = F.exists(F.split(F.lower(line), r"\W+"), lambda w: (F.char_length(w) >= 4) & F.contains(F.col("question"), w))
+    rows = rows.where(F.col("ref").rlike(OVERRIDES) | cited | F.coalesce(guide & shared, F.lit(False)))
+    pattern = F.when(F.startswith("ref", F.lit("§")), F.trim(F.substr("ref", F.lit(2)))).otherwise(F.col("ref"))
+    wanted = rows.withColumn("pattern", F.lower(pattern)).where("char_length(pattern) >= 2").groupBy("question_id", "document_id", "pattern").agg(F.min(F.struct("seed", "at")).alias("place"))
+    live = parents.where("removed_in is null").select("document_id", F.col("id").alias("found"), "chunk_index", F.lower("search_text").alias("body"), F.lower(F.coalesce("heading", F.lit(""))).alias("head"), F.lower(F.ltrim("text")).alias("start"), "is_toc")
+    hit = wanted.join(live, "document_id").where(F.contains("body", "pattern"))
+    target = Window.partitionBy("question_id", "document_id", "pattern")
+    first = hit.withColumn("n", F.row_number().over(target.orderBy("chunk_index", "found"))).where("n <= 5 and not (is_toc <=> true)")
+    score = F.when(F.contains("head", "pattern"), 3).otherwise(0) + F.when(F.startswith("start", "pattern"), 2).otherwise(0)
+    best = first.groupBy("question_id", "document_id", "pattern").agg(F.min("place").alias("place"), F.min_by("found", F.struct((-score).alias("s"), "n")).alias("found"))
+    once = best.join(seeds.select("question_id", F.col("parent_id").alias("found")), ["question_id", "found"], "left_anti").groupBy("question_id", "found").agg(F.min("place").alias("place"))
+    w = Window.partitionBy("question_id").orderBy("place", "found")
+    return once.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).select("question_id", F.col("place.seed").alias("seed"), (F.col("n") - 1).alias("order"), "found")

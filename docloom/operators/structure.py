@@ -5,9 +5,12 @@ Contents lines: doc_id, page, line_no, text. Outline entries: doc_id, idx (order
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.references import cross_references
+
 #: Fixed value: an appendix code, after an optional letter label.
 APPENDIX = r"(?i)^(?:[A-Z]\s*[-–—]?\s+)?((?:Appendix|Annexure|Annex)[\s-]+[A-Z0-9]+)\b"
 
@@ -154,3 +157,13 @@ def document_boundaries(pages: DataFrame, outline: DataFrame) -> DataFrame:
     appendix = F.nullif(F.trim(F.regexp_extract("head", r"(?i)^(?:[A-Z]\s+)?(Appendix\s+[A-Z0-9]+[\s:\-–—]+.+)", 1)), F.lit(""))
     named = [F.when(F.col("head").rlike(pattern), F.lit(name)) for pattern, name in HEADINGS]
     return p.join(first, ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("listed", flagged, appendix, *named).alias("boundary"))
+
+
+def extract_references(text: Column) -> Column:
+    """Distinct cross-references of a text, by kind and then in order; null text has none."""
+
+    @F.pandas_udf("array<string>")
+    def found(t: pd.Series) -> pd.Series:
+        return pd.Series([cross_references(x) for x in t])
+
+    return found(text)

@@ -213,3 +213,14 @@ def expanded(spark, sf_dir):
     s, p = seeds(spark, sf_dir), parents(spark, sf_dir)
     phases = {"sibling": R.expand_siblings(s, p), "section": R.expand_section_lead(s, p), "table": R.expand_table_continuation(s, p, FREE.table_parts)}
     return R.expand_context(s, phases, FREE.round_chunks)
+
+
+@query("r18_follow_references")
+def followed(spark, sf_dir):
+    """Each parent refers to the first two words of the parent three places on, as an appendix or as cited text."""
+    p = parents(spark, sf_dir)
+    later = p.select((F.col("id") - 3).alias("id"), F.concat_ws(" ", F.split("text", r"\s+")[0], F.split("text", r"\s+")[1]).alias("ref"))
+    rows = p.join(later, "id", "left").withColumns({"search_text": F.col("text"), "heading": F.concat(F.lit("Chapter "), F.col("chapter").cast("string")), "refs": F.when(F.col("ref").isNull(), F.array(F.lit("Appendix A"))).otherwise(F.array("ref", F.lit("Appendix A")))})
+    s = seeds(spark, sf_dir)
+    questions = s.join(later.withColumnRenamed("id", "parent_id"), "parent_id").groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_set("ref")), " and ").alias("text"))
+    return R.follow_references(s, rows, questions, FREE.references)

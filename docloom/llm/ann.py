@@ -7,8 +7,9 @@ centroid, the best is taken out, an inner node puts in its children, a leaf is v
 calibrated: the exact neighbours of at most ``CALIBRATION`` queries are found by one scan, and visits widen until they
 cover ``RECALL`` of them.
 
-Queries meet vectors per leaf, in blocks of at most ``BLOCK`` by ``BLOCK`` rows: a leaf with more vectors or queries is
-split into more blocks. A block hands on its best k of each query only. Equal vectors are one class and are searched
+Neighbouring leaves form groups of about ``BLOCK`` vectors. A query goes once to each group in which it visits leaves,
+and meets those leaves' vectors in blocks of about ``BLOCK`` by ``BLOCK`` rows: a group with more vectors or queries is
+split into more blocks. A block hands on one row with the best k of each query. Equal vectors are one class and are searched
 and compared once; a class keeps its k + 1 smallest ids, which is all that a result can show of it.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those whose length isn't
@@ -168,38 +169,57 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     queries = own.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "v")
     visits = calibrate(index, queries, tree, k)
 
+    # neighbouring leaves share a group of about BLOCK vectors; at most LEAVES rows come to the driver
+    sizes = index.groupBy("leaf").count().toPandas().sort_values("leaf")
+    group_of = np.zeros(len(tree.leaf), np.int32)
+    group_of[sizes["leaf"]] = (sizes["count"].cumsum() - sizes["count"]) // BLOCK
+
     def route(batches):
         for b in batches:
             if b.num_rows:
                 leaves = tree.visits(_matrix(b.column(1)), visits)
-                at, col = np.nonzero(leaves >= 0)
-                yield pa.record_batch([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(leaves[at, col])], ["query", "q", "leaf"])
-
-    routed = materialise(queries.mapInArrow(route, "query long, q array<double>, leaf int"), "ann-routed")
-    # blocks of a leaf; one row per leaf, at most LEAVES
-    count = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias(name))
-    blocks = F.broadcast(count(index, "n_v").join(count(routed, "n_q"), "leaf"))
-    left = index.join(blocks, "leaf").select("leaf", F.pmod(F.xxhash64("rep"), F.col("n_v")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("j"), "rep", "v", "members")
-    right = routed.join(blocks, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("n_v") - 1)).alias("i"), F.pmod(F.xxhash64("query"), F.col("n_q")).cast("int").alias("j"), "query", "q")
+                rows, cols = np.nonzero(leaves >= 0)
+                leaf = leaves[rows, cols]
+                order = np.lexsort((leaf, group_of[leaf], rows))
+                rows, leaf = rows[order], leaf[order]
+                first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (group_of[leaf[1:]] != group_of[leaf[:-1]])))
+                at = pa.array(rows[first])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(leaf)).astype(np.int32)), pa.array(leaf))
+                yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(group_of[leaf[first]]), lists], ["query", "q", "group", "leaves"])
+
+    @F.pandas_udf("int")
+    def group(leaf: pd.Series) -> pd.Series:
+        return pd.Series(group_of[leaf.to_numpy()])
+
+    routed = materialise(queries.mapInArrow(route, "query long, q array<double>, group int, leaves array<int>"), "ann-routed")
+    grouped = index.withColumn("group", group("leaf"))
+    count = lambda df, name: df.groupBy("group").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias(name))
+    blocks = F.broadcast(count(grouped, "n_v").join(count(routed, "n_q"), "group"))
+    left = grouped.join(blocks, "group").select("group", F.pmod(F.xxhash64("rep"), F.col("n_v")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("j"), "v", "members", "leaf")
+    right = routed.join(blocks, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("n_v") - 1)).alias("i"), F.pmod(F.xxhash64("query"), F.col("n_q")).cast("int").alias("j"), "query", "q", "leaves")
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        """One row per query: its best k + 1 vectors among the leaves that it visits in this block."""
         if not len(a) or not len(b):
-            return pd.DataFrame({"query": pd.Series([], dtype="int64"), "score": pd.Series([], dtype=float), "members": pd.Series([], dtype=object)})
+            return pd.DataFrame({"query": pd.Series([], dtype="int64"), "best": pd.Series([], dtype=object)})
         x, q = _matrix(a["v"]), _matrix(b["q"])
-        s = q @ x.T
-        m = min(k + 1, len(x))
-        at = np.argpartition(-s, m - 1, axis=1)[:, :m]
-        qi, vi = np.repeat(np.arange(len(q)), m), at.ravel()
-        # summed row by row, so that a pair's score is the same in whatever block it stands
-        return pd.DataFrame({"query": b["query"].to_numpy()[qi], "score": (q[qi] * x[vi]).sum(1), "members": a["members"].to_numpy()[vi]})
+        leaf, place = np.unique(a["leaf"].to_numpy(), return_inverse=True)
+        seen = np.stack([np.isin(leaf, own) for own in b["leaves"]])[:, place]
+        s = np.where(seen, q @ x.T, -np.inf)
+        m, members = min(k + 1, len(x)), a["members"].to_numpy()
+        at, out = np.argpartition(-s, m - 1, axis=1)[:, :m], []
+        for i, near in enumerate(at):
+            near = near[seen[i, near]]
+            # summed row by row, so that a pair's score is the same in whatever block it stands
+            out.append([{"s": -v, "members": members[j]} for v, j in zip((q[i] * x[near]).sum(1), near)])
+        return pd.DataFrame({"query": b["query"], "best": out})
 
     n_parts = partitions(vectors)
-    left, right = (df.repartition(n_parts, "leaf", "i", "j").groupBy("leaf", "i", "j") for df in (left, right))
-    found = left.cogroup(right).applyInPandas(compare, "query long, score double, members array<long>")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), F.col("members")[0])
-    found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
-    ids = found.select("query", F.col("score").alias("s"), F.explode("members").alias("id"))
-    listed = ids.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("s"), "id"))), 1, k + 1).alias("near"))
+    left, right = (df.repartition(n_parts, "group", "i", "j").groupBy("group", "i", "j") for df in (left, right))
+    found = left.cogroup(right).applyInPandas(compare, "query long, best array<struct<s:double,members:array<long>>>")
+    best = found.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best"))
+    ids = F.flatten(F.transform("best", lambda x: F.transform(x["members"], lambda i: F.struct(x["s"].alias("s"), i.alias("id")))))
+    listed = best.select("query", F.slice(F.array_sort(ids), 1, k + 1).alias("near"))
     listed = materialise(listed, "ann-found")
     answers = asked.join(listed, asked["rep"] == listed["query"]).select("query_id", F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k).alias("near"))
     return answers.select("query_id", F.posexplode("near").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"))

@@ -42,19 +42,35 @@ def active_chunks(chunks: DataFrame, documents: DataFrame | None = None) -> Data
     return live.join(done, "document_id", "left_semi")
 
 
+def _allowed(rows: DataFrame, children: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """Rows (query_id, child_id) whose document the query may see; all without ``allowed`` (query_id, document_id)."""
+    if allowed is None:
+        return rows
+    own = children.select(F.col("id").alias("child_id"), "document_id")
+    return rows.join(own, "child_id").join(allowed, ["query_id", "document_id"], "left_semi").drop("document_id")
+
+
 def _ranked(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     """query_id, child_id, parent_id, rank of the best k rows of each query."""
     w = Window.partitionBy("query_id").orderBy(*order, "child_id")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "child_id", "parent_id", "rank")
 
 
-def vector_topk(queries: DataFrame, children: DataFrame, k: int) -> DataFrame:
+def vector_topk(queries: DataFrame, children: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """Exact search by cosine distance. Each pass takes at most ``QUERY_BLOCK`` queries to all children; a batch of
     children hands on no more than the k nearest of each query (and ties), so the shuffle carries those alone."""
     asked = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    rows = children.where("embedding is not null").select(F.col("id").alias("child_id"), "parent_id", "embedding")
-    found = [_near(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas(), rows, k) for b in range(blocks)]
+    rows = children.where("embedding is not null").select(F.col("id").alias("child_id"), "parent_id", "document_id", "embedding")
+    found = []
+    for b in range(blocks):
+        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        if allowed is None:
+            seen = rows.drop("document_id")
+        else:  # the block's queries that may see a document, at most QUERY_BLOCK
+            viewers = allowed.join(mine.select("query_id"), "query_id", "left_semi").groupBy("document_id").agg(F.collect_set("query_id").alias("viewers"))
+            seen = rows.join(viewers, "document_id").drop("document_id")
+        found.append(_near(mine.toPandas(), seen, k))
     return _ranked(reduce(DataFrame.unionByName, found), k, F.col("distance"))
 
 
@@ -69,14 +85,16 @@ def _near(asked: pd.DataFrame, rows: DataFrame, k: int) -> DataFrame:
                 x = np.stack(b["embedding"].to_numpy()).astype(float)
                 x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
                 d = 1 - q @ x.T
+                if "viewers" in b:
+                    d = np.where(np.stack([np.isin(ids, v) for v in b["viewers"]], axis=1), d, np.inf)
                 last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1 : min(k, d.shape[1])]
-                i, j = np.nonzero(d <= last)
+                i, j = np.nonzero((d <= last) & np.isfinite(d))
                 yield pd.DataFrame({"query_id": ids[i], "child_id": b["child_id"].to_numpy()[j], "parent_id": b["parent_id"].to_numpy()[j], "distance": np.round(d[i, j], 12)})
 
     return rows.mapInPandas(work, "query_id long, child_id long, parent_id long, distance double")
 
 
-def identifier_match(tiers: DataFrame, children: DataFrame, k: int) -> DataFrame:
+def identifier_match(tiers: DataFrame, children: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """Children whose text contains a code of the query, whatever its case, by id. Wildcards in codes are literal.
 
     Codes are arbitrary substrings, so this is a nested-loop join; the codes are broadcast in blocks of ``QUERY_BLOCK``.
@@ -85,10 +103,11 @@ def identifier_match(tiers: DataFrame, children: DataFrame, k: int) -> DataFrame
     rows = children.select(F.col("id").alias("child_id"), "parent_id", F.lower("search_text").alias("low"))
     blocks = max(1, -(-codes.count() // QUERY_BLOCK))
     passes = [rows.join(F.broadcast(codes.where(F.pmod(F.xxhash64("code"), F.lit(blocks)) == b)), F.contains("low", "code")) for b in range(blocks)]
-    return _ranked(reduce(DataFrame.unionByName, passes).select("query_id", "child_id", "parent_id").distinct(), k)
+    found = reduce(DataFrame.unionByName, passes).select("query_id", "child_id", "parent_id").distinct()
+    return _ranked(_allowed(found, children, allowed), k)
 
 
-def phrase_match(tiers: DataFrame, children: DataFrame, k: int) -> DataFrame:
+def phrase_match(tiers: DataFrame, children: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """Children that hold a name of the query as consecutive words, most occurrences first (in place of cover density;
     no stemming). Phrases meet children by their first word."""
     asked = tiers.select("query_id", F.explode("phrases").alias("phrase")).withColumn("word", F.substring_index("phrase", " ", 1))
@@ -98,7 +117,7 @@ def phrase_match(tiers: DataFrame, children: DataFrame, k: int) -> DataFrame:
     by_word = rows.select("*", F.explode(F.array_distinct(F.split(F.trim("padded"), r"\s+"))).alias("word")).join(wanted, "word", "left_semi")
     pattern = F.concat(F.lit(" "), F.replace(F.col("phrase"), F.lit(" "), F.lit("  ")), F.lit(" "))
     hits = by_word.join(asked, "word").withColumn("n", (F.char_length("padded") - F.char_length(F.replace(F.col("padded"), pattern))) / F.char_length(pattern)).where("n > 0")
-    return _ranked(hits.groupBy("query_id", "child_id", "parent_id").agg(F.sum("n").alias("n")), k, F.desc("n"))
+    return _ranked(_allowed(hits.groupBy("query_id", "child_id", "parent_id").agg(F.sum("n").alias("n")), children, allowed), k, F.desc("n"))
 
 
 def keyword_hits(tiers: DataFrame, children: DataFrame) -> DataFrame:
@@ -142,14 +161,15 @@ def hydrate_parents(ranked: DataFrame, parents: DataFrame, documents: DataFrame)
     return ranked.join(p, "parent_id").join(d, "document_id").withColumn("matched_by", matched_by())
 
 
-def search(queries: DataFrame, children: DataFrame, limits: Limits) -> DataFrame:
-    """R1 to R8: the fused parents of each query over active children."""
+def search(queries: DataFrame, children: DataFrame, limits: Limits, allowed: DataFrame | None = None) -> DataFrame:
+    """R1 to R8: the fused parents of each query over active children; with ``allowed`` (query_id, document_id), over
+    those it may see: they are left out before any ranking."""
     tiers = build_search_tiers(queries)
-    hits = keyword_hits(tiers, children)
+    hits = _allowed(keyword_hits(tiers, children), children, allowed)
     found = {
-        "vector": vector_topk(queries, children, limits.vector),
-        "identifier": identifier_match(tiers, children, limits.keyword),
-        "phrase": phrase_match(tiers, children, limits.keyword),
+        "vector": vector_topk(queries, children, limits.vector, allowed),
+        "identifier": identifier_match(tiers, children, limits.keyword, allowed),
+        "phrase": phrase_match(tiers, children, limits.keyword, allowed),
         "keyword": keyword_match(hits, limits.keyword),
     }
     return weighted_rrf(found, limits.parents)
@@ -218,12 +238,17 @@ def expand_table_continuation(seeds: DataFrame, parents: DataFrame, limit: int)
     return hit.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).select("question_id", "seed", (F.col("n") - 1).alias("order"), F.col("id").alias("found"))
 
 
-def expand_context(seeds: DataFrame, phases: dict[str, DataFrame], cap: int) -> DataFrame:
-    """Seeds and expansions in phase order, each chunk once with where it came from, at most ``cap`` per question."""
+def expand_context(seeds: DataFrame, phases: dict[str, DataFrame], cap: int, parents: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """Seeds and expansions in phase order, each chunk once with where it came from, at most ``cap`` per question; with
+    ``allowed`` (question_id, document_id), only chunks (of ``parents``) of documents that the question may see."""
     rows = [seeds.select("question_id", F.lit(0).alias("phase"), "seed", F.lit(0).alias("order"), F.col("parent_id").alias("found"), F.lit("search").alias("origin"))]
     rows += [df.select("question_id", F.lit(i + 1).alias("phase"), "seed", "order", "found", F.lit(name).alias("origin")) for i, (name, df) in enumerate(phases.items())]
     at = F.struct("phase", "seed", "order")
-    once = reduce(DataFrame.unionByName, rows).groupBy("question_id", "found").agg(F.min(at).alias("at"), F.min_by("origin", at).alias("origin"))
+    union = reduce(DataFrame.unionByName, rows)
+    if allowed is not None:
+        own = parents.select(F.col("id").alias("found"), "document_id")
+        union = union.join(own, "found").join(allowed, ["question_id", "document_id"], "left_semi").drop("document_id")
+    once = union.groupBy("question_id", "found").agg(F.min(at).alias("at"), F.min_by("origin", at).alias("origin"))
     w = Window.partitionBy("question_id").orderBy("at", "found")
     return once.withColumn("position", F.row_number().over(w)).where(F.col("position") <= cap).select("question_id", F.col("found").alias("parent_id"), "origin", "position")
 
@@ -234,13 +259,14 @@ GUIDES = r"(?i)(reading guide|where to find what|table of contents|contents|docu
 NUMBERED = r"(?i)(?:figure|table|note|tn|form|resolution|appendix|section|§)\s*([a-z0-9\.\-_]+)"
 
 
-def follow_references(seeds: DataFrame, parents: DataFrame, questions: DataFrame, limit: int) -> DataFrame:
+def follow_references(seeds: DataFrame, parents: DataFrame, questions: DataFrame, limit: int, known: DataFrame | None = None) -> DataFrame:
     """question_id, seed, order, found: for each reference of a seed that matters, the chunk of its document that best
     defines it, at most ``limit`` per question.
 
     A reference matters if it is of an overriding kind, if the question cites it, or if a line of a guide or contents
     chunk that has it shares a word of four letters with the question. Of the first five current chunks (by chunk_index)
     that hold it, contents lists go, and one with the reference in its heading (3) or at its start (2) comes first.
+    Chunks of ``known`` (question_id, found; by default the seeds) don't count.
     parents: id, document_id, chunk_index, text, search_text, heading, refs (array), is_toc, removed_in.
     """
     own = parents.select(F.col("id").alias("parent_id"), "document_id", "text", "is_toc", F.posexplode("refs").alias("at", "ref"))
@@ -260,6 +286,7 @@ def follow_references(seeds: DataFrame, parents: DataFrame, questions: DataFrame
     first = hit.withColumn("n", F.row_number().over(target.orderBy("chunk_index", "found"))).where("n <= 5 and not (is_toc <=> true)")
     score = F.when(F.contains("head", "pattern"), 3).otherwise(0) + F.when(F.startswith("start", "pattern"), 2).otherwise(0)
     best = first.groupBy("question_id", "document_id", "pattern").agg(F.min("place").alias("place"), F.min_by("found", F.struct((-score).alias("s"), "n")).alias("found"))
-    once = best.join(seeds.select("question_id", F.col("parent_id").alias("found")), ["question_id", "found"], "left_anti").groupBy("question_id", "found").agg(F.min("place").alias("place"))
+    known = seeds.select("question_id", F.col("parent_id").alias("found")) if known is None else known
+    once = best.join(known, ["question_id", "found"], "left_anti").groupBy("question_id", "found").agg(F.min("place").alias("place"))
     w = Window.partitionBy("question_id").orderBy("place", "found")
     return once.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).select("question_id", F.col("place.seed").alias("seed"), (F.col("n") - 1).alias("order"), "found")

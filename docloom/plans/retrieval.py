@@ -3,13 +3,18 @@ a child of the first parent of the document with its number); queries are the be
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.config import FREE, STOP_WORDS
+from docloom.operators import access as A
 from docloom.operators import retrieval as R
 from docloom.registry import query
 
-from .tables import LINES_SQL, lines, table
+from . import access
+from .tables import LINES_SQL, lines, stored, table
 
 PER_PARENT = 4
 LIMITS = FREE.across_documents()
@@ -194,9 +199,12 @@ def leads(spark, sf_dir):
 
 @query("r16_expand_chapter", f"WITH {BASE}, {CHAPTER} SELECT * FROM chapters")
 def chapters(spark, sf_dir):
+    return R.expand_chapter(seeds(spark, sf_dir), parents(spark, sf_dir), process_questions(spark, sf_dir), FREE.chapter)
+
+
+def process_questions(spark, sf_dir):
     text = F.concat("text", F.when(F.col("query_id") % 2 == 0, " policy").otherwise(""))
-    questions = asked(spark, sf_dir).select(F.col("query_id").alias("question_id"), text.alias("text"))
-    return R.expand_chapter(seeds(spark, sf_dir), parents(spark, sf_dir), questions, FREE.chapter)
+    return asked(spark, sf_dir).select(F.col("query_id").alias("question_id"), text.alias("text"))
 
 
 @query("r17_expand_tables", f"WITH {BASE}, {TABLES} SELECT * FROM parts_of")
@@ -215,12 +223,51 @@ def expanded(spark, sf_dir):
     return R.expand_context(s, phases, FREE.round_chunks)
 
 
+def referring(p, s):
+    """Parents with references, and the questions that cite those of their seeds."""
+    later = p.select((F.col("id") - 3).alias("id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ").alias("ref"))
+    rows = p.join(later, "id", "left").withColumns({"search_text": F.col("text"), "heading": F.concat(F.lit("Chapter "), F.col("chapter").cast("string")), "refs": F.when(F.col("ref").isNull(), F.array(F.lit("Appendix A"))).otherwise(F.array("ref", F.lit("Appendix A")))})
+    questions = s.join(later.withColumnRenamed("id", "parent_id"), "parent_id").groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_set("ref")), " and ").alias("text"))
+    return rows, questions
+
+
 @query("r18_follow_references")
 def followed(spark, sf_dir):
     """Each parent refers to the first two words of the parent three places on, as an appendix or as cited text."""
-    p = parents(spark, sf_dir)
-    later = p.select((F.col("id") - 3).alias("id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ").alias("ref"))
-    rows = p.join(later, "id", "left").withColumns({"search_text": F.col("text"), "heading": F.concat(F.lit("Chapter "), F.col("chapter").cast("string")), "refs": F.when(F.col("ref").isNull(), F.array(F.lit("Appendix A"))).otherwise(F.array("ref", F.lit("Appendix A")))})
     s = seeds(spark, sf_dir)
-    questions = s.join(later.withColumnRenamed("id", "parent_id"), "parent_id").groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_set("ref")), " and ").alias("text"))
-    return R.follow_references(s, rows, questions, FREE.references)
+    return R.follow_references(s, *referring(parents(spark, sf_dir), s), FREE.references)
+
+
+def visible(spark, sf_dir):
+    """query_id, document_id: a query is asked by the customer of its number; a document belongs to the role of its number
+    modulo 25."""
+    asks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
+    t = access.tables(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    links = docs.select((F.col("id") % 25).alias("role_id"), F.col("id").alias("document_id"))
+    found = A.accessible_documents(t["users"].join(asks, "id", "left_semi"), t["user_roles"], links, docs)
+    return found.withColumnRenamed("user_id", "query_id")
+
+
+@query("r19_expand_context_whole")
+def expanded_whole(spark, sf_dir):
+    """R19 with its five phases, from the first ``FREE.seeds`` chunks, all within the documents that the user may see.
+    ``r19_expand_context`` follows its SQL twin: three phases, from all chunks, without access."""
+    may = stored(visible(spark, sf_dir), "visible")
+    found = R.search(asked(spark, sf_dir), stored(live(spark, sf_dir), "children"), LIMITS, may).where("position <= 4")
+    s = stored(found.select(F.col("query_id").alias("question_id"), F.col("position").alias("seed"), "parent_id"), "seeds")
+    return expand(s, stored(parents(spark, sf_dir), "parents"), process_questions(spark, sf_dir), may.withColumnRenamed("query_id", "question_id"))
+
+
+def expand(s, p, questions, may):
+    first = s.where(F.col("seed") <= FREE.seeds)
+    phases = {
+        "sibling": R.expand_siblings(first, p),
+        "section": R.expand_section_lead(first, p),
+        "chapter": R.expand_chapter(first, p, questions, FREE.chapter),
+        "table": R.expand_table_continuation(first, p, FREE.table_parts),
+    }
+    known = [df.select("question_id", "found") for df in phases.values()]
+    known = reduce(DataFrame.unionByName, known, s.select("question_id", F.col("parent_id").alias("found"))).distinct()
+    phases["reference"] = R.follow_references(first, *referring(p, first), FREE.references, known)
+    return R.expand_context(s, phases, FREE.round_chunks, p, may)

@@ -38,7 +38,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path, partitions, ragged, rows_of, table
+from .common import new_path, partitions, ragged, rows_of, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
@@ -188,8 +188,8 @@ def _width(words: Words) -> int:
     return 2 if words.tokenizer.get_vocab_size() <= 1 << 16 else 4
 
 
-def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """doc_id, check and ids (little-endian, 16 or 32 bits each, with the end id) of each row of ``docs``, unordered."""
+def encoded(rows: DataFrame, cuts: list[float], tokenizer: str, end_id: int) -> DataFrame:
+    """doc_id, range (by doc_id, between ``cuts``), check and ids (little-endian, 16 or 32 bits each, with the end id)."""
 
     def work(batches):
         words = _words(tokenizer)
@@ -203,10 +203,10 @@ def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -
                 stops = (ends + np.arange(1, len(n) + 1)) * out.itemsize
                 data = out.tobytes()
                 rows = [data[a:z] for a, z in zip(np.append(0, stops), stops)]
-                yield pa.record_batch([doc_id.slice(x, y - x), pa.array([zlib.crc32(r) for r in rows], pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "check", "ids"])
+                place = np.searchsorted(np.array(cuts), doc_id.slice(x, y - x).to_numpy().astype(float)).astype(np.int32)
+                yield pa.record_batch([doc_id.slice(x, y - x), pa.array(place), pa.array([zlib.crc32(r) for r in rows], pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "range", "check", "ids"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    return rows.mapInArrow(work, "doc_id long, check long, ids binary")
+    return rows.mapInArrow(work, "doc_id long, range int, check long, ids binary")
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, files: int | None = None) -> DataFrame:
@@ -238,9 +238,11 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_
                 place.move(f"{own}.{kind}", f"{root}/{name}.{kind}")
             yield pa.record_batch([pa.array([name]), pa.array([head[0]], pa.int64()), pa.array([head[1]], pa.int64()), pa.array([sum(map(len, index))], pa.int64()), pa.array([n_tokens], pa.int64()), pa.array([width], pa.int32())], ["file", "first_doc", "first_check", "n_records", "n_tokens", "width"])
 
-    # encoded once, where the texts lie; only ids are sampled for ranges, shuffled and sorted
-    rows = materialise(encoded(docs, tokenizer, end_id), "token-ids")
-    dealt = rows.repartitionByRange(files or partitions(docs), "doc_id", "check").sortWithinPartitions("doc_id", "check")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    # ranges come from a pass over doc_id alone; texts are encoded once, where they lie, and only their ids move
+    n = files or partitions(docs)
+    cuts = sorted(set(rows.approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (8 * n)))) if n > 1 else []
+    dealt = encoded(rows, cuts, tokenizer, end_id).repartitionById(n, "range").sortWithinPartitions("doc_id", "check")
     manifest = f"{folder}/manifest"
     dealt.mapInArrow(write, MANIFEST).write.parquet(manifest)
     return docs.sparkSession.read.schema(MANIFEST).parquet(manifest)

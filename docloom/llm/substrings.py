@@ -11,14 +11,17 @@ candidate passages: all words of the windows that hold one.
 
 Confirming and locating: a passage goes to the shard of the document in which its anchor occurs first, so all
 occurrences of a window meet in one shard and a copied document goes to few. A shard confirms the windows that occur in
-two documents, compiles them into an Aho-Corasick automaton over words, with the first doc_id as value, and streams its
-passages through it; a match with a smaller doc_id than the passage's is a repeated window. Hashes only choose
-candidates; what is removed has matched word by word.
+two documents, compiles the anchor phrases of these into an Aho-Corasick automaton over words and streams its passages
+through it. A window around a located phrase is repeated if it is that of an earlier document, word by word. (An
+automaton of the windows themselves finds the same, with thirteen times as many nodes.)
 
 Skew: shards of ordinary first documents are packed to about ``SHARD`` anchors. A first document with more than that
 (a large group of near copies, a passage in a third of all documents) is hot: its passages are dealt over slots by
 document, each slot lists its distinct windows, these are confirmed across slots by a combined aggregation on their
-128-bit hashes, and each slot compiles what was confirmed of its own windows.
+128-bit hashes, and each slot locates what was confirmed of its own windows. In an automaton a word is written with a
+few of ``_DIGIT`` symbols, so that looking up a branch stays short however many words a shard has.
+
+Memory: texts are hashed in blocks of words; a task holds one text and one shard's or slot's passages.
 
 Null text: no words. Texts of under 13 words: nothing removed. Null doc_id: nothing removed, and nothing held against.
 Rows with equal doc_id never repeat each other; each is judged by its own text. Empty table: no rows.
@@ -30,12 +33,12 @@ import functools
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, rows_of, table
+from .common import materialise, partitions, ragged, rows_of, table
 
 WINDOW, PHRASE, SHARD = 13, 5, 20_000
 _REACH = WINDOW - PHRASE
@@ -45,11 +48,18 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
 
+#: Windows that are hashed at once; words of at most so many bytes are hashed together, longer ones one by one.
+_BLOCK, _LONG = 1 << 15, 256
+#: Symbols of the automata: a word is a number of so many values for each digit.
+_DIGIT = 128
+
+
 @functools.cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _BYTE and of its inverse modulo 2**64, 2**bits of each."""
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BYTE and of its inverse modulo 2**64, enough for a block of words."""
     inverse = np.uint64(pow(int(_BYTE), -1, 1 << 64))
-    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full((1 << bits) - 1, m)]).astype(np.uint64)) for m in (_BYTE, inverse))
+    n = (_BLOCK + WINDOW) * (_LONG + 1)
+    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, m)]).astype(np.uint64)) for m in (_BYTE, inverse))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -64,26 +74,52 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    power, inverse = _powers()
+    long = np.flatnonzero(ends - starts > _LONG)
+    if len(long):  # without them, and without the white space, the block's words are short enough for the tables
+        short = ends - starts <= _LONG
+        sizes = (ends - starts)[short]
+        close = np.cumsum(sizes)
+        out = np.zeros(len(starts), np.uint64)
+        out[short] = _word_hashes(data[ragged(starts[short], sizes)], close - sizes, close)
+        out[long] = [int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little") for i in long]
+        return out
+    a, z = int(starts[0]) if len(starts) else 0, int(ends[-1]) if len(ends) else 0
+    if z - a >= len(power):  # white space in plenty
+        sizes = ends - starts
+        close = np.cumsum(sizes)
+        return _word_hashes(data[ragged(starts, sizes)], close - sizes, close)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((data[a:z].astype(np.uint64) + np.uint64(1)) * power[: z - a])])
+    return _mixed((sums[ends - a] - sums[starts - a]) * inverse[starts - a])
+
+
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (words before it) and hashes of the phrases that have the smallest hash of some window."""
-    if len(starts) < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    power, inverse = _powers(max(12, int(len(data)).bit_length()))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)])])
-    words = _mixed((sums[ends] - sums[starts]) * inverse[starts])
-    n, h = len(words) - PHRASE + 1, np.zeros(len(words) - PHRASE + 1, np.uint64)
-    for j in range(PHRASE):
-        h = h * _WORD + words[j : j + n]
-    h = _mixed(h)
-    m = n - _REACH  # windows
-    least = h[:m].copy()
-    for j in range(1, _REACH + 1):
-        np.minimum(least, h[j : j + m], out=least)
-    chosen = np.zeros(n, bool)
-    for j in range(_REACH + 1):
-        chosen[j : j + m] |= h[j : j + m] == least
-    at = np.flatnonzero(chosen)
-    return at, h[at]
+    """Places (words before it) and hashes of the phrases that have the smallest hash of some window, block by block."""
+    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for x in range(0, len(starts) - WINDOW + 1, _BLOCK):
+        y = min(x + _BLOCK + WINDOW - 1, len(starts))
+        words = _word_hashes(data, starts[x:y], ends[x:y])
+        n = len(words) - PHRASE + 1
+        h = np.zeros(n, np.uint64)
+        for j in range(PHRASE):
+            h = h * _WORD + words[j : j + n]
+        h = _mixed(h)
+        m = n - _REACH  # windows
+        least = h[:m].copy()
+        for j in range(1, _REACH + 1):
+            np.minimum(least, h[j : j + m], out=least)
+        chosen = np.zeros(n, bool)
+        for j in range(_REACH + 1):
+            chosen[j : j + m] |= h[j : j + m] == least
+        at = np.flatnonzero(chosen)
+        places.append(at + x)
+        hashes.append(h[at])
+    at, h = np.concatenate(places), np.concatenate(hashes)
+    if len(places) > 2:  # blocks share phrases
+        at, first = np.unique(at, return_index=True)
+        h = h[first]
+    return at, h
 
 
 def _anchored(batches):
@@ -120,100 +156,168 @@ def _passages(batches):
                 new = np.flatnonzero(np.append(True, a[1:] > b[:-1]))
                 for x, y in zip(a[new], b[np.append(new[1:], len(a)) - 1]):
                     out.append((s, k, i, key, int(x), raw[starts[x] : ends[y - 1]]))
-        for k in range(0, len(out), 5_000):
-            yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out[k : k + 5_000]), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary()))], ["shard", "slot", "doc_id", "key", "at", "passage"])
+        for k in range(0, len(out), 2_000):
+            yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out[k : k + 2_000]), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary()))], ["shard", "slot", "doc_id", "key", "at", "passage"])
 
 
 class Shard:
-    """The passages of one shard, as strings with one character for each word, and their distinct windows."""
-
-    def __init__(self, pdf: pd.DataFrame):
-        self.chars: dict[bytes, str] = {}
-        self.rows = [(d, k, a, self._string(p)) for d, k, a, p in zip(pdf["doc_id"], pdf["key"], pdf["at"], pdf["passage"])]
-        #: smallest and largest doc_id of each window
-        self.windows: dict[str, tuple[int, int]] = {}
-        for d, _, _, s in self.rows:
-            for i in range(len(s) - WINDOW + 1):
-                w = s[i : i + WINDOW]
-                was = self.windows.get(w)
-                if was is None:
-                    self.windows[w] = (d, d)
-                elif not was[0] <= d <= was[1]:
-                    self.windows[w] = (min(d, was[0]), max(d, was[1]))
-
-    def _string(self, passage: bytes) -> str:
-        chars, out = self.chars, []
-        for w in passage.split():
-            c = chars.get(w)
-            if c is None:
-                n = len(chars) + 1
-                c = chars[w] = chr(n if n < 0xD800 else n + 0x800)  # no surrogates
-            out.append(c)
-        return "".join(out)
-
-    def hashes(self) -> dict[bytes, str]:
-        """128-bit hashes of the windows' words."""
-        words = {c: w for w, c in self.chars.items()}
-        return {hashlib.blake2b(b" ".join(words[c] for c in w), digest_size=16).digest(): w for w in self.windows}
-
-    def locate(self, first: dict[str, int]) -> pd.DataFrame:
-        """Streams the passages through the automaton of the windows in ``first``; words [start, stop) are repeated."""
+    """The passages of one shard: their words as numbers, one passage after another, and their distinct windows."""
+
+    def __init__(self, rows: pa.Table):
+        split = pc.ascii_split_whitespace(rows["passage"].combine_chunks().cast(pa.string()))
+        coded = split.flatten().dictionary_encode()
+        self.rows, self.vocabulary, self.word = rows, coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        self.begin = split.offsets.to_numpy().astype(np.int64)
+        sizes = np.diff(self.begin)
+        self.row = np.repeat(np.arange(len(sizes)), sizes)  # each word's passage
+        #: where windows start
+        self.at = ragged(self.begin[:-1], np.maximum(sizes - WINDOW + 1, 0))
+        self.doc = rows["doc_id"].to_numpy()[self.row[self.at]]
+        self.lane = _column_hashes(self.vocabulary)[self.word]
+        h = _hashed(self.lane, self.at, WINDOW)
+        order = np.argsort(h)
+        h = h[order]
+        new = np.append(True, h[1:] != h[:-1])[: len(order)]
+        # hashes bring equal windows together; the words decide
+        again = np.flatnonzero(~new)
+        one, like = self.at[order[again]], self.at[order[np.flatnonzero(new)[np.cumsum(new)[again] - 1]]]
+        if any((self.word[one + j] != self.word[like + j]).any() for j in range(WINDOW)):
+            group = np.unique(self.word[self.at[:, None] + np.arange(WINDOW)], axis=0, return_inverse=True)[1].ravel()
+            order = np.argsort(group, kind="stable")
+            new = np.append(True, np.diff(group[order]) > 0)
+        self.order, self.first_of = order, np.flatnonzero(new)
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each distinct window first stands, and its smallest and largest doc_id."""
+        if not len(self.order):
+            return (np.zeros(0, np.int64),) * 3
+        doc = self.doc[self.order]
+        return self.order[self.first_of], np.minimum.reduceat(doc, self.first_of), np.maximum.reduceat(doc, self.first_of)
+
+    def hashes(self, at: np.ndarray) -> list[bytes]:
+        """128-bit hashes of the words of windows."""
+        raw = [hashlib.blake2b(w.encode(), digest_size=16).digest() for w in self.vocabulary.to_pylist()]
+        lanes = np.frombuffer(b"".join(raw), np.uint64).reshape(-1, 2)[self.word]
+        both = np.stack([_hashed(np.ascontiguousarray(x), self.at[at], WINDOW) for x in lanes.T], 1)
+        return [x.tobytes() for x in both]
+
+    def locate(self, window: np.ndarray, first: np.ndarray) -> pa.Table:
+        """Words [start, stop) of each row that confirmed windows (numbers of self.at, with their first documents in
+        ``first``) of earlier documents cover.
+
+        An automaton of the windows' anchor phrases streams the passages; of the windows that have a located phrase as
+        their anchor, those count that equal a confirmed one, which is known for each place of the shard."""
         import ahocorasick
 
-        out: list[tuple] = []
-        if first:
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for w, d in first.items():
-                automaton.add_word(w, d)
-            automaton.make_automaton()
-            for d, key, at, s in self.rows:
-                start = stop = -1
-                for end, f in automaton.iter(s):
-                    if f < d:
-                        if end - WINDOW + 1 > stop:
-                            if stop > 0:
-                                out.append((d, key, at + start, at + stop))
-                            start = end - WINDOW + 1
-                        stop = end + 1
-                if stop > 0:
-                    out.append((d, key, at + start, at + stop))
-        return pd.DataFrame(out, columns=["doc_id", "key", "start", "stop"])
+        doc_id, at = self.rows["doc_id"].to_numpy(), self.rows["at"].to_numpy()
+        if not len(window):
+            return SPANS_ARROW.empty_table()
+        # the first document of the window at each place, if that window is confirmed
+        group = np.zeros(len(self.order), np.int64)
+        group[self.first_of] = 1
+        member = np.empty(len(self.order), np.int64)
+        member[self.order] = np.cumsum(group) - 1
+        known = np.full(len(self.first_of), np.iinfo(np.int64).max)
+        known[member[window]] = first
+        earlier = known[member] < self.doc
+        # each window's anchor: the place of its phrase with the least hash
+        phrase = _hashed(self.lane, np.arange(max(len(self.word) - PHRASE + 1, 0)), PHRASE)
+        least, anchor = phrase[self.at], self.at.copy()
+        for j in range(1, _REACH + 1):
+            h = phrase[self.at + j]
+            lower = h < least
+            least[lower], anchor[lower] = h[lower], self.at[lower] + j
+        # words of the anchors get numbers, written with few symbols so that no node has many branches
+        places = np.unique(anchor[window])
+        places = places[np.unique(phrase[places], return_index=True)[1]]
+        used, number = np.unique(self.word[places[:, None] + np.arange(PHRASE)], return_inverse=True)
+        digits = 1
+        while _DIGIT**digits < len(used):
+            digits += 1
+        step = _DIGIT ** np.arange(digits)
+        symbols = lambda x: (x[..., None] // step % _DIGIT + 1 + _DIGIT * np.arange(digits)).astype("<u4")
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for k in symbols(number.reshape(-1, PHRASE)).reshape(len(places), -1):
+            automaton.add_word(k.tobytes().decode("utf-32-le"))
+        automaton.make_automaton()
+        code = np.full(len(self.vocabulary), -1, np.int64)
+        code[used] = np.arange(len(used))
+        own = code[self.word]
+        text = symbols(own)
+        text[own < 0] = 0  # in no phrase
+        met = np.fromiter((end for end, _ in automaton.iter(text.tobytes().decode("utf-32-le"))), np.int64)
+        located = np.zeros(len(self.word) + 1, bool)
+        located[met // digits - PHRASE + 1] = True
+        hit = np.flatnonzero(located[anchor] & earlier)
+        # windows of a row that overlap or touch are one span
+        start, row = self.at[hit], self.row[self.at[hit]]
+        new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (start[1:] > start[:-1] + WINDOW))[: len(row)])
+        last = np.append(new[1:], len(row))[: len(new)] - 1
+        found, start, stop = row[new], start[new] - self.begin[row[new]], start[last] + WINDOW - self.begin[row[new]]
+        return pa.table([pa.array(doc_id[found]), self.rows["key"].combine_chunks().take(pa.array(found)), pa.array(at[found] + start), pa.array(at[found] + stop)], schema=SPANS_ARROW)
+
+
+def _hashed(lane: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each place on, from hashes of words."""
+    out = np.zeros(len(at), np.uint64)
+    for j in range(n):
+        out = out * _WORD + lane[at + j]
+        out ^= out >> np.uint64(29)
+    return _mixed(out)
+
+
+def _column_hashes(words: pa.StringArray) -> np.ndarray:
+    """Hash of each word of a column."""
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8) if ends[-1] else np.zeros(0, np.uint8)
+    parts = [_word_hashes(data, ends[:-1][k : k + _BLOCK], ends[1:][k : k + _BLOCK]) for k in range(0, len(words), _BLOCK)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+SPANS_ARROW = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("start", pa.int64()), ("stop", pa.int64())])
+SPANS = "doc_id long, key binary, start long, stop long"
 
 
-SPANS = "doc_id long, key binary, start long, stop long"
+def _locate_cold(rows: pa.Table) -> pa.Table:
+    s = Shard(rows)
+    at, low, high = s.windows()
+    return s.locate(at[low < high], low[low < high])
 
 
-def _locate_cold(pdf: pd.DataFrame) -> pd.DataFrame:
-    s = Shard(pdf)
-    return s.locate({w: a for w, (a, b) in s.windows.items() if a < b})
+WINDOWS_ARROW = pa.schema([("shard", pa.int64()), ("slot", pa.int32()), ("hash", pa.binary()), ("low", pa.int64()), ("high", pa.int64())])
 
 
-def _list_windows(pdf: pd.DataFrame) -> pd.DataFrame:
-    s = Shard(pdf)
-    rows = [(pdf["shard"].iloc[0], pdf["slot"].iloc[0], h, *s.windows[w]) for h, w in s.hashes().items()]
-    return pd.DataFrame(rows, columns=["shard", "slot", "hash", "low", "high"])
+def _list_windows(rows: pa.Table) -> pa.Table:
+    s = Shard(rows)
+    at, low, high = s.windows()
+    whole = [pa.array(np.full(len(at), rows[c][0].as_py()), kind) for c, kind in (("shard", pa.int64()), ("slot", pa.int32()))]
+    return pa.table([*whole, pa.array(s.hashes(at), pa.binary()), pa.array(low), pa.array(high)], schema=WINDOWS_ARROW)
 
 
-def _locate_hot(pdf: pd.DataFrame, confirmed: pd.DataFrame) -> pd.DataFrame:
-    if not len(pdf):
-        return pd.DataFrame(columns=["doc_id", "key", "start", "stop"])
-    s = Shard(pdf)
-    by_hash = s.hashes()
-    return s.locate({by_hash[h]: int(d) for h, d in zip(confirmed["hash"], confirmed["first"])})
+def _locate_hot(rows: pa.Table, confirmed: pa.Table) -> pa.Table:
+    if not rows.num_rows or not confirmed.num_rows:
+        return SPANS_ARROW.empty_table()
+    s = Shard(rows)
+    at, _, _ = s.windows()
+    first = dict(zip(confirmed["hash"].to_pylist(), confirmed["first"].to_pylist()))
+    found = [first.get(h) for h in s.hashes(at)]
+    known = np.array([f is not None for f in found], bool)
+    return s.locate(at[known], np.array([f for f in found if f is not None], np.int64))
 
 
 def repeated(docs: DataFrame, shard: int = SHARD) -> DataFrame:
-    """doc_id, text, rest (struct of the other columns), spans of each row of ``docs``: spans is an array of struct<key,
-    start, stop> of repeated words, in which key tells rows with equal doc_id apart; null if there are none."""
-    others = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*others, F.lit(0).alias("docloom_end")).alias("rest"))
+    """The columns of ``docs`` and spans, an array of struct<key, start, stop> of repeated words, in which key tells rows
+    with equal doc_id apart; null if there are none. Columns but doc_id and text may have any name except ``spans``."""
+    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     n = partitions(docs)
-    marks = rows.where("doc_id is not null").select("doc_id", "text").mapInArrow(_anchored, "h long, doc_id long")
+    texts = rows.where("doc_id is not null").select("doc_id", "text")
+    marks = materialise(texts.mapInArrow(_anchored, "h long, doc_id long"), "anchors")
     counted = marks.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     recurring = materialise(counted.where("first < last").select("h", "first"), "recurring-anchors")
     found = materialise(marks.join(recurring, "h").select("doc_id", "h", "first"), "anchored")
     sizes = found.groupBy("first").agg(F.count("*").alias("n")).where(F.col("n") > shard)
-    hot = materialise(sizes.select("first", F.ceil(F.col("n") / F.lit(shard / 2)).cast("int").alias("slots")), "hot-documents")
+    # a hot document's slots are small: as they are fewer than tasks, none should weigh much more than another
+    hot = materialise(sizes.select("first", F.ceil(F.col("n") / F.lit(shard / 8)).cast("int").alias("slots")), "hot-documents")
     any_hot = hot.limit(1).count() > 0
     packs = max(n, found.count() // shard + 1)
     cold = (F.pmod(F.xxhash64("first"), F.lit(packs)), F.lit(-1))
@@ -221,15 +325,14 @@ def repeated(docs: DataFrame, shard: int = SHARD) -> DataFrame:
         found = found.join(hot, "first", "left")
         cold = (F.when(F.col("slots").isNull(), cold[0]).otherwise(F.col("first")), F.when(F.col("slots").isNull(), -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("slots")).cast("int")))
     lists = found.select("doc_id", F.struct("h", cold[0].alias("shard"), cold[1].cast("int").alias("slot")).alias("m")).groupBy("doc_id").agg(F.collect_list("m").alias("marks"))
-    # both joins keep every document, so that they share one shuffle of the texts
-    passages = rows.join(lists, "doc_id", "left").mapInArrow(_passages, "shard long, slot int, doc_id long, key binary, at long, passage binary")
-    spans = passages.where("slot = -1").repartition(n, "shard").groupBy("shard").applyInPandas(_locate_cold, SPANS)
+    passages = materialise(texts.join(lists, "doc_id").mapInArrow(_passages, "shard long, slot int, doc_id long, key binary, at long, passage binary"), "passages")
+    spans = passages.where("slot = -1").repartition(n, "shard").groupBy("shard").applyInArrow(_locate_cold, SPANS)
     if any_hot:
-        hot_passages = materialise(passages.where("slot >= 0"), "hot-passages")
-        windows = materialise(hot_passages.groupBy("shard", "slot").applyInPandas(_list_windows, "shard long, slot int, hash binary, low long, high long"), "hot-windows")
+        hot_passages = passages.where("slot >= 0").repartition(n, "shard", "slot")
+        windows = materialise(hot_passages.groupBy("shard", "slot").applyInArrow(_list_windows, "shard long, slot int, hash binary, low long, high long"), "hot-windows")
         first = windows.groupBy("shard", "hash").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last").drop("last")
-        confirmed = windows.select("shard", "slot", "hash").join(first, ["shard", "hash"])
-        spans = spans.unionByName(hot_passages.groupBy("shard", "slot").cogroup(confirmed.groupBy("shard", "slot")).applyInPandas(_locate_hot, SPANS))
+        confirmed = windows.select("shard", "slot", "hash").join(first, ["shard", "hash"]).select("shard", "slot", "hash", "first")
+        spans = spans.unionByName(hot_passages.groupBy("shard", "slot").cogroup(confirmed.groupBy("shard", "slot")).applyInArrow(_locate_hot, SPANS))
     listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "stop")).alias("spans"))
     return rows.join(listed, "doc_id", "left")
 
@@ -261,7 +364,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` with each text that loses words replaced by what is left of it, joined by blanks; n_chars, where there
-    is such a column, follows."""
+    is such a column, follows. Other columns may have any name."""
 
     def work(batches):
         for b in batches:
@@ -274,11 +377,14 @@ def cleaned(docs: DataFrame) -> DataFrame:
             at = b.schema.names.index
             yield pa.record_batch([b.column(at("doc_id")), pa.array(out, pa.string()), b.column(at("rest"))], ["doc_id", "text", "rest"])
 
-    found = repeated(docs)
-    kept = found.drop("spans")
-    out = found.mapInArrow(work, kept.schema)
-    columns = [F.col(c) if c in ("doc_id", "text") else F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("rest").getField(c).alias(c) for c in docs.columns]
-    return out.select(*columns)
+    # other columns travel under numbers, so that none clashes with the names used here
+    named = docs.toDF(*(c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)))
+    others = [c for c in named.columns if c not in ("doc_id", "text")]
+    rows = repeated(named.select("doc_id", "text", F.struct(F.lit(0).alias("c"), *others).alias("rest"))).select("doc_id", "text", "rest", "spans")
+    out = rows.mapInArrow(work, rows.drop("spans").schema)
+    n_chars = F.char_length("text")
+    columns = [F.col(c) if c == "text" else F.col(c).cast(docs.schema[i].dataType) if c == "doc_id" else (F.coalesce(n_chars.cast(docs.schema[i].dataType), F.col("rest").getField(c)) if docs.columns[i] == "n_chars" else F.col("rest").getField(c)) for i, c in enumerate(named.columns)]
+    return out.select(*(c.alias(name) for c, name in zip(columns, docs.columns)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from docloom.llm import substrings
@@ -61,3 +63,36 @@ def test_repeated_ids_and_empty_table(spark):
 def test_query_against_brute_force(spark):
     got = sorted(map(tuple, substrings.query(spark, SF).collect()))
     assert got == brute((r.doc_id, r.text) for r in table(spark, SF, "documents").collect())
+
+
+def test_blocks_and_long_words_leave_anchors_alone(monkeypatch):
+    rng = random.Random(2)
+    raw = " ".join(rng.choice(["a", "bb", "é" * 9, "x" * 300, "y" * 5_000, "c"]) + " " * rng.randrange(3) for _ in range(400)).encode()
+    data = np.frombuffer(raw + b" " * 90_000 + raw[:200], np.uint8)
+    starts, ends = substrings.word_spans(data)
+    words = substrings._word_hashes(data, starts, ends)
+    assert len(set(words.tolist())) == len({data[a:b].tobytes() for a, b in zip(starts, ends)})
+    whole = substrings.anchors(data, starts, ends)
+    monkeypatch.setattr(substrings, "_BLOCK", 7)
+    substrings._powers.cache_clear()
+    parts = substrings.anchors(data, starts, ends)
+    substrings._powers.cache_clear()
+    assert all((a == b).all() for a, b in zip(whole, parts))
+
+
+def test_equal_hashes_of_different_windows(monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    rows = pa.table({"doc_id": [1, 2, 3], "key": [b"a", b"b", b"c"], "at": [0, 0, 0], "passage": [" ".join(w).encode() for w in (words, words[5:30], words[::-1])]})
+    monkeypatch.setattr(substrings, "_hashed", lambda lane, at, n: np.zeros(len(at), np.uint64))
+    s = substrings.Shard(rows)
+    at, low, high = s.windows()
+    assert len(at) == 28 + 28 and (low < high).sum() == 13
+
+
+def test_cleaned_keeps_columns_of_any_name(spark):
+    t = " ".join(f"a{i}" for i in range(30))
+    rows = [(i, x, len(x or ""), "k", 7, "e") for i, x in enumerate([t, "b " + t, None, "x"])]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n_chars int, `a.b` string, docloom_end int, spans string")
+    got = substrings.cleaned(docs)
+    assert got.dtypes == docs.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted([rows[0], (1, "b", 1, "k", 7, "e"), *rows[2:]])

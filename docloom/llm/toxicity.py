@@ -5,13 +5,16 @@ the labels, how near they stand to second-person words, the rates of capitals, e
 letters masked by digits or symbols (with insults that only show once unmasked), and the length.
 
 The model is fitted on at most ``SAMPLE_ROWS`` labelled rows, drawn by a hash of doc_id among those that may be learned
-from: words are learned on one half, trees and calibration on parts of the other, so that a feature is never fitted and
-used on the same rows. Words are counted by Spark; what reaches the driver is bounded by ``LEXICON`` entries and by the
-sample's rows of features. Scoring is one pass without a shuffle. Labels, lang, source and doc_id are no inputs.
-
-Null and empty texts: all features zero, and the score that these get. Without any labelled row, or with one class
-only, every score is the class share (0 without rows). Repeated doc_ids: each row is scored; labels of a doc_id are
-taken once, the larger first. Empty table: no rows.
+from and written once. All of them serve every step, in ``FOLDS`` folds, so that nothing is fitted and used on the same
+rows: a row's word features come from the words of the other folds, and calibration sees each row's margin under trees
+fitted on the other folds. Words are counted by Spark; what reaches the driver is bounded by ``LEXICON`` entries for each
+fold and by the sample's rows of features. Scoring is one pass without a shuffle. Labels, lang, source and doc_id are no
+inputs.
+
+Null and empty texts: all features zero, and the score that these get. With fewer than two labelled rows of either class,
+nothing tells texts apart and every score is the class share, but below the threshold. Repeated doc_ids: each row is
+scored; for learning, a doc_id gives one row (that with the least text hash) and its labels are taken once, the larger
+first. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -20,12 +23,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rows_of, table
+from .common import materialise, rows_of, table
 
-SAMPLE_ROWS, LEXICON, MIN_DOCS, MIN_ODDS, START = 16_000, 3_000, 3, 4.0, 5
+SAMPLE_ROWS, LEXICON, MIN_DOCS, MIN_ODDS, START, FOLDS = 16_000, 3_000, 3, 4.0, 5, 5
 THRESHOLD = 0.3
 #: Common insults, in English and in the other languages of the tables.
 INSULTS = frozenset("""
@@ -91,6 +94,8 @@ class Trees:
         binned = self._binned(x)
         p = np.clip(y.mean(), 1e-4, 1 - 1e-4)
         self.base, self.trees = float(np.log(p / (1 - p))), []
+        # a leaf has at least this much weight: less where there are few rows, so that they can be told apart at all
+        self.floor = min(self.least, 0.02 * len(y) * p * (1 - p))
         margin = np.full(len(y), self.base)
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-margin))
@@ -113,7 +118,7 @@ class Trees:
                 g, h = (np.bincount(k, v, width * (self.bins + 1)).reshape(width, -1).cumsum(1) for v in (grad, hess))
                 gl, hl, g, h = g[:, :-1], h[:, :-1], g[:, -1:], h[:, -1:]
                 gain = gl**2 / (hl + self.ridge) + (g - gl) ** 2 / (h - hl + self.ridge) - g**2 / (h + self.ridge)
-                gain[(hl < self.least) | (h - hl < self.least)] = 0
+                gain[(hl < self.floor) | (h - hl < self.floor)] = 0
                 for i in np.flatnonzero(gain.max(1) > best):
                     best[i], feature[first + i], cut[first + i] = gain[i].max(), f, gain[i].argmax()
             node = 2 * node + 1 + (binned[np.arange(len(node)), feature[node]] > cut[node])
@@ -149,53 +154,68 @@ class Model:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.trees is None or not texts:
-            return np.full(len(texts), self.share)
+            return np.full(len(texts), min(self.share, THRESHOLD - 0.01))
         m = self.trees.margin(np.stack([features(t, self.learned) for t in texts]))
         # the trees' own order is kept within a flat step of the calibration
         return np.clip(0.98 * np.interp(m, *self.points) + 0.02 / (1 + np.exp(-m)), 0, 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on at most ``rows`` labelled documents of ``docs``."""
-    spark = docs.sparkSession
+    """Fits on at most ``rows`` labelled documents of ``docs``, one row per doc_id."""
     known = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
     learnable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~_held(F.col("doc_id"), 4, 2))
     drawn = known.join(learnable.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(rows)
-    drawn = spark.createDataFrame(drawn.toPandas(), "doc_id long, y int")  # ids and labels of the bounded sample
-    sample = learnable.join(F.broadcast(drawn), "doc_id").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(10)))
+    drawn = docs.sparkSession.createDataFrame(drawn.toPandas(), "doc_id long, y int")  # ids and labels of the bounded sample
+    once = learnable.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = materialise(once.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")), "toxicity-sample")
 
     def tokens(batches):
-        for texts, ys in rows_of(batches, "text", "y"):
-            count: dict[bytes, list[int]] = {}
-            for t, y in zip(texts, ys):
+        for texts, ys, folds in rows_of(batches, "text", "y", "fold"):
+            count: dict[tuple[bytes, int], list[int]] = {}
+            for t, y, f in zip(texts, ys, folds):
                 words = set(words_of(t))
                 for w in words | {w[:START] + b"*" for w in words if len(w) > START}:
-                    count.setdefault(w, [0, 0])[y] += 1
-            yield pa.record_batch([pa.array(list(count), pa.binary()), pa.array([a for a, _ in count.values()], pa.int64()), pa.array([b for _, b in count.values()], pa.int64())], ["token", "clean", "toxic"])
-
-    halves = sample.where("fold < 5")
-    n = [0, 0]
-    for r in halves.groupBy("y").count().collect():
-        n[r["y"]] = r["count"]
-    counted = halves.select("text", "y").mapInArrow(tokens, "token binary, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (n[0] + 1.0))
-    lexicon = counted.where(F.col("toxic") >= MIN_DOCS).withColumn("odds", odds).where(F.col("odds") >= np.log(MIN_ODDS)).orderBy(F.desc("odds"), "token").limit(LEXICON)
-    learned = {bytes(r.token): float(r.odds) for r in lexicon.select("token", "odds").collect()}
+                    count.setdefault((w, f), [0, 0])[y] += 1
+            yield pa.record_batch([pa.array([w for w, _ in count], pa.binary()), pa.array([f for _, f in count], pa.int32()), pa.array([a for a, _ in count.values()], pa.int64()), pa.array([b for _, b in count.values()], pa.int64())], ["token", "fold", "clean", "toxic"])
+
+    n = np.zeros((FOLDS, 2), int)
+    for r in sample.groupBy("fold", "y").count().collect():
+        n[r["fold"], r["y"]] = r["count"]
+    each = [F.sum(F.when(F.col("fold") == f, F.col(c))).alias(f"{c}_{f}") for f in range(FOLDS) for c in ("clean", "toxic")]
+    counted = sample.select("text", "y", "fold").mapInArrow(tokens, "token binary, fold int, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), *each)
+    counted = materialise(counted.where(F.col("toxic") >= MIN_DOCS).na.fill(0), "toxicity-words")
+
+    def lexicon(left_out: int | None) -> dict[bytes, float]:
+        """Log-odds of the words that tell toxic texts apart, without the texts of one fold; at most ``LEXICON``."""
+        clean, toxic, total = F.col("clean"), F.col("toxic"), n.sum(0)
+        if left_out is not None:
+            clean, toxic, total = clean - F.col(f"clean_{left_out}"), toxic - F.col(f"toxic_{left_out}"), total - n[left_out]
+        odds = F.log((toxic + 0.5) / float(total[1] + 1)) - F.log((clean + 0.5) / float(total[0] + 1))
+        best = counted.where(toxic >= MIN_DOCS).select("token", odds.alias("odds")).where(F.col("odds") >= np.log(MIN_ODDS)).orderBy(F.desc("odds"), "token").limit(LEXICON)
+        return {bytes(r.token): float(r.odds) for r in best.collect()}
+
+    y_all, share = n.sum(0), float(n[:, 1].sum() / max(1, n.sum()))
+    if y_all.min() < 2:
+        return Model({}, None, None, share)
+    learned, without = lexicon(None), [lexicon(f) for f in range(FOLDS)]
 
     def vectors(batches):
         for texts, ys, folds in rows_of(batches, "text", "y", "fold"):
-            x = [features(t, learned).tobytes() for t in texts]
-            yield pa.record_batch([pa.array(x, pa.binary()), pa.array(ys, pa.int32()), pa.array(folds, pa.int64())], ["x", "y", "fold"])
-
-    seen = sample.where("fold >= 5").select("text", "y", "fold").mapInArrow(vectors, "x binary, y int, fold long").toPandas().sort_values(["fold", "y", "x"])
-    y = seen["y"].to_numpy(float)
-    share = float(y.mean()) if len(y) else 0.0
-    tuned = (seen["fold"] >= 8).to_numpy()
-    if len(set(y[~tuned])) < 2 or len(set(y[tuned])) < 2:
+            x = [features(t, without[f]).tobytes() for t, f in zip(texts, folds)]
+            yield pa.record_batch([pa.array(x, pa.binary()), pa.array(ys, pa.int32()), pa.array(folds, pa.int32())], ["x", "y", "fold"])
+
+    seen = sample.select("text", "y", "fold").mapInArrow(vectors, "x binary, y int, fold int").toPandas().sort_values(["fold", "y", "x"])
+    x, y, fold = np.stack([np.frombuffer(b, np.float32) for b in seen["x"]]), seen["y"].to_numpy(float), seen["fold"].to_numpy()
+    # margins of rows that neither the words nor the trees have seen
+    apart = np.full(len(y), np.nan)
+    for f in range(FOLDS):
+        own, others = fold == f, fold != f
+        if own.any() and len(set(y[others])) == 2:
+            apart[own] = Trees().fit(x[others], y[others]).margin(x[own])
+    tuned = ~np.isnan(apart)
+    if len(set(y[tuned])) < 2:
         return Model(learned, None, None, share)
-    x = np.stack([np.frombuffer(b, np.float32) for b in seen["x"]])
-    trees = Trees().fit(x[~tuned], y[~tuned])
-    return Model(learned, trees, isotonic(trees.margin(x[tuned]), y[tuned]), share)
+    return Model(learned, Trees().fit(x, y), isotonic(apart[tuned], y[tuned]), share)
 
 
 def _held(doc_id, folds: int, fold: int):
@@ -213,14 +233,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, score double, predicted int")
 
 
-def flag(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a boolean column ``toxic_flag``; for filters, so that whole rows need no join."""
+def is_toxic(text: Column, model: Model) -> Column:
+    """Whether a text's score reaches the threshold; for filters, so that whole rows need no join."""
 
     @F.pandas_udf("boolean")
     def judged(t):
         return t.__class__(model.score(t.tolist()) >= THRESHOLD)
 
-    return docs.withColumn("toxic_flag", judged("text"))
+    return judged(text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from docloom.llm import toxicity
 from docloom.llm.common import table
@@ -45,3 +46,39 @@ def test_isotonic_is_the_best_rising_fit():
 def test_features_see_masked_words():
     plain, masked = toxicity.features("you stup1d m0ron", {}), toxicity.features("you sane person", {})
     assert plain[17] > 0 and masked[17] == 0
+
+
+def test_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 12, (60, 4)).astype(float)
+    y = ((x[:, 2] > 6) ^ (rng.random(60) < 0.1)).astype(float)
+    trees = toxicity.Trees(rounds=1, depth=1, rate=1.0, least=0.0).fit(x, y)
+    g, h, best = y.mean() - y, np.full(60, y.mean() * (1 - y.mean())), []
+    for f in range(4):
+        for c in np.unique(x[:, f])[:-1]:
+            sides = [x[:, f] <= c, x[:, f] > c]
+            gain = sum(g[i].sum() ** 2 / (h[i].sum() + trees.ridge) for i in sides)
+            best.append((gain, f, c, [-g[i].sum() / (h[i].sum() + trees.ridge) for i in sides]))
+    _, f, c, values = max(best, key=lambda b: b[0])
+    want = np.log(y.mean() / (1 - y.mean())) + np.where(x[:, f] <= c, *values)
+    assert np.allclose(trees.margin(x), want)
+
+
+def test_nothing_to_learn_from_marks_nothing(spark):
+    docs = documents(spark, ["you stupid moron"] * 5 + ["a tree"] * 5)
+    for toxic in ([1] * 10, [0] * 10, [1] + [0] * 9):
+        labels = spark.createDataFrame([(i, t) for i, t in enumerate(toxic)], "doc_id long, toxic int")
+        found = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+        assert len(found) == 10 and not any(r.predicted for r in found) and len({r.score for r in found}) == 1
+
+
+def test_repeated_and_null_ids_and_clashing_columns(spark):
+    texts = ["you stupid moron, you are a worthless idiot!"] * 20 + ["the tree is green and the sky is blue"] * 60
+    rows = [(i, t, i, "k") for i, t in enumerate(texts)] + [(5, texts[5], 0, "k")] * 300 + [(None, texts[0], 0, "k"), (None, None, 0, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int, fold string")
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(80)] + [(5, 1)] * 50 + [(None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, rows=70)
+    found = toxicity.score(docs, model).collect()
+    assert len(found) == len(rows) and all(r.predicted == ("stupid" in (t or "")) for r, (_, t, *_) in zip(sorted(found, key=lambda r: (r.doc_id is None, r.doc_id or 0))[:5], rows))
+    kept = docs.where(~toxicity.is_toxic(F.col("text"), model)).collect()
+    assert len(kept) == 61 and {r.fold for r in kept} == {"k"}

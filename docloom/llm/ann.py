@@ -12,9 +12,11 @@ and meets those leaves' vectors in blocks of about ``BLOCK`` by ``BLOCK`` rows:
 split into more blocks. A block hands on one row with the best k of each query. Equal vectors are one class and are searched
 and compared once; a class keeps its k + 1 smallest ids, which is all that a result can show of it.
 
-Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those whose length isn't
-the commonest one (the smaller, if two are). Rows that repeat id and vector count once. With fewer than k candidates all
-are returned. Scores are inner products in double precision. Empty table: no rows.
+Vectors that are null, empty, zero or hold null or non-finite components take no part. A vector's candidates are those of
+its length: the tree holds the commonest length (the smaller, if two are), and vectors of any other length, which should
+be few, are compared with all of theirs. Rows that repeat id and vector count once. With fewer than k candidates all are
+returned. Scores are inner products in double precision; ties go to the smaller id, wherever the cut falls. Empty table:
+no rows.
 """
 
 from __future__ import annotations
@@ -101,10 +103,9 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
-def valid(vectors: DataFrame, dim: int | None = None) -> DataFrame:
+def valid(vectors: DataFrame) -> DataFrame:
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and size(v) > 0")
-    v = v.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    return v if dim is None else v.where(F.size("v") == dim)
+    return v.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
 
 
 def classes(v: DataFrame, k: int) -> DataFrame:
@@ -152,8 +153,10 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     out = "query_id long, rank int, vec_id long, score double"
     if sizes is None:
         return spark.createDataFrame([], out)
-    v = valid(vectors, sizes["d"])
-    own = materialise(classes(v, k), "ann-classes")
+    v = valid(vectors)
+    every = materialise(classes(v, k), "ann-classes")
+    usual = F.size("v") == sizes["d"]
+    own, others = every.where(usual), every.where(~usual)
     n = own.count()
     sample = own.orderBy(F.xxhash64(F.lit("tree"), "rep"), "rep").limit(SAMPLE).select("v").toPandas()
     tree = Tree(_matrix(sample["v"]), int(np.clip(n // PER_LEAF, 1, LEAVES)))
@@ -164,9 +167,10 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
                 yield pa.record_batch([*b.columns, pa.array(tree.assign(_matrix(b.column(1))))], [*b.schema.names, "leaf"])
 
     index = materialise(own.mapInArrow(assign, "rep long, v array<double>, members array<long>, leaf int"), "ann-index")
-    asked = v.where(is_query).select(F.col("vec_id").alias("query_id"), "v").distinct().join(own.select("rep", "v"), "v").select("query_id", "rep")
+    asked = v.where(is_query).select(F.col("vec_id").alias("query_id"), "v").distinct().join(every.select("rep", "v"), "v").select("query_id", "rep")
     asked = materialise(asked, "ann-queries")
-    queries = own.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "v")
+    wanted = every.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "v")
+    queries = wanted.where(usual)
     visits = calibrate(index, queries, tree, k)
 
     # neighbouring leaves share a group of about BLOCK vectors; at most LEAVES rows come to the driver
@@ -193,9 +197,13 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
 
     routed = materialise(queries.mapInArrow(route, "query long, q array<double>, group int, leaves array<int>"), "ann-routed")
     grouped = index.withColumn("group", group("leaf"))
+    # vectors of another length than the usual one are one leaf for each length, which their queries visit
+    odd = (-F.size("v")).cast("int")
+    grouped = grouped.unionByName(others.select("*", F.lit(0).alias("leaf"), odd.alias("group")))
+    routed = routed.unionByName(wanted.where(~usual).select(F.col("rep").alias("query"), F.col("v").alias("q"), odd.alias("group"), F.array(F.lit(0)).alias("leaves")))
     count = lambda df, name: df.groupBy("group").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias(name))
     blocks = F.broadcast(count(grouped, "n_v").join(count(routed, "n_q"), "group"))
-    left = grouped.join(blocks, "group").select("group", F.pmod(F.xxhash64("rep"), F.col("n_v")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("j"), "v", "members", "leaf")
+    left = grouped.join(blocks, "group").select("group", F.pmod(F.xxhash64("rep"), F.col("n_v")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("j"), "rep", "v", "members", "leaf")
     right = routed.join(blocks, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("n_v") - 1)).alias("i"), F.pmod(F.xxhash64("query"), F.col("n_q")).cast("int").alias("j"), "query", "q", "leaves")
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -206,12 +214,16 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
         leaf, place = np.unique(a["leaf"].to_numpy(), return_inverse=True)
         seen = np.stack([np.isin(leaf, own) for own in b["leaves"]])[:, place]
         s = np.where(seen, q @ x.T, -np.inf)
-        m, members = min(k + 1, len(x)), a["members"].to_numpy()
-        at, out = np.argpartition(-s, m - 1, axis=1)[:, :m], []
-        for i, near in enumerate(at):
-            near = near[seen[i, near]]
-            # summed row by row, so that a pair's score is the same in whatever block it stands
-            out.append([{"s": -v, "members": members[j]} for v, j in zip((q[i] * x[near]).sum(1), near)])
+        m, rep, members, out = min(k + 1, len(x)), a["rep"].to_numpy(), a["members"].to_numpy(), []
+        # all that may be level with the last of the best: products of matrices are a little off
+        slack = 1e-9 * np.abs(q).max(1) * np.abs(x).max() * x.shape[1]
+        last = -np.partition(-s, m - 1, axis=1)[:, m - 1] - slack
+        for i in range(len(q)):
+            near = np.flatnonzero(seen[i] & (s[i] >= last[i]))
+            # summed row by row, so that a pair's score is the same in whatever block it stands; ties to the smaller id
+            v = (q[i] * x[near]).sum(1)
+            best = np.lexsort((rep[near], -v))[: k + 1]
+            out.append([{"s": -v[j], "members": members[near[j]]} for j in best])
         return pd.DataFrame({"query": b["query"], "best": out})
 
     n_parts = partitions(vectors)

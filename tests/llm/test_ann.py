@@ -40,9 +40,13 @@ def test_copies_odd_vectors_and_few_rows(spark):
     rng = np.random.default_rng(1)
     base = [(i, rng.normal(size=4).tolist()) for i in range(30)]
     same = [(100 + i, [1.0, 0.0, 0.0, 0.5]) for i in range(80)]
-    odd = [(200, None), (201, [0.0] * 4), (202, [1.0, None, 0.0, 0.0]), (203, [float("nan")] * 4), (204, [1.0]), (205, []), (None, [1.0] * 4), (20, base[20][1])]
+    odd = [(200, None), (201, [0.0] * 4), (202, [1.0, None, 0.0, 0.0]), (203, [float("nan")] * 4), (204, [1.0]), (206, []), (None, [1.0] * 4), (20, base[20][1])]
     frame = spark.createDataFrame([(i, v, "x") for i, v in base + same + odd], "vec_id long, embedding array<double>, score string")
     want = brute(base + same, [r for r in base + same if r[0] % 20 == 0], 20)
+    for i in (205, 260, 280):  # of another length
+        odd.append((i, [1.0, float(i % 7)]))
+    frame = frame.unionByName(spark.createDataFrame([(i, v, "x") for i, v in odd[-3:]], frame.schema))
+    want |= brute(odd[-3:], [r for r in odd[-3:] if r[0] % 20 == 0], 20)
     got = {}
     for r in ann.search(frame, F.col("vec_id") % 20 == 0).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
@@ -59,3 +63,13 @@ def test_blocks(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     want = brute(rows, [r for r in rows if r[0] % 20 == 0], 20)
     assert recall(ann.search(frame, F.col("vec_id") % 20 == 0).collect(), want) >= 0.9
+
+
+def test_ties_at_the_cut_go_to_the_smaller_ids(spark):
+    rows = [(i, [float(j == i) for j in range(64)]) for i in range(64)]
+    frame = spark.createDataFrame([(i, v, i, 0, "c") for i, v in rows], "vec_id long, embedding array<double>, rank int, leaf int, `group` string")
+    got = {}
+    for r in ann.search(frame, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert {q: sorted(x) for q, x in got.items()} == brute(rows, [r for r in rows if r[0] % 20 == 0], 20)
+    assert [v for _, v, _ in sorted(got[40])] == list(range(20))

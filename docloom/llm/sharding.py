@@ -1,24 +1,28 @@
 """Sharding by sampled splitters.
 
-A record's key is the pair (XXH64 of its text, doc_id); its size is the UTF-8 bytes of the text plus 1. A size-weighted
-sample of keys (each record with a probability in proportion to its size, decided by a hash of the record, so that a
-retried task draws the same) gives quantile boundaries over the text hashes, and a record falls in the range between
-two of them. The exact size of each range is then counted. A range that is still overfull - one text that is copied
-very often, or a few huge texts - is subdivided by quantiles of doc_id, sampled from that range alone. Neighbouring
-ranges are laid into shards so that the cumulative size is cut nearest to equal parts (law ``bytes``). As ranges cut
-between texts unless one is overfull, equal texts share a shard whenever they fit.
+A record's key is (XXH64 of its text, doc_id, a number of its own); its size is the UTF-8 bytes of the text plus 1, and
+its weight the size plus the mean size, so that neither bytes nor rows pile up. A weighted sample of keys (each record
+with a probability in proportion to its weight, decided by a hash of the key) gives quantile boundaries over the text
+hashes, and a record falls in the range between two of them. The exact weight of each range is then counted, and a range
+that is overfull is subdivided by a sample of its own, again and again until every range fits or is one row. A cut goes
+before a text, and inside one, by doc_id and then by the row's own number, only if that text fills more than a part.
+Neighbouring ranges are laid into shards so that the cumulative size is cut nearest to equal parts (law ``bytes``). So
+equal texts share a shard whenever they fit a part.
 
 Slots are gapless within a shard: the offset of the range in its shard plus the row's place in its range. No step
-sorts a whole shard in one task, and texts never move: only key, size and checksum do.
+sorts a whole shard in one task, and texts never move: only key, size and checksum do. Keys are written to the shared
+folder once, so a task that runs again sees the same numbers.
 
-Null text: size 1, checksum 0 of no bytes. Repeated doc_ids: rows of their own. Empty table: no rows.
+Null text: size 1, checksum 0 of no bytes. Repeated doc_ids, null ones too: rows of their own. Empty table: no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
@@ -26,6 +30,8 @@ from .common import materialise, table
 SHARDS = 8
 #: First ranges, keys sampled per range, and the share of a shard beyond which a range is subdivided.
 RANGES, PER_RANGE, OVERFULL = 1_024, 32, 1 / 64
+KEY = ("text_hash", "doc_id", "row")
+LOWEST = -(1 << 63)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -35,78 +41,89 @@ def keyed(docs: DataFrame) -> DataFrame:
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("text_hash"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("row"),
     )
 
 
-def _chosen(size, rate, *by):
-    """True for a record with probability min(1, size * rate), decided by its hash."""
-    u = F.pmod(F.xxhash64(F.lit("sample"), *by), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return u < size * rate
-
-
-def splitters(values: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-    """At most n - 1 ascending distinct values that cut the sample into n parts of equal weight."""
-    if not len(values):
-        return np.zeros(0, np.int64)
-    order = np.argsort(values, kind="stable")
-    total = np.cumsum(weights[order])
-    at = np.searchsorted(total, total[-1] * np.arange(1, n) / n)
-    return np.unique(values[order][np.minimum(at, len(order) - 1)])
-
-
-def _sampled(rows: DataFrame, column: str, total: int, n: int) -> np.ndarray:
-    """Quantile boundaries from a size-weighted sample of about n * PER_RANGE rows."""
-    rate = n * PER_RANGE / max(total, 1)
-    drawn = rows.where(_chosen(F.col("size"), F.lit(rate), "doc_id", "text_hash")).select(column, F.greatest(F.col("size"), F.lit(1 / rate)).alias("w")).toPandas()
-    return splitters(drawn[column].to_numpy(np.int64), drawn["w"].to_numpy(float), n)
-
-
-def _subdivided(rows: DataFrame, full: pd.DataFrame, limit: float) -> dict[int, np.ndarray]:
-    """doc_id boundaries inside each overfull range, from one sample of about 2 * PER_RANGE rows a part."""
-    parts = np.ceil(full["size"] / limit).astype(int) * 2
-    rates = full.assign(rate=parts * PER_RANGE / full["size"])[["range", "rate"]].astype({"range": "int32", "rate": float})
-    few = rows.sparkSession.createDataFrame(rates, "range int, rate double")
-    drawn = rows.join(F.broadcast(few), "range").where(_chosen(F.col("size"), F.col("rate"), "doc_id", "text_hash"))
-    drawn = drawn.select("range", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.greatest(F.col("size"), 1 / F.col("rate")).alias("w")).toPandas()
-    n = dict(zip(full["range"], parts))
-    return {int(r): splitters(g["doc_id"].to_numpy(np.int64), g["w"].to_numpy(float), n[r]) for r, g in drawn.groupby("range")}
+def _sampled(rows: DataFrame, rate: Column) -> pd.DataFrame:
+    """Keys (doc_id not null) and weights of a sample: a row with probability min(1, weight * rate), decided by its hash."""
+    u = F.pmod(F.xxhash64(F.lit("sample"), *KEY), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    found = rows.withColumn("rate", rate).where(u < F.col("weight") * F.col("rate"))
+    kept = [c for c in ("range",) if c in rows.columns]
+    return found.select(*kept, "text_hash", F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"), "row", F.greatest("weight", 1 / F.col("rate")).alias("weight")).toPandas()
+
+
+def splitters(keys: pd.DataFrame, n: int) -> list[tuple[int, int, int]]:
+    """At most n - 1 ascending distinct keys that cut the sample (of positive weight) into n parts of about equal weight.
+    A text that holds fewer than two of the cuts is not cut: the cut goes before it."""
+    if not len(keys):
+        return []
+    keys = keys.sort_values(list(KEY), ignore_index=True)
+    total = keys["weight"].cumsum().to_numpy()
+    at = np.minimum(np.searchsorted(total, total[-1] * np.arange(1, n) / n), len(keys) - 1)
+    cuts = keys.loc[at, list(KEY)].to_numpy(np.int64).tolist()
+    texts = Counter(t for t, _, _ in cuts)
+    return sorted({(t, LOWEST, LOWEST) for t in texts} | {(t, d, r) for t, d, r in cuts if texts[t] > 1})
+
+
+def _between(cuts: list[tuple[int, int, int]], text_hash: np.ndarray, doc_id: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """How many cuts are at or below each key."""
+    texts = np.array([t for t, _, _ in cuts], np.int64)
+    low, high = np.searchsorted(texts, text_hash, side="left"), np.searchsorted(texts, text_hash, side="right")
+    found = high.copy()
+    inside = np.flatnonzero(high - low > 1)  # texts that are cut themselves
+    for t in np.unique(text_hash[inside]):
+        own = inside[text_hash[inside] == t]
+        a, b = low[own[0]], high[own[0]]
+        keys = np.concatenate([np.array([c[1:] for c in cuts[a:b]], np.int64), np.stack([doc_id[own], row[own]], 1)])
+        order = np.lexsort((np.arange(len(keys)) >= b - a, keys[:, 1], keys[:, 0]))  # a cut comes before an equal key
+        upto = np.empty(len(keys), np.int64)
+        upto[order] = np.cumsum(order < b - a)
+        found[own] = a + upto[b - a :]
+    return found.astype(np.int32)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row of ``docs``, under the law ``bytes``."""
     rows = materialise(keyed(docs), "sharding-keys")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    cuts = _sampled(rows, "text_hash", total, ranges)
+    total, n = rows.agg(F.sum("size"), F.count("*")).first()
+    total = total or 0
+    rows = rows.withColumn("weight", F.col("size") + total / max(n, 1))
+    limit = max(1.0, 2 * total / shards * OVERFULL)
+    cuts = splitters(_sampled(rows, F.lit(ranges * PER_RANGE / max(2 * total, 1))), ranges)
+    while True:
+        ranged, sizes = _ranged(rows, cuts)
+        full = sizes[(sizes["weight"] > limit) & (sizes["n"] > 1)]
+        if not len(full):
+            break
+        parts = np.ceil(full["weight"] / limit).astype(int) * 2
+        rates = full.assign(rate=parts * PER_RANGE / full["weight"])[["range", "rate"]].astype({"range": "int32", "rate": float})
+        drawn = _sampled(ranged.join(F.broadcast(rows.sparkSession.createDataFrame(rates, "range int, rate double")), "range"), F.col("rate"))
+        many = dict(zip(full["range"], parts))
+        more = {c for r, g in drawn.groupby("range") for c in splitters(g, many[r])} - set(cuts)
+        if not more:  # what is left cannot be cut further
+            break
+        cuts = sorted({*cuts, *more})
+    sizes = sizes.sort_values("range", ignore_index=True)
+    middle = sizes["size"].cumsum() - sizes["size"] / 2
+    sizes["shard"] = np.minimum(shards - 1, (middle * shards // max(total, 1)).astype(int)).astype(np.int32) if len(sizes) else 0
+    sizes["offset"] = sizes.groupby("shard")["n"].cumsum() - sizes["n"] if len(sizes) else 0
+    places = docs.sparkSession.createDataFrame(sizes[["range", "shard", "offset"]].astype({"range": "int32", "shard": "int32", "offset": "int64"}), "range int, shard int, offset long")
+    place = Window.partitionBy("range").orderBy(*KEY)
+    return ranged.withColumn("at", F.row_number().over(place)).join(F.broadcast(places), "range").select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("at") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    )
 
-    @F.pandas_udf("int")
-    def range_of(h: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, h.to_numpy(np.int64), side="left").astype(np.int32))
 
-    rows = rows.withColumn("range", range_of("text_hash"))
-    sizes = rows.groupBy("range").agg(F.sum("size").alias("size")).toPandas()  # at most ``ranges`` rows
-    limit = max(1.0, total / shards * OVERFULL)
-    full = sizes[sizes["size"] > limit]
-    within = _subdivided(rows, full, limit) if len(full) else {}
+def _ranged(rows: DataFrame, cuts: list[tuple[int, int, int]]) -> tuple[DataFrame, pd.DataFrame]:
+    """``rows`` with their range, and the size, weight and rows of each range: at most one more than there are cuts."""
 
     @F.pandas_udf("int")
-    def part_of(r: pd.Series, i: pd.Series) -> pd.Series:
-        found, ids = np.zeros(len(r), np.int32), i.fillna(-(2**63)).to_numpy(np.int64)
-        for k in np.intersect1d(r.unique(), list(within)):
-            at = (r == k).to_numpy()
-            found[at] = np.searchsorted(within[k], ids[at], side="left")
-        return pd.Series(found)
-
-    rows = rows.withColumn("part", part_of("range", "doc_id"))
-    counted = rows.groupBy("range", "part").agg(F.sum("size").alias("size"), F.count("*").alias("n")).toPandas()
-    counted = counted.sort_values(["range", "part"], ignore_index=True)
-    middle = counted["size"].cumsum() - counted["size"] / 2
-    counted["shard"] = np.minimum(shards - 1, (middle * shards // max(total, 1)).astype(int)).astype(np.int32) if len(counted) else 0
-    counted["offset"] = counted.groupby("shard")["n"].cumsum() - counted["n"] if len(counted) else 0
-    places = docs.sparkSession.createDataFrame(counted[["range", "part", "shard", "offset"]].astype({"range": "int32", "part": "int32", "shard": "int32", "offset": "int64"}), "range int, part int, shard int, offset long")
-    place = Window.partitionBy("range", "part").orderBy("text_hash", "doc_id", "size", "text_crc32")
-    return rows.withColumn("at", F.row_number().over(place)).join(F.broadcast(places), ["range", "part"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("at") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    def range_of(t: pd.Series, i: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series(_between(cuts, t.to_numpy(np.int64), i.to_numpy(np.int64), r.to_numpy(np.int64)))
+
+    ranged = rows.withColumn("range", range_of("text_hash", F.coalesce("doc_id", F.lit(LOWEST)), "row"))
+    return ranged, ranged.groupBy("range").agg(F.sum("size").alias("size"), F.sum("weight").alias("weight"), F.count("*").alias("n")).toPandas()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 A text's subwords are all byte n-grams of its letters (ASCII digits, punctuation and controls count as blanks); each
 falls into one of ``BUCKETS`` rows of an embedding table, the text is the mean of its rows, and a linear softmax over
 that mean gives the languages. Table and softmax are trained together by stochastic gradient descent in numpy, on at
-most ``SAMPLE_ROWS`` documents with a language, drawn by a hash of doc_id; whole texts are used. A tenth of the sample
+most ``SAMPLE_ROWS`` documents with a language, drawn by a hash of doc_id, one row for each; whole texts are used. A tenth of the sample
 is kept from training: on it a temperature is fitted, so that a score is the chance of being right, and the score below
 which a prediction counts as rejected. As the softmax is linear, embedding and weights fold into one table of
 bucket x language for prediction, which is one pass without a shuffle.
@@ -115,7 +115,8 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
                     at = np.flatnonzero(c)
                     yield pa.record_batch([pa.array([d], pa.int64()), pa.array([lang]), pa.array([at.astype("<u2").tobytes()]), pa.array([(c[at] / c.sum()).astype("<f4").tobytes()])], ["doc_id", "lang", "at", "share"])
 
-    seen = learnable.join(F.broadcast(ids), "doc_id").mapInArrow(sparse, "doc_id long, lang string, at binary, share binary").toPandas().sort_values(["doc_id", "lang", "share"], ignore_index=True)
+    once = learnable.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "lang"), F.xxhash64("text", "lang")).alias("x")).select("doc_id", "x.*")
+    seen = once.mapInArrow(sparse, "doc_id long, lang string, at binary, share binary").toPandas().sort_values(["doc_id", "lang", "share"], ignore_index=True)
     langs = sorted(seen["lang"].unique())
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 1.0)

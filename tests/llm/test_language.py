@@ -26,3 +26,12 @@ def test_odd_rows(spark):
     none = language.fit(docs.limit(0))
     assert language.predict(docs.limit(0), none).count() == 0
     assert {r.lang_pred for r in language.predict(docs, none).collect()} == {"und"}
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    rows = [(i, f"plain english words here {i}" if i % 2 else f"und deutsche wörter hier {i}", "en" if i % 2 else "de", "k", 1) for i in range(40)]
+    rows += [(7, "plain english words here 7", "en", "k", 1)] * 500 + [(None, "plain english", None, "k", 1), (None, None, "en", "k", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, `at` string, share int")
+    found = language.predict(docs, language.fit(docs, rows=30)).collect()
+    assert len(found) == len(rows) and {r.lang_pred for r in found} == {"en", "de", "und"}
+    assert {r.lang_pred for r in found if r.doc_id == 7} == {"en"}

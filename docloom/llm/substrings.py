@@ -17,9 +17,10 @@ automaton of the windows themselves finds the same, with thirteen times as many
 
 Skew: shards of ordinary first documents are packed to about ``SHARD`` anchors. A first document with more than that
 (a large group of near copies, a passage in a third of all documents) is hot: its passages are dealt over slots by
-document, each slot lists its distinct windows, these are confirmed across slots by a combined aggregation on their
-128-bit hashes, and each slot locates what was confirmed of its own windows. In an automaton a word is written with a
-few of ``_DIGIT`` symbols, so that looking up a branch stays short however many words a shard has.
+document, and each slot holds the first document besides, so that it can tell by itself what repeats that one. Only
+windows that the first document lacks are listed by the slots, confirmed across them by a combined aggregation on their
+128-bit hashes, and located in each slot. In an automaton a word is written with a few of ``_DIGIT`` symbols, so that
+looking up a branch stays short however many words a shard has.
 
 Memory: texts are hashed in blocks of words; a task holds one text and one shard's or slot's passages.
 
@@ -145,9 +146,8 @@ def _passages(batches):
             at, h = anchors(data, starts, ends)
             known = np.array([x["h"] for x in m], np.int64)
             order = np.argsort(known)
-            place = order[np.searchsorted(known[order], h.view(np.int64)).clip(max=len(known) - 1)]
-            hit = known[place] == h.view(np.int64)
-            at, place = at[hit], place[hit]
+            low, high = (np.searchsorted(known[order], h.view(np.int64), side=x) for x in ("left", "right"))
+            at, place = np.repeat(at, high - low), order[ragged(low, high - low)]  # a hot first document has a mark for each slot
             shard, slot = np.array([x["shard"] for x in m], np.int64)[place], np.array([x["slot"] for x in m], np.int32)[place]
             key = hashlib.blake2b(raw, digest_size=8).digest()
             for s, k in sorted(set(zip(shard.tolist(), slot.tolist()))):
@@ -288,21 +288,27 @@ WINDOWS_ARROW = pa.schema([("shard", pa.int64()), ("slot", pa.int32()), ("hash",
 
 
 def _list_windows(rows: pa.Table) -> pa.Table:
+    """The slot's windows but those of the shard's first document, which it knows whole."""
     s = Shard(rows)
     at, low, high = s.windows()
+    at, low, high = (x[low != rows["shard"][0].as_py()] for x in (at, low, high))
     whole = [pa.array(np.full(len(at), rows[c][0].as_py()), kind) for c, kind in (("shard", pa.int64()), ("slot", pa.int32()))]
     return pa.table([*whole, pa.array(s.hashes(at), pa.binary()), pa.array(low), pa.array(high)], schema=WINDOWS_ARROW)
 
 
 def _locate_hot(rows: pa.Table, confirmed: pa.Table) -> pa.Table:
-    if not rows.num_rows or not confirmed.num_rows:
+    if not rows.num_rows:
         return SPANS_ARROW.empty_table()
     s = Shard(rows)
-    at, _, _ = s.windows()
-    first = dict(zip(confirmed["hash"].to_pylist(), confirmed["first"].to_pylist()))
-    found = [first.get(h) for h in s.hashes(at)]
-    known = np.array([f is not None for f in found], bool)
-    return s.locate(at[known], np.array([f for f in found if f is not None], np.int64))
+    at, low, high = s.windows()
+    first = rows["shard"][0].as_py()
+    known, others = (low == first) & (low < high), np.flatnonzero(low != first)
+    if confirmed.num_rows:
+        told = dict(zip(confirmed["hash"].to_pylist(), confirmed["first"].to_pylist()))
+        for i, h in zip(others.tolist(), s.hashes(at[others])):
+            if h in told:
+                low[i], known[i] = told[h], True
+    return s.locate(at[known], low[known])
 
 
 def repeated(docs: DataFrame, shard: int = SHARD) -> DataFrame:
@@ -315,15 +321,18 @@ def repeated(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     counted = marks.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     recurring = materialise(counted.where("first < last").select("h", "first"), "recurring-anchors")
     found = materialise(marks.join(recurring, "h").select("doc_id", "h", "first"), "anchored")
-    sizes = found.groupBy("first").agg(F.count("*").alias("n")).where(F.col("n") > shard)
-    # a hot document's slots are small: as they are fewer than tasks, none should weigh much more than another
-    hot = materialise(sizes.select("first", F.ceil(F.col("n") / F.lit(shard / 8)).cast("int").alias("slots")), "hot-documents")
+    sizes = found.groupBy("first").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id") == F.col("first")).alias("own")).where(F.col("n") > shard)
+    # a hot document's slots are small, but not smaller than the document itself, which each of them holds
+    slots = F.ceil(F.col("n") / F.greatest(F.lit(shard / 8), F.col("own"))).cast("int")
+    hot = materialise(sizes.select("first", slots.alias("slots")), "hot-documents")
     any_hot = hot.limit(1).count() > 0
     packs = max(n, found.count() // shard + 1)
     cold = (F.pmod(F.xxhash64("first"), F.lit(packs)), F.lit(-1))
     if any_hot:
-        found = found.join(hot, "first", "left")
-        cold = (F.when(F.col("slots").isNull(), cold[0]).otherwise(F.col("first")), F.when(F.col("slots").isNull(), -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("slots")).cast("int")))
+        own_slot = F.pmod(F.xxhash64("doc_id"), F.col("slots")).cast("int")
+        every = F.when(F.col("slots").isNull(), F.array(F.lit(-1))).when(F.col("doc_id") == F.col("first"), F.sequence(F.lit(0), F.col("slots") - 1)).otherwise(F.array(own_slot))
+        found = found.join(hot, "first", "left").withColumn("slot", F.explode(every))
+        cold = (F.when(F.col("slots").isNull(), cold[0]).otherwise(F.col("first")), F.col("slot"))
     lists = found.select("doc_id", F.struct("h", cold[0].alias("shard"), cold[1].cast("int").alias("slot")).alias("m")).groupBy("doc_id").agg(F.collect_list("m").alias("marks"))
     passages = materialise(texts.join(lists, "doc_id").mapInArrow(_passages, "shard long, slot int, doc_id long, key binary, at long, passage binary"), "passages")
     spans = passages.where("slot = -1").repartition(n, "shard").groupBy("shard").applyInArrow(_locate_cold, SPANS)

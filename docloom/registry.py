@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("text", "access", "retrieval", "versions", "evaluation", "structure", "documents", "evidence", "streams")
+MODULES = ("text", "access", "chunking", "retrieval", "versions", "evaluation", "structure", "documents", "evidence", "streams")
 
 
 def query(name: str, sql: str | None = None):

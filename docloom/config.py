@@ -31,7 +31,10 @@ class Limits:
 
 
 FREE = Limits()
-PAID = Limits(4, 30, 30, 25, 8, 16, 4, 4, 4, 16, 6, 16, 32_000)
+PAID = Limits(
+    sub_queries=4, vector=30, keyword=30, parents=25, rerank=8, round_chunks=16, seeds=4, references=4, table_parts=4,
+    chapter=16, rounds=6, context_chunks=16, context_chars=32_000,
+)
 #: Constant and weights of reciprocal-rank fusion.
 FUSION_K = 10
 WEIGHTS = {"vector": 1.0, "identifier": 2.5, "phrase": 1.5, "keyword": 1.0}

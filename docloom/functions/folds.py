@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import math
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterable
 from html.parser import HTMLParser
-
-SENTENCE = re.compile(r'(?<=[.?!])\s+(?=[A-Z0-9("“])')
-LABEL = re.compile(r"\d+(\.\d+)*\.")
-
+from itertools import accumulate
 
 def text_sources(text: str, most: int = 12_000) -> list[str]:
     """Pieces of at most ``most`` characters, cut after the last blank line if that lies past the half."""
@@ -25,45 +22,6 @@ def text_sources(text: str, most: int = 12_000) -> list[str]:
     return out or [""]
 
 
-def build_units(lines: Iterable[tuple[int, str]], wide: float | None) -> list[tuple[str, str, int]]:
-    """(kind, text, page) of the units of (page, line) in order: a line with tabs is a row; other lines go on while they
-    are wide and don't end a sentence, and are then split into sentences. ``wide`` None: no line is."""
-    wide = math.inf if wide is None else wide
-    units, buffer, at = [], "", 0
-
-    def push(kind: str, text: str, page: int) -> None:
-        if text := " ".join(text.split()):
-            units.append((kind, text, page))
-
-    def flush() -> None:
-        nonlocal buffer
-        if buffer:
-            parts: list[str] = []
-            for p in SENTENCE.split(buffer):
-                if parts and LABEL.fullmatch(parts[-1]):
-                    parts[-1] += f" {p}"
-                else:
-                    parts.append(p)
-            kind = "sentence" if len(parts) > 1 or buffer.strip()[-1:] in tuple(".?!") else "line"
-            for p in parts:
-                push(kind, p, at)
-            buffer = ""
-
-    for page, line in lines:
-        if "\t" in line:
-            flush()
-            push("row", line.replace("\t", " | "), page)
-            continue
-        if not buffer:
-            at = page
-        hyphen = re.search(r"[A-Za-z]-$", buffer)
-        buffer = line if not buffer else buffer + line if hyphen else f"{buffer} {line}"
-        if len(line) < wide or line[-1:] in tuple(".?!:;"):
-            flush()
-    flush()
-    return units
-
-
 def kept_in_order(old: list, new: list) -> int:
     """Length of the longest common subsequence, in time of the length times the number of differences."""
     start = 0
@@ -115,32 +73,30 @@ def link_units(units: list[tuple[str, int]], chunks: list[tuple[object, set, str
     return out
 
 
-def summary_batches(text: str, most: int, count: Callable[[str], int], slice_chars: int = 12_000) -> list[str]:
-    """Paragraphs of over 40 characters packed in order up to ``most`` tokens; longer ones by sentence, and sentences that
-    are still too long by slices."""
-    batches, now, used = [], "", 0
+def _summary_pieces(text: str, most: int, count: Callable[[str], int], slice_chars: int) -> Iterable[tuple[str, int]]:
+    """(what is printed, tokens): paragraphs of over 40 characters, in sentences or slices of these where they're too long."""
+    for paragraph in text.split("\n\n"):
+        if len(paragraph.strip()) <= 40:
+            continue
+        if count(paragraph) <= most:
+            parts = [f"{paragraph}\n\n"]
+        else:
+            sentences = re.split(r"(?<=[.?!])\s+", paragraph)
+            cut = lambda s: [x[k : k + slice_chars] for x in s.split("\n") for k in range(0, len(x), slice_chars)]
+            parts = [x for s in sentences for x in ([s] if count(s) <= most else cut(s))]
+        whole = len(parts) == 1 and parts[0].endswith("\n\n")
+        yield from ((f"{x} " + ("" if whole or i < len(parts) - 1 else "\n\n"), count(x)) for i, x in enumerate(parts))
 
-    def add(piece: str) -> None:
-        nonlocal now, used
-        n = count(piece)
-        if used + n > most and now:
-            batches.append(now.strip())
-            now, used = "", 0
-        now, used = f"{now}{piece} ", used + n
 
-    for p in (p for p in text.split("\n\n") if len(p.strip()) > 40):
-        if count(p) <= most:
-            add(p + "\n\n")
-            continue
-        for s in re.split(r"(?<=[.?!])\s+", p):
-            if count(s) <= most:
-                add(s)
-            else:
-                for line in s.split("\n"):
-                    for k in range(0, len(line), slice_chars):
-                        add(line[k : k + slice_chars])
-        now += "\n\n"
-    return [*batches, now] if now.strip() else batches
+def summary_batches(text: str, most: int, count: Callable[[str], int], slice_chars: int = 12_000) -> list[str]:
+    """The pieces of a text packed in order up to ``most`` tokens: each batch goes as far as the running total allows."""
+    pieces = list(_summary_pieces(text, most, count, slice_chars))
+    upto = [0, *accumulate(n for _, n in pieces)]
+    cuts = [0]
+    while cuts[-1] < len(pieces):
+        cuts.append(max(cuts[-1] + 1, bisect_right(upto, upto[cuts[-1]] + most) - 1))
+    batches = ["".join(x for x, _ in pieces[a:b]) for a, b in zip(cuts, cuts[1:])]
+    return [x.strip() for x in batches[:-1]] + batches[-1:]
 
 
 def recursive_split(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:

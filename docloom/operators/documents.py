@@ -9,13 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import folds
-from docloom.functions.text import unit_hash
+from docloom.functions.text import collapse, trim_all, unit_hash
 
-UNITS = "doc_id long, position int, kind string, text string, page int"
 
 
 def text_sources(docs: DataFrame, most: int = 12_000) -> DataFrame:
@@ -38,18 +37,35 @@ def html_to_markdown(html: Column) -> Column:
     return turn(html)
 
 
-def build_units(lines: DataFrame, widths: DataFrame) -> DataFrame:
-    """doc_id, position, kind, text, page, hash: the units of each document. lines: doc_id, page, line_no, text; widths:
-    doc_id, wide."""
+#: Where a sentence ends, and a number that goes with the sentence after it.
+SENTENCE_END, LABEL = r"""(?<=[.?!])\s+(?=[A-Z0-9("“])""", r"^\d+(\.\d+)*\.$"
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page", "line_no"])
-        wide = pdf["wide"].iloc[0]
-        units = folds.build_units(zip(pdf["page"], pdf["text"]), None if pd.isna(wide) else float(wide))
-        return pd.DataFrame([(pdf["doc_id"].iloc[0], i, *u) for i, u in enumerate(units)], columns=["doc_id", "position", "kind", "text", "page"])
 
-    rows = lines.join(widths, "doc_id", "left").select("doc_id", "page", "line_no", "text", "wide")
-    return rows.groupBy("doc_id").applyInPandas(fold, UNITS).withColumn("hash", unit_hash(F.col("text")))
+def build_units(lines: DataFrame, widths: DataFrame) -> DataFrame:
+    """doc_id, position, kind, text, page, hash: the units of each document. lines: doc_id, page, line_no, text; widths:
+    doc_id, wide (null: no line is).
+
+    A line ends its unit if it is short, ends a sentence, or is a row (has tabs), or if a row follows: units are the runs
+    between such ends, numbered by a running count. A run's lines are joined, without a blank after a hyphen, and split
+    into sentences."""
+    rows = lines.join(widths, "doc_id", "left")
+    order = Window.partitionBy("doc_id").orderBy("page", "line_no")
+    row = F.contains("text", F.lit("\t"))
+    ends = (F.char_length("text") < F.coalesce("wide", F.lit(1 << 30))) | F.right("text", F.lit(1)).isin(*".?!:;")
+    rows = rows.withColumns({"row": row, "ends": row | ends | F.coalesce(F.lead(row).over(order), F.lit(False))})
+    run = F.coalesce(F.sum(F.col("ends").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = F.when(F.col("row"), F.replace("text", F.lit("\t"), F.lit(" | "))).otherwise(F.concat("text", F.when(F.col("text").rlike("[A-Za-z]-$"), "").otherwise(" ")))
+    runs = rows.select("doc_id", run.alias("run"), "page", "line_no", part.alias("part"), "row").groupBy("doc_id", "run").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", "part"))), lambda x: x["part"]), "").alias("whole"), F.min("page").alias("page"), F.bool_or("row").alias("row")
+    )
+    pieces = F.split(F.regexp_replace("whole", " $", ""), SENTENCE_END)
+    joined = F.aggregate(pieces, F.array().cast("array<string>"), lambda done, p: F.when(F.coalesce(F.get(done, F.size(done) - 1).rlike(LABEL), F.lit(False)), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(F.get(done, F.size(done) - 1), F.lit(" "), p)))).otherwise(F.array_append(done, p)))
+    runs = runs.withColumn("parts", F.when(F.col("row"), F.array("whole")).otherwise(joined))
+    sentence = (F.size("parts") > 1) | F.right(trim_all(F.col("whole")), F.lit(1)).isin(*".?!")
+    kind = F.when(F.col("row"), "row").when(sentence, "sentence").otherwise("line")
+    units = runs.select("doc_id", "run", "page", kind.alias("kind"), F.posexplode("parts").alias("i", "text")).withColumn("text", collapse(F.col("text"))).where("text <> ''")
+    position = F.row_number().over(Window.partitionBy("doc_id").orderBy("run", "i")) - 1
+    return units.select("doc_id", position.alias("position"), "kind", "text", "page", unit_hash(F.col("text")).alias("hash"))
 
 
 def diff_moved(old: DataFrame, new: DataFrame, counts: DataFrame) -> DataFrame:

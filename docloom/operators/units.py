@@ -10,15 +10,17 @@ from docloom.functions.text import furniture_key, is_page_number, trim_all, unit
 EDGE = 2
 
 
-def strip_page_furniture(lines: DataFrame) -> DataFrame:
+def strip_page_furniture(lines: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """``lines`` (doc_id, page, line_no, text) trimmed, without blanks, page numbers and lines that repeat at the edges
-    of at least max(3, half) of the document's pages. Null text: dropped as blank."""
+    of at least max(3, half) of the document's pages. Null text: dropped as blank. Pages without text count: they are
+    those of blank ``lines``, or ``pages`` (doc_id, pages) says how many there are."""
+    if pages is None:
+        pages = lines.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"))
     lines = lines.withColumn("text", trim_all(F.col("text"))).where("text <> ''").withColumn("_key", furniture_key(F.col("text")))
     page = Window.partitionBy("doc_id", "page")
     up, down = (F.row_number().over(page.orderBy(x)) for x in (F.col("line_no"), F.col("line_no").desc()))
     edges = lines.select("doc_id", "page", "_key", F.least(up, down).alias("n")).where(F.col("n") <= EDGE)
     seen = edges.groupBy("doc_id", "_key").agg(F.countDistinct("page").alias("n"))
-    pages = lines.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"))
     repeated = seen.join(pages, "doc_id").where("n >= greatest(3, ceil(pages / 2))").select("doc_id", "_key")
     return lines.where(~is_page_number(F.col("text"))).join(repeated, ["doc_id", "_key"], "left_anti").drop("_key").select("doc_id", "page", "line_no", "text")
 

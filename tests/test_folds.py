@@ -4,8 +4,10 @@ import pytest
 
 from docloom.functions import folds
 from docloom.functions.references import cross_references
+from docloom.operators import documents as O
 from docloom.operators import evidence as E
 from docloom.operators import retrieval as R
+from docloom.operators.units import strip_page_furniture
 
 
 def test_sources_cut_at_blank_lines_past_the_half():
@@ -15,11 +17,28 @@ def test_sources_cut_at_blank_lines_past_the_half():
     assert folds.text_sources("") == [""] and "".join(folds.text_sources("xy\n\n" * 9_000)) == "xy\n\n" * 9_000
 
 
-def test_units():
+def units(spark, lines, wide):
+    frame = spark.createDataFrame([(1, page, i, t) for i, (page, t) in enumerate(lines)], "doc_id long, page int, line_no int, text string")
+    found = O.build_units(frame, spark.createDataFrame([(1, wide)], "doc_id long, wide int")).orderBy("position").collect()
+    assert [r.position for r in found] == list(range(len(found)))
+    return [(r.kind, r.text, r.page) for r in found]
+
+
+def test_units(spark):
     lines = [(1, "1. Purpose of this very long line that goes on"), (1, "to the next line. A second sentence ends here."), (2, "VEN-1\tOpen\t5"), (2, "mini-"), (2, "short")]
-    assert folds.build_units(lines, 40) == [("sentence", "1. Purpose of this very long line that goes on to the next line.", 1), ("sentence", "A second sentence ends here.", 1), ("row", "VEN-1 | Open | 5", 2), ("line", "mini-", 2), ("line", "short", 2)]
-    assert folds.build_units([(1, "well-"), (1, "known fact")], 5) == [("line", "well-known fact", 1)]
-    assert folds.build_units([], None) == []
+    assert units(spark, lines, 40) == [("sentence", "1. Purpose of this very long line that goes on to the next line.", 1), ("sentence", "A second sentence ends here.", 1), ("row", "VEN-1 | Open | 5", 2), ("line", "mini-", 2), ("line", "short", 2)]
+    assert units(spark, [(1, "well-"), (1, "known fact")], 5) == [("line", "well-known fact", 1)]
+    assert units(spark, [], None) == [] and units(spark, [(1, "a b"), (1, "c d")], None) == [("line", "a b", 1), ("line", "c d", 1)]
+    assert units(spark, [(3, "x y z"), (4, "goes on"), (4, "a\tb"), (5, "1.2. 3. Then (this). And")], 2) == [("line", "x y z goes on", 3), ("row", "a | b", 4), ("sentence", "1.2. 3.", 5), ("sentence", "Then (this).", 5), ("sentence", "And", 5)]
+
+
+def test_furniture_counts_pages_without_text(spark):
+    rows = [(1, p, n, t) for p in range(1, 9) for n, t in enumerate(["Footer", "body"] if p < 4 else [""])]
+    lines = spark.createDataFrame([(d, p, n, t if t != "body" else f"body {p}") for d, p, n, t in rows], "doc_id long, page int, line_no int, text string")
+    assert strip_page_furniture(lines).count() == 6
+    full = lines.where("text <> ''")
+    assert strip_page_furniture(full).count() == 0
+    assert strip_page_furniture(full, spark.createDataFrame([(1, 8)], "doc_id long, pages int")).count() == 6
 
 
 def plain_lcs(a, b):
@@ -91,6 +110,14 @@ def test_chain_of_hops(spark):
     assert [bad[h][1] for h in ("owner", "boss", "committee")] == ["", "invalid_binding", "unresolved_dependency"]
     good = run([progress[0], (*progress[1][:4], {"owner": "asha"}, *progress[1][5:]), progress[2]])
     assert [good[h][0] for h in ("owner", "boss", "committee")] == ["resolved"] * 3 and good["boss"][2] == {"owner": "Asha"}
+    # an update overrides what was known, what was known stands otherwise, and quotes keep their order
+    old = spark.createDataFrame([progress[0], (*progress[1][:2], "pending", "", None, None, "not_resolved")], schema)
+    two = [("c1", "Ben sits on Audit"), ("c1", "Asha reports to Ben")]
+    now = spark.createDataFrame([(1, "boss", "resolved", " Ben ", {"owner": "ASHA"}, two, "")], schema)
+    quotes = old.unionByName(now).selectExpr("question_id", "hop_id", "inline(evidence)").distinct()
+    found = {r.hop_id: r for r in E.resolve_hops(plans, now, E.verify_quotes(quotes, chunks), old).collect()}
+    assert [found[h].status for h in ("owner", "boss", "committee")] == ["resolved", "resolved", "pending"]
+    assert found["boss"].value == "Ben" and [tuple(e) for e in found["boss"].evidence] == two
     none = run([(1, "owner", "resolved", "Asha", {}, [("c9", "Asha owns it")], ""), (1, "boss", "resolved", "Ben", {}, [], "")])
     assert none["owner"][1] == "missing_chunk" and none["boss"][1] == "unresolved_dependency" and none["committee"][1] == "not_resolved"
 

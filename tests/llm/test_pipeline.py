@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docloom.llm import bpe, simhash, toxicity
@@ -9,8 +10,7 @@ from docloom.llm.common import table
 
 from .helpers import ODD, documents
 from .test_decontaminate import brute as overlaps
-from .test_simhash import brute as components
-from .test_simhash import plain
+from .test_simhash import jaccard, shingles
 from .test_substrings import brute as repeated
 
 SF = "/root/testdata/sf0.001"
@@ -29,9 +29,17 @@ def test_stages_against_plain_python(spark):
     every = rows(docs)
     assert clean.columns == docs.columns
     assert rows(clean) == [r for r, s in zip(every, model.score([r[1] for r in every])) if s < toxicity.THRESHOLD]
-    one = stages["simhash_near_dedup"](spark, docs, SF)
-    root = components([(r[0], plain(r[1])) for r in every])
-    assert rows(one) == [r for r in every if root[r[0]] == r[0]] and one.count() < len(every)
+    one = rows(stages["simhash_near_dedup"](spark, docs, SF))
+    sets, gone = {r[0]: shingles(r[1]) for r in every}, {r[0] for r in every} - {r[0] for r in one}
+    assert one == [r for r in every if r[0] not in gone] and gone
+    for i in gone:  # each that leaves is like one with a smaller doc_id; of exact copies all but one leave
+        assert any(jaccard(sets[i], sets[j]) > 0.7 or not (sets[i] or sets[j]) for j in sets if j < i)
+    firsts = {}
+    for r in every:
+        firsts.setdefault(" ".join((r[1] or "").lower().split()), r[0])
+    assert {r[0] for r in every} - set(firsts.values()) <= gone
+    pairs = [(i, j) for i in sets for j in sets if j < i and sets[i] != sets[j] and jaccard(sets[i], sets[j]) >= 0.8]
+    assert sum(i in gone for i, _ in pairs) >= 0.9 * len(pairs)
     rest = stages["substring_dedup"](spark, docs, SF)
     assert rest.dtypes == docs.dtypes
     for old, new, (_, n, gone, digest) in zip(every, rows(rest), repeated((r[0], r[1]) for r in every)):
@@ -58,8 +66,11 @@ def test_run_encodes_what_the_stages_leave(spark):
 
 def test_odd_rows_and_empty_table(spark):
     odd = documents(spark, ODD)
+    odd = odd.unionByName(odd.limit(3).withColumn("doc_id", F.lit(None).cast("long"))).toDF("doc_id", "text", "lang", "toxic_flag", "n_chars", "a.b c")
     for docs in (odd, odd.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, SF)
-        assert docs.count() <= len(ODD)
+            before, docs = docs, stage(spark, docs, SF)
+            assert stage is corpus_pipeline.encode or docs.dtypes == before.dtypes
+        assert docs.count() <= len(ODD) + 3
+    odd = documents(spark, ODD)
     assert simhash.cluster(odd).count() == len(ODD)

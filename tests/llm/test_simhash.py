@@ -82,3 +82,52 @@ def test_all_links_near_one_point(spark, block):
 def test_query_keeps_every_document(spark):
     found = simhash.query(spark, "/root/testdata/sf0.001").toPandas()
     assert found["doc_id"].is_unique and (found["component_id"] <= found["doc_id"]).all()
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / max(1, len(a | b))
+
+
+def test_near_copies_by_five_word_shingles(spark):
+    rng = random.Random(8)
+    say = lambda n: [f"w{rng.randrange(3_000)}" for _ in range(n)]
+    base = [say(rng.randrange(60, 500)) for _ in range(60)]
+    texts = [" ".join(w) for w in base]
+    for w in base * 4:  # copies with words changed at random places
+        x = list(w)
+        for _ in range(max(1, round(len(x) * rng.uniform(0, 0.022)))):
+            x[rng.randrange(len(x))] = "new" + str(rng.randrange(9))
+        texts.append(rng.choice([" ", "  ", "\n"]).join(x).replace("w1", "W1"))
+    texts += texts[:20] + [" ".join(say(80)) for _ in range(60)] + [None, "", " ", "one", "One", "two words"]
+    sets = [shingles(t) for t in texts]
+    found = {r.doc_id: r.component for r in simhash.near_classes(documents(spark, texts)).collect()}
+    assert len(found) == len(texts)
+    near = far = met = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            alike, same = jaccard(sets[i], sets[j]) if sets[i] or sets[j] else 1.0, found[i] == found[j]
+            if alike >= 0.8:
+                near, met = near + 1, met + same
+            elif i >= 300 and not same:
+                far += 1
+            assert alike < 1 or same
+            assert not (same and alike == 0 and (i >= 320 or j >= 320)), (i, j)
+    assert near > 300 and met / near > 0.9 and far > 3_000
+
+
+def test_one_row_of_each_class_stays(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(3, text, 1, "a"), (2, text + " more", 2, "b"), (None, text, 3, "c"), (2, text + " more", 4, "d"), (7, "other words", 5, "e"), (None, "null id alone", 6, "f"), (None, None, 7, "g"), (9, "", 8, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, head int, `id.x` string")
+    left = simhash.without_near_copies(docs)
+    assert left.columns == docs.columns and left.dtypes == docs.dtypes
+    got = sorted((str(r.doc_id), r.text) for r in left.collect())
+    assert got == sorted([("2", text + " more"), ("7", "other words"), ("None", "null id alone"), ("9", "")])
+    assert simhash.without_near_copies(docs.limit(0)).count() == 0
+    clash = docs.toDF("doc_id", "text", "id", "hash")
+    assert sorted(map(str, simhash.without_near_copies(clash).columns)) == ["doc_id", "hash", "id", "text"]

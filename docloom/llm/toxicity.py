@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, rows_of, table
+from .common import materialise, partitions, rows_of, table
 
 SAMPLE_ROWS, LEXICON, MIN_DOCS, MIN_ODDS, START, FOLDS = 16_000, 3_000, 3, 4.0, 5, 5
 THRESHOLD = 0.3
@@ -167,16 +167,28 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     drawn = known.join(learnable.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(rows)
     drawn = docs.sparkSession.createDataFrame(drawn.toPandas(), "doc_id long, y int")  # ids and labels of the bounded sample
     once = learnable.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    sample = materialise(once.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")), "toxicity-sample")
+    once = once.repartition(partitions(docs), "doc_id").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int"))
+    sample = materialise(once, "toxicity-sample")
 
     def tokens(batches):
-        for texts, ys, folds in rows_of(batches, "text", "y", "fold"):
-            count: dict[tuple[bytes, int], list[int]] = {}
-            for t, y, f in zip(texts, ys, folds):
-                words = set(words_of(t))
-                for w in words | {w[:START] + b"*" for w in words if len(w) > START}:
-                    count.setdefault((w, f), [0, 0])[y] += 1
-            yield pa.record_batch([pa.array([w for w, _ in count], pa.binary()), pa.array([f for _, f in count], pa.int32()), pa.array([a for a, _ in count.values()], pa.int64()), pa.array([b for _, b in count.values()], pa.int64())], ["token", "fold", "clean", "toxic"])
+        """Counts of each word and fold, handed on before they grow large."""
+
+        def told(count: dict[tuple[bytes, int], list[int]]) -> pa.RecordBatch:
+            columns = [pa.array([w for w, _ in count], pa.binary()), pa.array([f for _, f in count], pa.int32())]
+            return pa.record_batch([*columns, *(pa.array([n[y] for n in count.values()], pa.int64()) for y in (0, 1))], ["token", "fold", "clean", "toxic"])
+
+        count: dict[tuple[bytes, int], list[int]] = {}
+        for b in batches:
+            for k in range(0, b.num_rows, 64):
+                for texts, ys, folds in rows_of([b.slice(k, 64)], "text", "y", "fold"):
+                    for t, y, f in zip(texts, ys, folds):
+                        words = set(words_of(t))
+                        for w in words | {w[:START] + b"*" for w in words if len(w) > START}:
+                            count.setdefault((w, f), [0, 0])[y] += 1
+                if len(count) > 50_000:
+                    yield told(count)
+                    count = {}
+        yield told(count)
 
     n = np.zeros((FOLDS, 2), int)
     for r in sample.groupBy("fold", "y").count().collect():
@@ -200,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     learned, without = lexicon(None), [lexicon(f) for f in range(FOLDS)]
 
     def vectors(batches):
-        for texts, ys, folds in rows_of(batches, "text", "y", "fold"):
+        for texts, ys, folds in rows_of((b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)), "text", "y", "fold"):
             x = [features(t, without[f]).tobytes() for t, f in zip(texts, folds)]
             yield pa.record_batch([pa.array(x, pa.binary()), pa.array(ys, pa.int32()), pa.array(folds, pa.int32())], ["x", "y", "fold"])
 

@@ -49,6 +49,20 @@ def latest_document_conversation(conversations: DataFrame) -> DataFrame:
     return best.select("user_id", "document_id", F.col("best.id").alias("id"), F.col("best.updated_at").alias("updated_at"))
 
 
+def list_conversations(conversations: DataFrame) -> DataFrame:
+    """Each user's GLOBAL conversations, the last updated first (position)."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("updated_at"), F.desc("id"))
+    return conversations.where("type = 'GLOBAL'").select("user_id", "id", "title", "updated_at", F.row_number().over(w).alias("position"))
+
+
+def latest_messages(conversations: DataFrame, messages: DataFrame) -> DataFrame:
+    """The messages, oldest first (position), of the newest DOCUMENT conversation of each user and document."""
+    best = latest_document_conversation(conversations).select("user_id", "document_id", F.col("id").alias("conversation_id"))
+    w = Window.partitionBy("conversation_id").orderBy("created_at", "id")
+    rows = messages.join(best, "conversation_id")
+    return rows.select("user_id", "document_id", "conversation_id", "id", "role", "content", F.row_number().over(w).alias("position"))
+
+
 def waiting_messages(messages: DataFrame, thread: str) -> DataFrame:
     """Assistant messages whose JSON metadata has the thread and waits for approval."""
     get = lambda k: F.get_json_object("metadata", f"$.{k}")
@@ -68,6 +82,12 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, "n/a").otherwise(F.format_string("%.1f%%", F.round(part / whole * 100, 1)))
 
 
+def printed(metrics: DataFrame) -> DataFrame:
+    """Rows of retrieval_metrics with mrr and recalls as percentages to one decimal, "n/a" where no question has a target."""
+    shown = {c: percent(F.col(c) * F.col("with_target"), F.col("with_target")) for c in ("mrr", "recall3", "recall5")}
+    return metrics.withColumns(shown)
+
+
 def retrieval_metrics(ranks: DataFrame, by: str | None = None) -> DataFrame:
     """questions, with_target, mrr, recall3, recall5, faithfulness, relevance; with ``by``, one row per value and one
     overall (null). ranks: rank (null without target), faithfulness, relevance (null where no judge spoke)."""

@@ -18,6 +18,8 @@ from docloom.functions.text import words
 
 #: Most queries that meet the children in one pass; more go in several passes.
 QUERY_BLOCK = 4_096
+#: Most (query, term) rows that are broadcast.
+TERMS_SENT = 200_000
 SOURCES = ("vector", "identifier", "phrase", "keyword")
 
 
@@ -78,46 +80,85 @@ def _near(asked: pd.DataFrame, rows: DataFrame, k: int) -> DataFrame:
     ids = asked["query_id"].to_numpy(np.int64)
     q = np.stack(asked["embedding"].to_numpy()) if len(asked) else np.zeros((0, 1))
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    columns = ["query_id", "child_id", "parent_id", "distance"]
+
+    def best(found: list[pd.DataFrame]) -> pd.DataFrame:
+        every = pd.concat(found).sort_values(["query_id", "distance", "child_id"])
+        return every[every.groupby("query_id").cumcount() < k]
 
     def work(batches):
+        """The k nearest of each query in the whole partition; what is held stays near that size."""
+        found: list[pd.DataFrame] = []
         for b in batches:
-            if len(b) and len(ids):
-                x = np.stack(b["embedding"].to_numpy()).astype(float)
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                d = 1 - q @ x.T
-                if "viewers" in b:
-                    d = np.where(np.stack([np.isin(ids, v) for v in b["viewers"]], axis=1), d, np.inf)
-                last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1 : min(k, d.shape[1])]
-                i, j = np.nonzero((d <= last) & np.isfinite(d))
-                yield pd.DataFrame({"query_id": ids[i], "child_id": b["child_id"].to_numpy()[j], "parent_id": b["parent_id"].to_numpy()[j], "distance": np.round(d[i, j], 12)})
+            if not len(b) or not len(ids):
+                continue
+            x = np.stack(b["embedding"].to_numpy()).astype(float)
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            d = 1 - q @ x.T
+            if "viewers" in b:
+                d = np.where(np.stack([np.isin(ids, v) for v in b["viewers"]], axis=1), d, np.inf)
+            most = min(k, d.shape[1])
+            i, j = np.nonzero((d <= np.partition(d, most - 1, axis=1)[:, most - 1 : most]) & np.isfinite(d))
+            found.append(pd.DataFrame(dict(zip(columns, (ids[i], b["child_id"].to_numpy()[j], b["parent_id"].to_numpy()[j], np.round(d[i, j], 12))))))
+            if sum(map(len, found)) > 4 * k * len(ids):
+                found = [best(found)]
+        if found:
+            yield best(found)
 
     return rows.mapInPandas(work, "query_id long, child_id long, parent_id long, distance double")
 
 
-def identifier_match(tiers: DataFrame, children: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """Children whose text contains a code of the query, whatever its case, by id. Wildcards in codes are literal.
+def _occurrences(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """child_id, parent_id, pattern, n: how often each pattern stands in each text without overlapping itself.
 
-    Codes are arbitrary substrings, so this is a nested-loop join; the codes are broadcast in blocks of ``QUERY_BLOCK``.
-    """
-    codes = tiers.select("query_id", F.explode("id_patterns").alias("code")).distinct()
-    rows = children.select(F.col("id").alias("child_id"), "parent_id", F.lower("search_text").alias("low"))
-    blocks = max(1, -(-codes.count() // QUERY_BLOCK))
-    passes = [rows.join(F.broadcast(codes.where(F.pmod(F.xxhash64("code"), F.lit(blocks)) == b)), F.contains("low", "code")) for b in range(blocks)]
-    found = reduce(DataFrame.unionByName, passes).select("query_id", "child_id", "parent_id").distinct()
+    rows: child_id, parent_id, text; patterns: pattern. Every text is read once for each ``QUERY_BLOCK`` patterns, by an
+    automaton of them, however many there are."""
+    patterns = patterns.select("pattern").distinct()
+    blocks = max(1, -(-patterns.count() // QUERY_BLOCK))
+    schema = "child_id long, parent_id long, pattern string, n long"
+
+    def reader(own: list[str]):
+        def work(batches):
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+            for x in own:
+                automaton.add_word(x, x)
+            automaton.make_automaton()
+            for b in batches:
+                found: list[tuple] = []
+                for child, parent, text in zip(b["child_id"], b["parent_id"], b["text"]):
+                    count: dict[str, list[int]] = {}
+                    for end, x in automaton.iter(text) if own and text else ():
+                        seen = count.setdefault(x, [0, -1])
+                        if end - len(x) >= seen[1]:
+                            seen[0], seen[1] = seen[0] + 1, end
+                    found += [(child, parent, x, n) for x, (n, _) in count.items()]
+                yield pd.DataFrame(found, columns=["child_id", "parent_id", "pattern", "n"])
+
+        return work
+
+    passes = [rows.mapInPandas(reader([r.pattern for r in patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == b).collect()]), schema) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, passes)
+
+
+def identifier_match(tiers: DataFrame, children: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    """Children whose text contains a code of the query, whatever its case, by id. Wildcards in codes are literal."""
+    codes = tiers.select("query_id", F.explode("id_patterns").alias("pattern")).distinct()
+    rows = children.select(F.col("id").alias("child_id"), "parent_id", F.lower("search_text").alias("text"))
+    found = _occurrences(rows, codes).join(codes, "pattern").select("query_id", "child_id", "parent_id").distinct()
     return _ranked(_allowed(found, children, allowed), k)
 
 
 def phrase_match(tiers: DataFrame, children: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """Children that hold a name of the query as consecutive words, most occurrences first (in place of cover density;
-    no stemming). Phrases meet children by their first word."""
-    asked = tiers.select("query_id", F.explode("phrases").alias("phrase")).withColumn("word", F.substring_index("phrase", " ", 1))
+    no stemming). Words stand between two blanks each, in phrases as in texts."""
+    padded = F.concat(F.lit(" "), F.replace(F.col("phrase"), F.lit(" "), F.lit("  ")), F.lit(" "))
+    asked = tiers.select("query_id", F.explode("phrases").alias("phrase")).select("query_id", padded.alias("pattern"))
     text = F.array_join(F.transform(F.filter(F.split(F.lower(F.regexp_replace("search_text", r"[^\w\s]", " ")), r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" "))), "")
-    rows = children.select(F.col("id").alias("child_id"), "parent_id", text.alias("padded"))
-    wanted = asked.select("word").distinct()
-    by_word = rows.select("*", F.explode(F.array_distinct(F.split(F.trim("padded"), r"\s+"))).alias("word")).join(wanted, "word", "left_semi")
-    pattern = F.concat(F.lit(" "), F.replace(F.col("phrase"), F.lit(" "), F.lit("  ")), F.lit(" "))
-    hits = by_word.join(asked, "word").withColumn("n", (F.char_length("padded") - F.char_length(F.replace(F.col("padded"), pattern))) / F.char_length(pattern)).where("n > 0")
-    return _ranked(_allowed(hits.groupBy("query_id", "child_id", "parent_id").agg(F.sum("n").alias("n")), children, allowed), k, F.desc("n"))
+    rows = children.select(F.col("id").alias("child_id"), "parent_id", text.alias("text"))
+    hits = _occurrences(rows, asked).join(asked, "pattern").groupBy("query_id", "child_id", "parent_id").agg(F.sum("n").alias("n"))
+    return _ranked(_allowed(hits, children, allowed), k, F.desc("n"))
 
 
 def keyword_hits(tiers: DataFrame, children: DataFrame) -> DataFrame:
@@ -126,7 +167,9 @@ def keyword_hits(tiers: DataFrame, children: DataFrame) -> DataFrame:
     asked = tiers.select("query_id", F.explode("terms").alias("term"))
     rows = children.select(F.col("id").alias("child_id"), "parent_id", F.explode(words(F.col("search_text"))).alias("term"))
     counted = rows.join(asked.select("term").distinct(), "term", "left_semi").groupBy("child_id", "parent_id", "term").agg(F.count("*").alias("tf"))
-    return counted.join(asked, "term").groupBy("query_id", "child_id", "parent_id").agg(F.sum("tf").alias("n"))
+    # a term that many children have would be a hot key: the queries' terms go to them instead, while they are few
+    few = asked.limit(TERMS_SENT + 1).count() <= TERMS_SENT
+    return counted.join(F.broadcast(asked) if few else asked, "term").groupBy("query_id", "child_id", "parent_id").agg(F.sum("tf").alias("n"))
 
 
 def keyword_match(hits: DataFrame, k: int) -> DataFrame:
@@ -175,6 +218,16 @@ def search(queries: DataFrame, children: DataFrame, limits: Limits, allowed: Dat
     return weighted_rrf(found, limits.parents)
 
 
+def search_single(queries: DataFrame, children: DataFrame, limits: Limits, documents: DataFrame) -> DataFrame:
+    """R10 in one document each: ``documents`` (query_id, document_id) names it, and the limits are those given."""
+    return search(queries, children, limits, documents)
+
+
+def search_all_documents(queries: DataFrame, children: DataFrame, limits: Limits, allowed: DataFrame | None = None) -> DataFrame:
+    """R10 over all documents that a query may see: wider limits."""
+    return search(queries, children, limits.across_documents(), allowed)
+
+
 def rerank_top_n(candidates: DataFrame, n: int) -> DataFrame:
     """The best n of each query by rerank_score; a query without any score keeps its first n in retrieval order. Adds
     rerank_rank beside position."""

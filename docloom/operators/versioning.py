@@ -6,19 +6,22 @@ context_hash besides. Equal chunks are paired first in, first out, by chunk_inde
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def change_gate(uploads: DataFrame, documents: DataFrame, diff: DataFrame) -> DataFrame:
-    """document_id, verdict (same_file, same_text or changed), same, added, removed of each upload.
+    """document_id, verdict (same_file, same_text or changed) and the counts of ``diff`` of each upload.
 
-    uploads: document_id, file_hash; documents: id, file_hash; diff: doc_id, same, added, removed (none for documents
-    without units on either side: they count as changed)."""
+    uploads: document_id, file_hash; documents: id, file_hash; diff: doc_id, same or kept and moved, added, removed (none
+    for documents without units on either side: they count as changed)."""
+    counts = [c for c in ("same", "kept", "moved", "added", "removed") if c in diff.columns]
     d = documents.select(F.col("id").alias("document_id"), F.col("file_hash").alias("_old"))
     rows = uploads.join(d, "document_id").join(diff.withColumnRenamed("doc_id", "document_id"), "document_id", "left")
     verdict = F.when(F.col("file_hash") == F.col("_old"), "same_file").when((F.col("added") == 0) & (F.col("removed") == 0), "same_text").otherwise("changed")
-    return rows.select("document_id", verdict.alias("verdict"), "same", "added", "removed")
+    return rows.select("document_id", verdict.alias("verdict"), *counts)
 
 
 def _numbered(chunks: DataFrame, *keys: str) -> DataFrame:
@@ -73,6 +76,41 @@ def apply_version(current: DataFrame, new: DataFrame, plan: DataFrame, versions:
     return rows.unionByName(added.select("document_id", "id", "text", "chunk_index", F.col("version").alias("added_in"), F.lit(None).cast("int").alias("removed_in")))
 
 
+def apply_links(applied: DataFrame, new: DataFrame, plan: DataFrame, versions: DataFrame) -> DataFrame:
+    """id, prev_id, next_id of the parents that are current after ``apply_version``: those of the new version, all ids
+    final. new: id, prev_id, next_id and document_id."""
+    fit = versions.where("version = current_version + 1").select("document_id")
+    links = remap_links(new.join(fit, "document_id", "left_semi").select("id", "prev_id", "next_id"), plan)
+    return links.join(applied.where("removed_in is null").select("id"), "id", "left_semi")
+
+
+def apply_children(current: DataFrame, new: DataFrame, plan: DataFrame, versions: DataFrame, encode: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The children's table after the replacements of ``plan`` (of plan_children): removed rows are closed, added ones
+    opened under their final parents, kept ones take the new place, and the new search text where they are embedded
+    again. ``encode`` adds ``embedding`` to a table with search_text; it sees only rows that are added or embedded again.
+
+    current: document_id, id, parent_id, search_text, chunk_index, embedding, added_in, removed_in; new: document_id, id,
+    search_text, chunk_index."""
+    fit = versions.where("version = current_version + 1").select("document_id", "version")
+    fresh = new.join(fit, "document_id").select("document_id", F.col("id").alias("new_id"), F.col("search_text").alias("_text"), F.col("chunk_index").alias("_index"), "version")
+    changed = plan.where("new_id is not null").select("old_id", "new_id", F.col("parent_id").alias("_parent"), "action", "reembed").join(fresh, "new_id")
+    made = encode(changed.where("reembed").select("new_id", F.col("_text").alias("search_text"))).select("new_id", F.col("embedding").alias("_vector"))
+    changed = changed.join(made, "new_id", "left")
+    gone = plan.where("action = 'removed'").select(F.col("old_id").alias("id"), F.lit(True).alias("_gone"))
+    kept = changed.where("action = 'kept'").select(F.col("old_id").alias("id"), "_index", F.when(F.col("reembed"), F.col("_text")).alias("_text"), "_vector")
+    rows = current.join(gone, "id", "left").join(fit, "document_id", "left").join(kept, "id", "left")
+    closed = F.coalesce("removed_in", F.when(F.col("_gone"), F.col("version")))
+    old = rows.select("document_id", "id", "parent_id", F.coalesce("_text", "search_text").alias("search_text"), F.coalesce("_index", "chunk_index").alias("chunk_index"), F.coalesce("_vector", "embedding").alias("embedding"), "added_in", closed.alias("removed_in"))
+    added = changed.where("action = 'added'")
+    return old.unionByName(added.select("document_id", F.col("new_id").alias("id"), F.col("_parent").alias("parent_id"), F.col("_text").alias("search_text"), F.col("_index").alias("chunk_index"), F.col("_vector").alias("embedding"), F.col("version").alias("added_in"), F.lit(None).cast("int").alias("removed_in")))
+
+
+def replace_units(current: DataFrame, new: DataFrame, versions: DataFrame) -> DataFrame:
+    """The units' table after the replacements: documents that are replaced have the new units alone."""
+    fit = versions.where("version = current_version + 1").select("document_id")
+    return current.join(fit, "document_id", "left_anti").unionByName(new.join(fit, "document_id", "left_semi"))
+
+
 def version_changes(chunks: DataFrame, version: Column) -> DataFrame:
     """document_id, added, removed, kept: what one version did."""
     alive = (F.col("added_in") < version) & (F.col("removed_in").isNull() | (F.col("removed_in") > version))

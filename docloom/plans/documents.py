@@ -9,7 +9,8 @@ from docloom.operators import units
 from docloom.registry import query
 
 from .retrieval import parents
-from .tables import lines, new_lines, table
+from .tables import LINES_SQL, hash_sql, lines, new_lines, stored, table
+from .text import FURNITURE_SQL
 
 
 @query("s2_text_sources")
@@ -34,9 +35,24 @@ def cleaned(spark, sf_dir):
     return units.strip_page_furniture(lines(spark, sf_dir))
 
 
-@query("t6_build_units")
+#: Units in SQL: runs of lines numbered by a running count of ends, joined, split at sentence ends, labels put back.
+UNITS_SQL = rf"""WITH {LINES_SQL}, {FURNITURE_SQL},
+usable AS (SELECT doc_id, length(text) AS len, row_number() OVER (PARTITION BY doc_id ORDER BY length(text)) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM body WHERE NOT contains(text, chr(9))),
+wide AS (SELECT doc_id, CAST(floor(len * 0.75) AS INT) AS wide FROM usable WHERE i = floor(n * 0.9)),
+marked AS (SELECT body.*, contains(text, chr(9)) AS is_row, length(text) < coalesce(wide, 1000000000) OR contains('.?!:;', right(text, 1)) OR contains(text, chr(9)) AS ends FROM body LEFT JOIN wide USING (doc_id)),
+numbered AS (SELECT *, coalesce(sum(CAST(ends OR coalesce(next_row, false) AS INT)) OVER (PARTITION BY doc_id ORDER BY page, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run
+    FROM (SELECT *, lead(is_row) OVER (PARTITION BY doc_id ORDER BY page, line_no) AS next_row FROM marked)),
+runs AS (SELECT doc_id, run, min(page) AS page, bool_or(is_row) AS is_row, rtrim(string_agg(CASE WHEN is_row THEN replace(text, chr(9), ' | ') WHEN regexp_matches(text, '[A-Za-z]-$') THEN text ELSE text || ' ' END, '' ORDER BY page, line_no)) AS whole FROM numbered GROUP BY 1, 2),
+split AS (SELECT *, CASE WHEN is_row THEN [whole] ELSE string_split(list_reduce(string_split(regexp_replace(whole, '([.?!])\s+([A-Z0-9("“])', '\1' || chr(1) || '\2', 'g'), chr(1)),
+    lambda a, b: a || CASE WHEN regexp_matches(regexp_extract(a, '[^' || chr(1) || ']*$'), '^\d+(\.\d+)*\.$') THEN ' ' ELSE chr(1) END || b), chr(1)) END AS parts FROM runs),
+units AS (SELECT doc_id, run, page, CASE WHEN is_row THEN 'row' WHEN len(parts) > 1 OR contains('.?!', right(whole, 1)) THEN 'sentence' ELSE 'line' END AS kind, unnest(parts) AS t, generate_subscripts(parts, 1) AS i FROM split),
+clean AS (SELECT *, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM units)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run, i) - 1 AS INT) AS position, kind, text, page, {hash_sql('text')} AS hash FROM clean WHERE text <> ''"""
+
+
+@query("t6_build_units", UNITS_SQL)
 def built(spark, sf_dir):
-    rows = cleaned(spark, sf_dir)
+    rows = stored(cleaned(spark, sf_dir), "cleaned-lines")
     return O.build_units(rows, units.wide_line_length(rows))
 
 

@@ -55,6 +55,23 @@ def latest(spark, sf_dir):
     return M.latest_document_conversation(conversations(spark, sf_dir))
 
 
+@query("m3_list_conversations", f"WITH {MESSAGES} SELECT user_id, id, title, updated_at, row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, id DESC) AS position FROM convs WHERE type = 'GLOBAL'")
+def listed(spark, sf_dir):
+    return M.list_conversations(conversations(spark, sf_dir))
+
+
+@query("m3_latest_messages", f"""WITH {MESSAGES}, best AS (SELECT user_id, document_id, arg_max(id, (updated_at, id)) AS conversation_id FROM convs WHERE type = 'DOCUMENT' GROUP BY 1, 2)
+SELECT user_id, document_id, conversation_id, m.created_at AS id, m.role, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at) AS position FROM best JOIN messages m USING (conversation_id)""")
+def latest_messages(spark, sf_dir):
+    return M.latest_messages(conversations(spark, sf_dir), messages(spark, sf_dir)).drop("content")
+
+
+@query("m6_metrics_report")
+def metrics_report(spark, sf_dir):
+    """The figures of ``m7_metrics_by_category`` as the report prints them."""
+    return M.printed(M.retrieval_metrics(ranks(spark, sf_dir), "category"))
+
+
 @query("m4_waiting_messages", "SELECT conv_id AS conversation_id, turn AS id FROM conversations WHERE role = 'assistant' AND conv_id % 5 = 1 AND conv_id % 3 = 0")
 def waiting(spark, sf_dir):
     return M.waiting_messages(messages(spark, sf_dir), "t1").select("conversation_id", "id")
@@ -64,7 +81,15 @@ def ranks(spark, sf_dir):
     """question_id, rank, category, faithfulness, relevance of each item."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.substring("text", 1, 120).alias("head"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = items.join(docs, F.contains(docs["text"], items["head"])).groupBy("question_id").agg(F.collect_set("doc_id").alias("targets"))
+    # the second to the sixth word of a head are words of any text that holds it: few texts meet an item by them
+    words = F.split("head", " ")
+    keyed = items.withColumn("key", F.when(F.size(words) > 6, F.xxhash64(F.array_join(F.slice(words, 2, 5), " "))))
+    w = F.split("text", " ")
+    five = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 5), " ")))
+    near = docs.select("doc_id", F.explode(F.array_distinct(five)).alias("key")).join(keyed.where("key is not null").select("question_id", "key"), "key").select("question_id", "doc_id").distinct()
+    near = near.join(docs, "doc_id").join(items, "question_id").where(F.contains("text", "head"))
+    short = docs.join(keyed.where("key is null"), F.contains("text", "head"))  # heads of six words or fewer have no key
+    held = near.select("question_id", "doc_id").unionByName(short.select("question_id", "doc_id")).groupBy("question_id").agg(F.collect_set("doc_id").alias("targets"))
     golden = items.select("question_id").join(held, "question_id", "left")
     found = P.fused(spark, sf_dir).select(F.col("query_id").alias("question_id"), F.floor(F.col("parent_id") / 10_000).alias("chunk_id"), F.col("position").alias("rank"))
     judged = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("question_id"), F.col("quality").alias("faithfulness"), F.col("toxic").alias("relevance"))

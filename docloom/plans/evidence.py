@@ -9,7 +9,7 @@ from docloom.operators import evidence as E
 from docloom.registry import query
 
 from . import retrieval as P
-from .tables import table
+from .tables import stored, table
 
 
 def plans(spark, sf_dir):
@@ -38,15 +38,16 @@ def chunks(spark, sf_dir):
     return P.parents(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "text")
 
 
-def updates(spark, sf_dir):
-    rows = evidence(spark, sf_dir)
+def updates(spark, sf_dir, told=None):
+    rows = evidence(spark, sf_dir) if told is None else told
     value = F.concat(F.lit("value "), "hop_id")
     prior = F.when(F.col("hop_id") == "h2", F.create_map(F.lit("h1"), F.lit("value h1"))).when(F.col("hop_id") == "h3", F.create_map(F.lit("h2"), F.lit("value h2"))).otherwise(F.create_map().cast("map<string,string>"))
     return rows.select("question_id", "hop_id", F.lit("resolved").alias("status"), value.alias("value"), prior.alias("bindings"), F.array(F.struct("chunk_id", "quote")).alias("evidence"), F.lit("").alias("reason"))
 
 
 def resolved(spark, sf_dir):
-    return E.resolve_hops(plans(spark, sf_dir), updates(spark, sf_dir), E.verify_quotes(evidence(spark, sf_dir), chunks(spark, sf_dir)))
+    told = stored(evidence(spark, sf_dir), "evidence")
+    return E.resolve_hops(plans(spark, sf_dir), updates(spark, sf_dir, told), E.verify_quotes(told, chunks(spark, sf_dir)))
 
 
 @query("e1_clean_search_query", r"""WITH t AS (SELECT conv_id, turn, list_filter(list_transform(string_split(CASE turn % 3 WHEN 0 THEN 'Query: "' || text || '"' WHEN 1 THEN substr(text, 1, 140) ELSE substr(text, 1, 60) || ' | x' END, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM conversations),

@@ -12,9 +12,10 @@ from docloom.config import FREE, STOP_WORDS
 from docloom.operators import access as A
 from docloom.operators import retrieval as R
 from docloom.registry import query
+from docloom.sources import files
 
 from . import access
-from .tables import LINES_SQL, lines, stored, table
+from .tables import LINES_SQL, lines, new_folder, stored, table
 
 PER_PARENT = 4
 LIMITS = FREE.across_documents()
@@ -95,11 +96,14 @@ def live(spark, sf_dir):
 
 
 def fused(spark, sf_dir):
-    return R.search(asked(spark, sf_dir), live(spark, sf_dir), LIMITS)
+    """All four searches read the children, so these are written once."""
+    return R.search_all_documents(asked(spark, sf_dir), stored(live(spark, sf_dir), "children"), FREE)
 
 
 def seeds(spark, sf_dir):
-    return fused(spark, sf_dir).where("position <= 4").select(F.col("query_id").alias("question_id"), F.col("position").alias("seed"), "parent_id")
+    """Written once: every way of expansion starts from them."""
+    found = fused(spark, sf_dir).where("position <= 4").select(F.col("query_id").alias("question_id"), F.col("position").alias("seed"), "parent_id")
+    return stored(found, "seeds")
 
 
 @query("r1_search_tiers", f"WITH {BASE} SELECT query_id, CASE WHEN code IS NULL THEN [] ELSE [code] END AS id_patterns, CASE WHEN phrase IS NULL THEN [] ELSE [phrase] END AS phrases, list_sort(terms) AS terms FROM tiers")
@@ -152,6 +156,14 @@ def hybrid(spark, sf_dir):
     return found.select("query_id", "position", "parent_id", "score", "document_id", "document_title", F.md5("text").alias("text_md5"), "prev_id", "next_id", "matched_by")
 
 
+@query("r10_search_single")
+def single(spark, sf_dir):
+    """Each item searches the document of its number and the one after it in turn."""
+    q = asked(spark, sf_dir)
+    wanted = q.select("query_id", (F.col("query_id") + F.col("query_id") % 2).alias("document_id"))
+    return R.search_single(q, stored(live(spark, sf_dir), "children"), FREE, wanted)
+
+
 @query("r11_rerank_top_n", f"""WITH {BASE}, scored AS (SELECT query_id, parent_id, position, score, CASE WHEN query_id % 3 > 0 AND parent_id % 4 > 0 THEN CAST(parent_id * 7 % 101 AS DOUBLE) END AS rerank_score FROM fused)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, position, parent_id) AS rerank_rank FROM scored QUALIFY rerank_rank <= {FREE.rerank}""")
 def reranked(spark, sf_dir):
@@ -168,6 +180,41 @@ def subqueries(spark, sf_dir):
     return R.collect_subquery_results(fused(spark, sf_dir).select(F.floor(q / 4).alias("question_id"), (q % 4).alias("subquery"), "position", "parent_id", "score"))
 
 
+@query("a9_list_parents", f"WITH {BASE} SELECT p.document_id, p.id, p.chunk_index, count(k.id) AS children FROM parents p LEFT JOIN kids k ON k.parent_id = p.id WHERE NOT removed GROUP BY ALL")
+def listed_parents(spark, sf_dir):
+    kids = children(spark, sf_dir).where("not is_toc")
+    return A.list_parents(parents(spark, sf_dir), kids)
+
+
+@query("a9_list_children", f"WITH {BASE} SELECT parent_id, id, abs(id) % 100000 AS child_index, len(embedding) AS dimension FROM kids")
+def listed_children(spark, sf_dir):
+    return A.list_children(children(spark, sf_dir).where("not is_toc").withColumn("child_index", F.abs("id") % 100_000))
+
+
+@query("s5_export_parents", f"WITH {BASE} SELECT p.id, md5(p.text) AS text_md5, chunk_index, next_id FROM parents p JOIN docs d ON d.id = p.document_id WHERE contains(lower(filename), '/1')")
+def exported(spark, sf_dir):
+    found = files.export_parents(parents(spark, sf_dir), documents(spark, sf_dir), "/1")
+    get = lambda k, kind: F.get_json_object("metadata", f"$.{k}").cast(kind)
+    return found.select("id", F.md5("text").alias("text_md5"), get("chunk_index", "int").alias("chunk_index"), get("next_id", "long").alias("next_id"))
+
+
+@query("s4_save_chunks", f"WITH {BASE} SELECT 'parents' AS name, document_id, count(*) AS n FROM parents GROUP BY 2 UNION ALL SELECT 'children', document_id, count(*) FROM kids GROUP BY 2 UNION ALL SELECT 'units', doc_id, count(*) FROM lines GROUP BY 2")
+def saved(spark, sf_dir):
+    """What is read back after saving twice: units replace theirs."""
+    path = new_folder(spark, "saved")
+    units = lines(spark, sf_dir).withColumnRenamed("doc_id", "document_id")
+    kids = children(spark, sf_dir).where("removed_in is null and not is_toc")
+    for _ in range(2):
+        files.save_chunks(parents(spark, sf_dir), kids, units, path, 4)
+    back = [spark.read.parquet(f"{path}/{t}").groupBy("document_id").agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "document_id", "n") for t in ("parents", "children", "units")]
+    return reduce(DataFrame.unionByName, back)
+
+
+@query("s1_read_corpus", "SELECT doc_id, md5(text) AS text_md5 FROM documents")
+def corpus(spark, sf_dir):
+    return files.read_corpus(spark, f"{sf_dir}/documents.parquet", "parquet").select("doc_id", F.md5("text").alias("text_md5"))
+
+
 @query("r13_chunks_by_page", f"""WITH {BASE} SELECT document_id, page, id, chunk_index FROM (
     SELECT document_id, id, chunk_index, unnest(list_distinct([page_number, CAST(page_number + part % 2 AS INT)])) AS page FROM parents WHERE NOT removed) WHERE page = 2""")
 def by_page(spark, sf_dir):

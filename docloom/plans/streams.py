@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from docloom.registry import query
 from docloom.streaming import events as X
 
-from .tables import table
-
-
-def shared(spark, name: str) -> str:
-    """A new folder below the one that driver and executors share; a local one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docloom-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from .tables import new_folder, table
 
 
 def streamed(spark, sf_dir):
@@ -34,7 +25,7 @@ def events(spark, sf_dir, stream: bool):
 
 def drained(df, spark, name: str, mode: str = "append"):
     """Runs a stream over what there is and returns the rows it wrote."""
-    out = shared(spark, name)
+    out = new_folder(spark, name)
 
     def write(batch, number):
         batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
@@ -79,3 +70,29 @@ def replacements(spark, sf_dir):
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("document_id"), (F.col("event_id") % 3 + 1).cast("int").alias("version"), "ts").distinct()
     docs = e.select(F.col("document_id").alias("id"), F.lit(1).alias("version")).distinct()
     return X.choose_replacements(e, docs)
+
+
+@query("x3_ingest_stream", """SELECT doc_id AS document_id, CASE WHEN trim(coalesce(text, '')) <> '' AND doc_id % 10 > 0 THEN 'COMPLETED' ELSE 'FAILED' END AS status,
+    CASE WHEN trim(coalesce(text, '')) <> '' AND doc_id % 10 > 0 THEN len(string_split(text, chr(10))) END AS lines FROM documents""")
+def ingested(spark, sf_dir):
+    """Documents arrive as a stream, every tenth without text; what is ingested is their lines."""
+    schema = table(spark, sf_dir, "documents").schema
+    docs = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]").select(F.col("doc_id").alias("document_id"), F.when(F.col("doc_id") % 10 > 0, F.col("text")).alias("text"))
+    out = new_folder(spark, "x3")
+    X.ingest_stream(docs, lambda d: d.select("document_id", F.explode(F.split("text", "\n")).alias("line")), out, f"{out}/checkpoint").awaitTermination()
+    n = spark.read.parquet(f"{out}/chunks").groupBy("document_id").agg(F.count("*").alias("lines"))
+    return spark.read.parquet(f"{out}/status").join(n, "document_id", "left").select("document_id", "status", "lines")
+
+
+@query("x4_replace_stream", """SELECT document_id, version, ts FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ts, version) AS n FROM (SELECT user_id AS document_id, CAST(event_id % 3 + 1 AS INT) AS version, ts FROM events)) WHERE n = 1 AND version = 2""")
+def replaced(spark, sf_dir):
+    """Uploads arrive as a stream; the accepted ones are written by batch."""
+    uploads = streamed(spark, sf_dir).select(F.col("user_id").alias("document_id"), (F.col("event_id") % 3 + 1).cast("int").alias("version"), "ts")
+    out = new_folder(spark, "x4")
+    docs = lambda: table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.lit(1).alias("version")).distinct()
+
+    def write(accepted, number):
+        accepted.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+    X.replace_stream(uploads, docs, write, f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("document_id", "version", "ts")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions.text import chunk_hash, file_hash, unit_hash
-from docloom.operators import units
+from docloom.operators import documents, units
 from docloom.operators import versioning as V
 from docloom.registry import query
 
@@ -64,6 +64,16 @@ def gate(spark, sf_dir):
     return V.change_gate(uploads, docs.select(F.col("doc_id").alias("id"), h.alias("file_hash")), diff)
 
 
+@query("v1_change_gate_moved")
+def gate_moved(spark, sf_dir):
+    """The gate with kept and moved units; every ninth document has its lines in reverse."""
+    old, new = (units.with_hash(lines(spark, sf_dir)).withColumn("position", F.col("line_no")) for _ in "ab")
+    new = new.where("doc_id % 3 > 0 or line_no > 0").withColumn("position", F.when(F.col("doc_id") % 9 == 0, -F.col("line_no")).otherwise(F.col("line_no")))
+    diff = documents.diff_moved(old, new, units.diff_counts(old, new))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit("new").alias("file_hash"))
+    return V.change_gate(docs, docs.select(F.col("document_id").alias("id"), F.lit("old").alias("file_hash")), diff)
+
+
 @query("v2_plan_parents", f"WITH {BASE} SELECT * FROM plan")
 def plan_parents(spark, sf_dir):
     return versions(spark, sf_dir)[2]
@@ -93,6 +103,44 @@ def apply(spark, sf_dir):
     return applied(spark, sf_dir).select("document_id", "id", F.md5("text").alias("text_md5"), "chunk_index", "added_in", "removed_in")
 
 
+def wanted(spark, sf_dir):
+    d = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(d.alias("document_id"), F.when(d % 6 == 0, 3).otherwise(2).alias("version"), F.lit(1).alias("current_version"))
+
+
+@query("v5_apply_children", f"""WITH {BASE}, texts AS (SELECT doc_id, line_no, text FROM lines), news AS (SELECT doc_id, line_no, CASE WHEN doc_id % 5 = 0 THEN 'new title: ' ELSE 'title: ' END || text AS text FROM new_lines)
+SELECT t.doc_id AS document_id, k.old_id AS id, t.doc_id * 10000 + t.line_no // 4 AS parent_id, md5(CASE WHEN k.reembed AND t.doc_id % 6 > 0 THEN n.text ELSE 'title: ' || t.text END) AS text_md5,
+    CASE WHEN k.action = 'kept' AND t.doc_id % 6 > 0 THEN n.line_no ELSE t.line_no END AS chunk_index, k.reembed AND t.doc_id % 6 > 0 AS embedded, 1 AS added_in, CASE WHEN k.action = 'removed' AND t.doc_id % 6 > 0 THEN 2 END AS removed_in
+    FROM kids k JOIN texts t ON k.old_id = t.doc_id * 100000 + t.line_no LEFT JOIN news n ON k.new_id = n.doc_id * 100000 + n.line_no + {NEW}
+UNION ALL SELECT n.doc_id, k.new_id, k.parent_id, md5(n.text), n.line_no, true, 2, NULL FROM kids k JOIN news n ON k.new_id = n.doc_id * 100000 + n.line_no + {NEW} WHERE k.action = 'added' AND n.doc_id % 6 > 0""")
+def apply_children(spark, sf_dir):
+    *_, plan = versions(spark, sf_dir)
+    old, fresh = lines(spark, sf_dir), new_lines(lines(spark, sf_dir))
+
+    def rows(df, base, title):
+        d, n = F.col("doc_id"), F.col("line_no")
+        return df.select(d.alias("document_id"), (d * 100_000 + n + base).alias("id"), (d * 10_000 + F.floor(n / 4)).alias("parent_id"), F.concat(title, "text").alias("search_text"), n.alias("chunk_index"))
+
+    current = rows(old, 0, F.lit("title: ")).withColumns({"embedding": F.lit(None).cast("array<float>"), "added_in": F.lit(1), "removed_in": F.lit(None).cast("int")})
+    new = rows(fresh, NEW, F.when(F.col("doc_id") % 5 == 0, "new title: ").otherwise("title: "))
+    found = V.apply_children(current, new, plan, wanted(spark, sf_dir), documents.embed)
+    return found.select("document_id", "id", "parent_id", F.md5("search_text").alias("text_md5"), "chunk_index", F.col("embedding").isNotNull().alias("embedded"), "added_in", "removed_in")
+
+
+@query("v5_apply_links", f"""WITH {BASE} SELECT coalesce(k.old_id, b.id) AS id, coalesce(p.old_id, b.id - 1) AS prev_id, coalesce(q.old_id, b.id + 1) AS next_id
+    FROM b LEFT JOIN kept k ON k.new_id = b.id LEFT JOIN kept p ON p.new_id = b.id - 1 LEFT JOIN kept q ON q.new_id = b.id + 1 WHERE b.document_id % 6 > 0""")
+def apply_links(spark, sf_dir):
+    _, b, plan, _ = versions(spark, sf_dir)
+    return V.apply_links(applied(spark, sf_dir), b, plan, wanted(spark, sf_dir))
+
+
+@query("v5_replace_units", f"WITH {LINES_SQL}, {NEW_LINES_SQL} SELECT doc_id AS document_id, line_no, md5(text) AS text_md5 FROM lines WHERE doc_id % 6 = 0 UNION ALL SELECT doc_id, line_no, md5(text) FROM new_lines WHERE doc_id % 6 > 0")
+def replaced_units(spark, sf_dir):
+    old = lines(spark, sf_dir)
+    a, b = (df.select(F.col("doc_id").alias("document_id"), "line_no", F.md5("text").alias("text_md5")) for df in (old, new_lines(old)))
+    return V.replace_units(a, b, wanted(spark, sf_dir))
+
+
 @query("v6_version_changes", f"WITH {BASE} SELECT document_id, count(*) FILTER (added_in = 2) AS added, count(*) FILTER (removed_in = 2) AS removed, count(*) FILTER (added_in < 2 AND (removed_in IS NULL OR removed_in > 2)) AS kept FROM after GROUP BY document_id")
 def changes(spark, sf_dir):
     return V.version_changes(applied(spark, sf_dir), F.lit(2))

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.functions.frames import prepared
+
 #: ASCII white space, as in the word pattern ``[^\x20\x09-\x0D]+``; ``bytes.split()`` splits on just these.
 JAVA_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -35,7 +37,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
+    spark = prepared(df.sparkSession)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

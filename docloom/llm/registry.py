@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from docloom.functions.frames import prepared
+
 from . import ann, bpe, chat, decontaminate, language, records, sharding, simhash, substrings, toxicity
 
 _ALL = {
@@ -18,8 +20,12 @@ _ALL = {
 }
 
 
+def _prepared(query):
+    return lambda spark, sf_dir: query(prepared(spark), sf_dir)
+
+
 def queries() -> dict:
-    return {name: module.query for name, module in _ALL.items()}
+    return {name: _prepared(module.query) for name, module in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:

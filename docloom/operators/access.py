@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.frames import united
+
 
 def accessible_documents(users: DataFrame, user_roles: DataFrame, role_documents: DataFrame, documents: DataFrame) -> DataFrame:
     """user_id, document_id: those of the user's roles, each once; an admin sees every document. Only the users given
@@ -18,7 +20,7 @@ def accessible_documents(users: DataFrame, user_roles: DataFrame, role_documents
     admins = users.where("is_admin").select(F.col("id").alias("user_id")).distinct()
     # the feature itself: each admin times every document
     every = admins.crossJoin(documents.select(F.col("id").alias("document_id")).distinct())
-    return by_role.select("user_id", "document_id").distinct().unionByName(every)
+    return united([by_role.select("user_id", "document_id").distinct(), every])
 
 
 def can_access(pairs: DataFrame, users: DataFrame, user_roles: DataFrame, role_documents: DataFrame, documents: DataFrame) -> DataFrame:

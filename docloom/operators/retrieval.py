@@ -6,14 +6,13 @@ search_text, embedding, removed_in, is_toc. Ties in every ranking go to the smal
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.config import FUSION_K, STOP_WORDS, WEIGHTS, Limits
+from docloom.functions.frames import united
 from docloom.functions.text import words
 
 #: Most queries that meet the children in one pass; more go in several passes.
@@ -73,7 +72,7 @@ def vector_topk(queries: DataFrame, children: DataFrame, k: int, allowed: DataFr
             viewers = allowed.join(mine.select("query_id"), "query_id", "left_semi").groupBy("document_id").agg(F.collect_set("query_id").alias("viewers"))
             seen = rows.join(viewers, "document_id").drop("document_id")
         found.append(_near(mine.toPandas(), seen, k))
-    return _ranked(reduce(DataFrame.unionByName, found), k, F.col("distance"))
+    return _ranked(united(found), k, F.col("distance"))
 
 
 def _near(asked: pd.DataFrame, rows: DataFrame, k: int) -> DataFrame:
@@ -139,7 +138,7 @@ def _occurrences(rows: DataFrame, patterns: DataFrame) -> DataFrame:
         return work
 
     passes = [rows.mapInPandas(reader([r.pattern for r in patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == b).collect()]), schema) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, passes)
+    return united(passes)
 
 
 def identifier_match(tiers: DataFrame, children: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
@@ -186,7 +185,7 @@ def tier_counts(queries: DataFrame, hits: DataFrame, children: DataFrame) -> Dat
 def weighted_rrf(tiers: dict[str, DataFrame], count: int) -> DataFrame:
     """query_id, parent_id, score and the best rank in each search: scores are summed over all child hits of a parent;
     the best ``count`` parents, ties to the smaller parent id."""
-    union = reduce(DataFrame.unionByName, [df.select("query_id", "parent_id", "rank", F.lit(s).alias("source"), (F.lit(WEIGHTS[s]) / (F.lit(FUSION_K) + F.col("rank"))).alias("part")) for s, df in tiers.items()])
+    union = united([df.select("query_id", "parent_id", "rank", F.lit(s).alias("source"), (F.lit(WEIGHTS[s]) / (F.lit(FUSION_K) + F.col("rank"))).alias("part")) for s, df in tiers.items()])
     best = [F.min(F.when(F.col("source") == s, F.col("rank"))).alias(f"{s}_rank") for s in SOURCES]
     fused = union.groupBy("query_id", "parent_id").agg(F.round(F.sum("part"), 10).alias("score"), *best)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "parent_id")
@@ -297,7 +296,7 @@ def expand_context(seeds: DataFrame, phases: dict[str, DataFrame], cap: int, par
     rows = [seeds.select("question_id", F.lit(0).alias("phase"), "seed", F.lit(0).alias("order"), F.col("parent_id").alias("found"), F.lit("search").alias("origin"))]
     rows += [df.select("question_id", F.lit(i + 1).alias("phase"), "seed", "order", "found", F.lit(name).alias("origin")) for i, (name, df) in enumerate(phases.items())]
     at = F.struct("phase", "seed", "order")
-    union = reduce(DataFrame.unionByName, rows)
+    union = united(rows)
     if allowed is not None:
         own = parents.select(F.col("id").alias("found"), "document_id")
         union = union.join(own, "found").join(allowed, ["question_id", "document_id"], "left_semi").drop("document_id")

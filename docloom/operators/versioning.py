@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.frames import united
+
 
 def change_gate(uploads: DataFrame, documents: DataFrame, diff: DataFrame) -> DataFrame:
     """document_id, verdict (same_file, same_text or changed) and the counts of ``diff`` of each upload.
@@ -73,7 +75,7 @@ def apply_version(current: DataFrame, new: DataFrame, plan: DataFrame, versions:
     rows = current.join(gone, "id", "left").join(kept, "id", "left").join(fresh, "new_id", "left")
     rows = rows.select("document_id", "id", F.coalesce("_text", "text").alias("text"), F.coalesce("_index", "chunk_index").alias("chunk_index"), "added_in", F.coalesce("removed_in", "_gone").alias("removed_in"))
     added = p.where("action = 'added'").select(F.col("new_id").alias("id"), "version").join(new, "id")
-    return rows.unionByName(added.select("document_id", "id", "text", "chunk_index", F.col("version").alias("added_in"), F.lit(None).cast("int").alias("removed_in")))
+    return united([rows, added.select("document_id", "id", "text", "chunk_index", F.col("version").alias("added_in"), F.lit(None).cast("int").alias("removed_in"))])
 
 
 def apply_links(applied: DataFrame, new: DataFrame, plan: DataFrame, versions: DataFrame) -> DataFrame:
@@ -102,13 +104,13 @@ def apply_children(current: DataFrame, new: DataFrame, plan: DataFrame, versions
     closed = F.coalesce("removed_in", F.when(F.col("_gone"), F.col("version")))
     old = rows.select("document_id", "id", "parent_id", F.coalesce("_text", "search_text").alias("search_text"), F.coalesce("_index", "chunk_index").alias("chunk_index"), F.coalesce("_vector", "embedding").alias("embedding"), "added_in", closed.alias("removed_in"))
     added = changed.where("action = 'added'")
-    return old.unionByName(added.select("document_id", F.col("new_id").alias("id"), F.col("_parent").alias("parent_id"), F.col("_text").alias("search_text"), F.col("_index").alias("chunk_index"), F.col("_vector").alias("embedding"), F.col("version").alias("added_in"), F.lit(None).cast("int").alias("removed_in")))
+    return united([old, added.select("document_id", F.col("new_id").alias("id"), F.col("_parent").alias("parent_id"), F.col("_text").alias("search_text"), F.col("_index").alias("chunk_index"), F.col("_vector").alias("embedding"), F.col("version").alias("added_in"), F.lit(None).cast("int").alias("removed_in"))])
 
 
 def replace_units(current: DataFrame, new: DataFrame, versions: DataFrame) -> DataFrame:
     """The units' table after the replacements: documents that are replaced have the new units alone."""
     fit = versions.where("version = current_version + 1").select("document_id")
-    return current.join(fit, "document_id", "left_anti").unionByName(new.join(fit, "document_id", "left_semi"))
+    return united([current.join(fit, "document_id", "left_anti"), new.join(fit, "document_id", "left_semi")])
 
 
 def version_changes(chunks: DataFrame, version: Column) -> DataFrame:

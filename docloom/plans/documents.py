@@ -13,7 +13,9 @@ from .tables import LINES_SQL, hash_sql, lines, new_lines, stored, table
 from .text import FURNITURE_SQL
 
 
-@query("s2_text_sources")
+#: The documents have no blank lines, so that every piece but the last is full.
+@query("s2_text_sources", """SELECT doc_id, CAST(k AS INT) AS source_no, length(substr(text, k * 12000 + 1, 12000)) AS n_chars, md5(substr(text, k * 12000 + 1, 12000)) AS text_md5
+FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(0, (length(text) - 1) // 12000))) AS k FROM documents)""")
 def sources(spark, sf_dir):
     return O.text_sources(table(spark, sf_dir, "documents")).select("doc_id", "source_no", F.char_length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 

@@ -59,18 +59,51 @@ def cleaned(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", E.clean_search_query(raw).alias("q"))
 
 
-@query("e2_validate_plans", "SELECT item_id AS question_id, item_id % 5 > 0 AS valid FROM benchmark")
+@query("e2_validate_plans", "SELECT item_id AS question_id, item_id % 9 = 0 AS valid FROM benchmark")
 def valid(spark, sf_dir):
-    return E.validate_plans(plans(spark, sf_dir))
-
-
-@query("e3_starting_queries")
+    """Of nine plans one is sound; the others break one rule each."""
+    k = F.col("question_id") % 9
+    own = plans(spark, sf_dir).withColumn("task", F.concat(F.lit("task "), "id"))
+    task = F.when((k == 1) & (F.col("id") == "h2"), "  ").otherwise(F.col("task"))
+    name = F.when((k == 2) & (F.col("id") == "h3"), "h2").otherwise(F.col("id"))
+    first, text = F.col("id") == "h1", "array<string>"
+    deps = (
+        F.when((k == 3) & first, F.array(F.lit("h3"))).when((k == 4) & first, F.array(F.lit("h1"))).when((k == 5) & (F.col("id") == "h2"), F.array(F.lit("h1"), F.lit("h1")))
+        .when((k == 8) & first, F.lit(None).cast(text)).otherwise(F.col("depends_on"))
+    )
+    source = F.when((k == 6) & first, "web").otherwise(F.col("source"))
+    rows = own.select("question_id", "pos", name.alias("id"), task.alias("task"), deps.alias("depends_on"), source.alias("source"))
+    more = own.where((k == 7) & first).select("question_id", F.explode(F.sequence(F.lit(3), F.lit(12))).alias("pos"), F.lit("x").alias("x"))
+    more = more.select("question_id", "pos", F.concat("x", F.col("pos").cast("string")).alias("id"), F.lit("more").alias("task"), F.array().cast(text).alias("depends_on"), F.lit("document").alias("source"))
+    return E.validate_plans(rows.unionByName(more))
+
+
+#: Evidence in SQL: hop h1 quotes a chunk literally, h2 with a gap, h3 words that no chunk has; res holds what is resolved.
+TRACE = rf"""WITH {P.BASE}, found AS (SELECT query_id AS question_id, position, parent_id, string_split_regex(p.text, '\s+') AS ws FROM fused f JOIN parents p ON p.id = f.parent_id WHERE position <= 3),
+ev AS (SELECT question_id, position, 'h' || position AS hop_id, CAST(parent_id AS VARCHAR) AS chunk_id, ws, array_to_string(ws[1:8], ' ') AS quote FROM found),
+checked AS (SELECT question_id, hop_id, chunk_id, position, CASE position WHEN 1 THEN true WHEN 2 THEN len(ws) >= 3 ELSE false END AS found, CASE position WHEN 1 THEN length(quote) >= 8 ELSE true END AS long_enough FROM ev),
+asks AS (SELECT item_id AS question_id, text FROM benchmark),
+own AS (SELECT question_id, coalesce(bool_or(found AND long_enough) FILTER (position = 1), false) AS r1, coalesce(bool_or(found) FILTER (position = 2), false) AS q2, count(*) FILTER (position = 1) AS n1, count(*) FILTER (position = 2) AS n2, count(*) FILTER (position = 3) AS n3
+    FROM asks LEFT JOIN checked USING (question_id) GROUP BY question_id),
+res AS (SELECT question_id, 'h1' AS hop_id, CASE WHEN n1 = 0 THEN 'not_resolved' WHEN r1 THEN '' ELSE 'quote_not_found' END AS reason FROM own
+    UNION ALL SELECT question_id, 'h2', CASE WHEN n2 = 0 THEN 'not_resolved' WHEN NOT r1 THEN 'unresolved_dependency' WHEN q2 THEN '' ELSE 'quote_not_found' END FROM own
+    UNION ALL SELECT question_id, 'h3', CASE WHEN n3 = 0 THEN 'not_resolved' WHEN NOT (r1 AND q2) THEN 'unresolved_dependency' ELSE 'quote_not_found' END FROM own)"""
+
+
+@query("e3_starting_queries", r"""WITH w AS (SELECT item_id AS question_id, string_split(text, ' ') AS ws, trim(regexp_replace(array_to_string(string_split_regex(text, '\s+')[1:20], ' '), '^["''`]+|["''`]+$', '', 'g')) AS made FROM benchmark),
+every AS (SELECT question_id, (1, pos) AS place, hop AS hop_id, trim(array_to_string(ws[pos % 2 + 1:pos % 2 + 5], ' ')) AS text FROM w, (VALUES (0, 'h2'), (1, ''), (2, 'h3'), (3, '')) v(pos, hop)
+    UNION ALL SELECT question_id, (p, a), 'h1', made FROM w, (VALUES (0, 0), (1, 1000000)) v(p, a) WHERE length(made) BETWEEN 4 AND 150 AND NOT contains(made, '|')),
+once AS (SELECT question_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS key, min(place) AS place, arg_max(hop_id, place) AS hop_id, arg_max(text, place) AS text FROM every WHERE text <> '' GROUP BY 1, 2)
+SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY place, key) AS position, hop_id, text FROM once QUALIFY position <= 4""")
 def starting(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.posexplode(F.array(F.lit("h2"), F.lit(""), F.lit("h3"), F.lit(""))).alias("pos", "hop_id"), "text")
     return E.starting_queries(plans(spark, sf_dir), q.withColumn("text", F.array_join(F.slice(F.split("text", " "), F.col("pos") % 2 + 1, 5), " ")), 4)
 
 
-@query("e4_validate_grades")
+@query("e4_validate_grades", f"""{TRACE}, told AS (SELECT question_id, hop_id, position, CASE WHEN position = 1 AND question_id % 4 = 0 THEN 'unknown_task' WHEN position = 2 AND question_id % 3 = 0 THEN 'duplicate_task_result'
+    WHEN position = 3 AND question_id % 2 = 0 THEN 'invalid_task_result' END AS fault FROM ev)
+SELECT question_id, hop_id, CASE WHEN fault IS NULL THEN 'resolved' ELSE 'pending' END AS status, coalesce(fault, '') AS reason FROM told WHERE fault IS NULL OR fault <> 'unknown_task'
+UNION ALL SELECT question_id, hop_id, 'warning', fault FROM told WHERE fault IS NOT NULL""")
 def graded(spark, sf_dir):
     rows = updates(spark, sf_dir).withColumn("pos", F.lit(0))
     again = rows.where("hop_id = 'h2' and question_id % 3 = 0").withColumn("pos", F.lit(1))
@@ -79,7 +112,7 @@ def graded(spark, sf_dir):
     return kept.select("question_id", "hop_id", "status", "reason").unionByName(warnings.select("question_id", "hop_id", F.lit("warning").alias("status"), F.col("warning").alias("reason")))
 
 
-@query("e5_verify_quotes")
+@query("e5_verify_quotes", f"{TRACE} SELECT question_id, hop_id, chunk_id, found FROM checked")
 def verified(spark, sf_dir):
     return E.verify_quotes(evidence(spark, sf_dir), chunks(spark, sf_dir)).select("question_id", "hop_id", "chunk_id", "found")
 
@@ -89,14 +122,23 @@ def hops(spark, sf_dir):
     return resolved(spark, sf_dir)
 
 
-@query("e7_round_decision")
+@query("e6_resolve_status", f"{TRACE} SELECT question_id, hop_id, CASE WHEN reason = '' THEN 'resolved' ELSE 'pending' END AS status, CASE WHEN reason = '' THEN 'value ' || hop_id ELSE '' END AS value, reason FROM res")
+def hop_status(spark, sf_dir):
+    return resolved(spark, sf_dir).select("question_id", "hop_id", "status", "value", "reason")
+
+
+@query("e7_round_decision", f"""{TRACE}, n AS (SELECT question_id, count(*) FILTER (reason = '' AND hop_id <> 'h1') > 0 AS moved, count(*) FILTER (reason <> '') AS open FROM res GROUP BY 1),
+s AS (SELECT question_id, open = 0 AS complete, CASE WHEN moved THEN 0 ELSE question_id % 2 + 1 END AS stalled FROM n)
+SELECT question_id, complete, stalled, CASE WHEN complete THEN 'complete' WHEN question_id % 3 + 1 >= 3 THEN 'round_limit' WHEN stalled >= 2 THEN 'no_progress' ELSE '' END AS stop_reason FROM s""")
 def decided(spark, sf_dir):
     now = resolved(spark, sf_dir)
     state = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), (F.col("item_id") % 3 + 1).alias("round"), F.lit(3).alias("max_rounds"), (F.col("item_id") % 2).alias("no_progress_rounds"), F.lit(True).alias("graded"))
     return E.round_decision(plans(spark, sf_dir), now.where("hop_id = 'h1'"), now, state)
 
 
-@query("e8_fresh_follow_ups")
+@query("e8_fresh_follow_ups", f"""{TRACE}, next AS (SELECT question_id, min(hop_id) FILTER (reason <> '') AS hop_id FROM res GROUP BY 1),
+said AS (SELECT question_id, trim(regexp_replace(array_to_string(string_split_regex(text, '\\s+')[1:6], ' '), '^["''`]+|["''`]+$', '', 'g')) AS text FROM asks)
+SELECT question_id, hop_id, text FROM said JOIN next USING (question_id) WHERE hop_id IN ('h2', 'h3') AND question_id % 4 > 0 AND length(text) BETWEEN 4 AND 150 AND NOT contains(text, '|')""")
 def fresh(spark, sf_dir):
     texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 6), " ").alias("text"))
     proposals = texts.select("question_id", F.explode(F.array(F.lit("h2"), F.lit("h3"))).alias("hop_id"), "text")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.functions.frames import prepared
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 MODULES = ("text", "access", "chunking", "retrieval", "versions", "evaluation", "structure", "documents", "evidence", "streams")
@@ -18,7 +20,7 @@ def query(name: str, sql: str | None = None):
     def add(f):
         if name in _QUERIES:
             raise ValueError(f"two queries are named {name}")
-        _QUERIES[name] = f
+        _QUERIES[name] = lambda spark, sf_dir: f(prepared(spark), sf_dir)
         if sql:
             _SQL[name] = sql
         return f

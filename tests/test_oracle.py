@@ -7,7 +7,9 @@ import pytest
 
 from docloom import registry
 
-SF = "/root/testdata/sf0.001"
+import os
+
+SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SQL = registry.oracle_sql()
 QUERIES = registry.queries()

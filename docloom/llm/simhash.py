@@ -159,7 +159,8 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
 def met(variants: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between the fingerprints fp that share a variant and differ in at most ``distance`` bits, as forests."""
     n = partitions(variants)
-    found = variants.repartition(n, "variant").sortWithinPartitions("variant").mapInArrow(_runs(block, distance), "a long, b long, variant long")
+    # a group's forests start from its smallest fingerprint whatever the variant, so that they share most of their links
+    found = variants.repartition(n, "variant").sortWithinPartitions("variant", "fp").mapInArrow(_runs(block, distance), "a long, b long, variant long")
     found = materialise(found, "variant-links")
     hot = found.where("variant is not null").select("variant", F.col("a").alias("fp"))
     blocks = hot.groupBy("variant").agg(F.ceil(F.count("*") / F.lit(block / 2)).cast("int").alias("n"))

@@ -161,7 +161,11 @@ def context(spark, sf_dir):
     return E.select_context(sized(spark, sf_dir), bundles, 10, 6_000)
 
 
-@query("e11_simple_context")
+@query("e11_simple_context", f"""WITH RECURSIVE {P.BASE}, rows AS (SELECT query_id AS question_id, CAST(parent_id AS VARCHAR) AS chunk_id, length(p.text) AS len,
+    row_number() OVER (PARTITION BY query_id ORDER BY CAST(p.document_id AS VARCHAR), p.chunk_index, CAST(parent_id AS VARCHAR)) AS n FROM fused f JOIN parents p ON p.id = f.parent_id QUALIFY n <= 10),
+walk AS (SELECT DISTINCT question_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS used, CAST(NULL AS VARCHAR) AS chunk_id FROM rows
+    UNION ALL SELECT r.question_id, r.n, CASE WHEN used > 4000 AND used + len > 6000 THEN used ELSE used + len END, CASE WHEN used > 4000 AND used + len > 6000 THEN NULL ELSE r.chunk_id END FROM walk w JOIN rows r ON r.question_id = w.question_id AND r.n = w.n + 1)
+SELECT question_id, chunk_id FROM walk WHERE chunk_id IS NOT NULL""")
 def simple(spark, sf_dir):
     return E.simple_context(sized(spark, sf_dir), 10, 6_000)
 

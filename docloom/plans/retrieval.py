@@ -156,7 +156,22 @@ def hybrid(spark, sf_dir):
     return found.select("query_id", "position", "parent_id", "score", "document_id", "document_title", F.md5("text").alias("text_md5"), "prev_id", "next_id", "matched_by")
 
 
-@query("r10_search_single")
+def _single_sql() -> str:
+    """``BASE`` with every search in the query's own document, and the limits of a single one."""
+    own, sql = "query_id + query_id % 2", BASE
+    for old, new in (
+        ("JOIN live c ON c.embedding IS NOT NULL)", "JOIN live c ON c.embedding IS NOT NULL AND c.document_id = q.item_id + q.item_id % 2)"),
+        ("JOIN live c ON contains(lower(search_text), code)", f"JOIN live c ON contains(lower(search_text), code) AND c.document_id = {own}"),
+        ("padded AS (SELECT id, ", "padded AS (SELECT id, document_id, "), ("ON contains(t, p))", f"ON contains(t, p) AND document_id = {own})"),
+        ("FROM (SELECT id, parent_id, unnest(", "FROM (SELECT id, document_id, parent_id, unnest("), ("USING (term) GROUP BY ALL", f"USING (term) WHERE document_id = {own} GROUP BY ALL"),
+        (f"rank <= {LIMITS.vector}", f"rank <= {FREE.vector}"), (f"position <= {LIMITS.parents}", f"position <= {FREE.parents}"),
+    ):
+        assert old in sql, old
+        sql = sql.replace(old, new)
+    return f"WITH {sql} SELECT * FROM fused"
+
+
+@query("r10_search_single", _single_sql())
 def single(spark, sf_dir):
     """Each item searches the document of its number and the one after it in turn."""
     q = asked(spark, sf_dir)

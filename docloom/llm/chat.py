@@ -113,7 +113,7 @@ def digests(windows: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.createDataFrame([(-7, t, role, "</s>[INST] ok [/INST]") for t, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    own = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     every = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     return digests(format_windows(every))
 

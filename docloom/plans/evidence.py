@@ -101,7 +101,7 @@ def starting(spark, sf_dir):
 
 
 @query("e4_validate_grades", f"""{TRACE}, told AS (SELECT question_id, hop_id, position, CASE WHEN position = 1 AND question_id % 4 = 0 THEN 'unknown_task' WHEN position = 2 AND question_id % 3 = 0 THEN 'duplicate_task_result'
-    WHEN position = 3 AND question_id % 2 = 0 THEN 'invalid_task_result' END AS fault FROM ev)
+    WHEN position = 3 AND question_id % 2 = 1 THEN 'invalid_task_result' END AS fault FROM ev)
 SELECT question_id, hop_id, CASE WHEN fault IS NULL THEN 'resolved' ELSE 'pending' END AS status, coalesce(fault, '') AS reason FROM told WHERE fault IS NULL OR fault <> 'unknown_task'
 UNION ALL SELECT question_id, hop_id, 'warning', fault FROM told WHERE fault IS NOT NULL""")
 def graded(spark, sf_dir):
@@ -177,7 +177,12 @@ def cited(spark, sf_dir):
     return E.citations(P.parents(spark, sf_dir).select("id", "text", F.when(n % 3 == 1, F.col("page_number")).alias("page_number"), F.when(n % 3 == 0, F.col("source_pages")).alias("source_pages"), n.alias("sequence"), F.lit("source-4").alias("source_id"), F.array(F.lit("Part"), n.cast("string")).alias("heading_path")))
 
 
-@query("e13_reasoning_steps")
+@query("e13_reasoning_steps", rf"""{TRACE}, h AS (SELECT r.question_id, r.hop_id, reason, CASE WHEN reason = '' THEN r.hop_id || ': value ' || r.hop_id || ' (chunks: ' || chunk_id || ')' ELSE r.hop_id || ': pending (' || reason || ')' END AS line,
+    r.hop_id || ': ' || CASE r.hop_id WHEN 'h1' THEN 'Find ' || array_to_string(string_split_regex(text, '\s+')[1:30], ' ') WHEN 'h2' THEN 'the second step' ELSE CASE WHEN r.question_id % 5 = 0 THEN ' ' ELSE 'the third step' END END AS task
+    FROM res r JOIN asks USING (question_id) LEFT JOIN ev ON ev.question_id = r.question_id AND ev.hop_id = r.hop_id),
+g AS (SELECT question_id, string_agg(line, chr(10) ORDER BY hop_id) AS found, count(*) FILTER (reason = '') AS done, count(*) AS n, coalesce(string_agg(task, chr(10) ORDER BY hop_id) FILTER (reason <> ''), '') AS open FROM h GROUP BY 1)
+SELECT question_id, 1 AS step, 'initial_search' AS type, 'Search round 0' AS title, 'a | b' AS description, found AS findings FROM g UNION ALL SELECT question_id, 2, 'multi_hop_search', 'Search round 2', 'c', found FROM g
+UNION ALL SELECT question_id, 3, 'synthesis', 'Answer evidence', done || '/' || n || ' tasks supported; stop reason: round_limit.', open FROM g""")
 def steps(spark, sf_dir):
     now = resolved(spark, sf_dir)
     hop = F.struct("hop_id", "status", "value", F.transform("evidence", lambda x: x["chunk_id"]).alias("chunks"), "reason")

@@ -293,7 +293,17 @@ def referring(p, s):
     return rows, questions
 
 
-@query("r18_follow_references")
+#: The questions cite every reference of their seeds, so all of them matter.
+@query("r18_follow_references", rf"""WITH {BASE}, later AS (SELECT id - 3 AS id, trim(array_to_string(string_split_regex(text, '\s+')[1:2], ' ')) AS ref FROM parents),
+cited AS (SELECT DISTINCT question_id FROM seeds s JOIN later l ON l.id = s.parent_id),
+own AS (SELECT question_id, seed, p.document_id, l.ref FROM seeds s JOIN cited USING (question_id) JOIN parents p ON p.id = s.parent_id LEFT JOIN later l ON l.id = s.parent_id),
+refs AS (SELECT question_id, seed, document_id, 0 AS spot, ref FROM own WHERE ref IS NOT NULL UNION ALL SELECT question_id, seed, document_id, CASE WHEN ref IS NULL THEN 0 ELSE 1 END, 'Appendix A' FROM own),
+wanted AS (SELECT question_id, document_id, pattern, min((seed, spot)) AS place FROM (SELECT *, lower(CASE WHEN starts_with(ref, '§') THEN trim(substr(ref, 2)) ELSE ref END) AS pattern FROM refs) WHERE length(pattern) >= 2 GROUP BY 1, 2, 3),
+hit AS (SELECT w.*, p.id AS found, is_toc, CASE WHEN contains('chapter ' || chapter, pattern) THEN 3 ELSE 0 END + CASE WHEN starts_with(lower(ltrim(text)), pattern) THEN 2 ELSE 0 END AS score,
+    row_number() OVER (PARTITION BY question_id, w.document_id, pattern ORDER BY chunk_index, p.id) AS n FROM wanted w JOIN parents p ON p.document_id = w.document_id AND NOT removed AND contains(lower(text), pattern)),
+best AS (SELECT question_id, min(place) AS place, arg_min(found, (-score, n)) AS found FROM hit WHERE n <= 5 AND NOT is_toc GROUP BY question_id, document_id, pattern),
+once AS (SELECT question_id, found, min(place) AS place FROM best ANTI JOIN (SELECT question_id, parent_id AS found FROM seeds) k USING (question_id, found) GROUP BY 1, 2)
+SELECT question_id, place[1] AS seed, row_number() OVER (PARTITION BY question_id ORDER BY place, found) - 1 AS "order", found FROM once QUALIFY "order" < {FREE.references}""")
 def followed(spark, sf_dir):
     """Each parent refers to the first two words of the parent three places on, as an appendix or as cited text."""
     s = seeds(spark, sf_dir)

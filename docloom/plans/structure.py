@@ -77,7 +77,8 @@ def contents_lines_whole(spark, sf_dir):
     return D.parse_contents_lines(contents(spark, sf_dir, True))
 
 
-@query("d4_merge_outline")
+@query("d4_merge_outline", f"""WITH {WHOLE}, ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(code) ORDER BY line_no) AS k FROM possible)
+SELECT doc_id, line_no AS idx, code, title, target_page, page_count FROM ranked WHERE (page_count IS NULL OR target_page + page_count - 1 <= total) AND (k = 1 OR NOT regexp_matches(code, '(?i)^(appendix|annex)'))""")
 def outline(spark, sf_dir):
     return D.merge_outline(entries(spark, sf_dir, True), totals(spark, sf_dir, True))[0]
 

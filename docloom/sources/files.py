@@ -18,7 +18,7 @@ def read_corpus(spark: SparkSession, path: str, kind: str = "text") -> DataFrame
         return spark.read.format("binaryFile").load(path).select("path", "content")
     if kind != "text":
         raise ValueError(f"unknown kind of corpus: {kind}")
-    rows = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     return rows.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*TEXT_KINDS))
 
 

@@ -57,6 +57,13 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def sliced(batches: Iterator, rows: int = 1_024) -> Iterator:
+    """The batches in parts of at most so many rows, for steps whose Python objects take many times the rows' memory."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def rows_of(batches: Iterator, *columns: str) -> Iterator[tuple]:
     """Arrow batches as tuples of Python lists, one per column."""
     for b in batches:

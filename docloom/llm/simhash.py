@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, rows_of, table
+from .common import materialise, partitions, rows_of, sliced, table
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -202,7 +202,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     handed on, and each link is verified on all bits. Rows with equal first 64 bits are one node."""
 
     def work(batches):
-        for ids, texts, hashes in rows_of(batches, "doc_id", "text", "text_hash"):
+        for ids, texts, hashes in rows_of(sliced(batches), "doc_id", "text", "text_hash"):
             found = [long_fingerprint(t, NEAR_SHINGLE, PARTS) for t in texts]
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(np.array([x[0] for x in found], np.uint64).view(np.int64)), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], ["doc_id", "text_hash", "head", "bits"])
 

@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, ragged, rows_of, table
+from .common import materialise, partitions, ragged, rows_of, sliced, table
 
 WINDOW, PHRASE, SHARD = 13, 5, 20_000
 _REACH = WINDOW - PHRASE
@@ -50,7 +50,7 @@ _SPACE[[32, *range(9, 14)]] = True
 
 
 #: Windows that are hashed at once; words of at most so many bytes are hashed together, longer ones one by one.
-_BLOCK, _LONG = 1 << 15, 256
+_BLOCK, _LONG = 1 << 12, 128
 #: Symbols of the automata: a word is a number of so many values for each digit.
 _DIGIT = 128
 
@@ -124,7 +124,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 
 
 def _anchored(batches):
-    for ids, texts in rows_of(batches, "doc_id", "text"):
+    for ids, texts in rows_of(sliced(batches), "doc_id", "text"):
         found = []
         for t in texts:
             data = np.frombuffer((t or "").encode(), np.uint8)
@@ -135,7 +135,7 @@ def _anchored(batches):
 
 def _passages(batches):
     """The candidate passages of each document: from ``at`` words on, bytes from its first to its last word."""
-    for ids, texts, marks in rows_of(batches, "doc_id", "text", "marks"):
+    for ids, texts, marks in rows_of(sliced(batches), "doc_id", "text", "marks"):
         out: list[tuple] = []
         for i, t, m in zip(ids, texts, marks):
             if not m:
@@ -363,7 +363,7 @@ def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row of ``docs``."""
 
     def work(batches):
-        for ids, texts, spans in rows_of(batches, "doc_id", "text", "spans"):
+        for ids, texts, spans in rows_of(sliced(batches), "doc_id", "text", "spans"):
             found = [_kept(t, s) for t, s in zip(texts, spans)]
             n = [m for _, m in found]
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array([m - len(k) for k, m in found], pa.int64()), pa.array([hashlib.sha256(b" ".join(k)).hexdigest() for k, _ in found])], ["doc_id", "n_words", "n_removed", "kept_sha256"])
@@ -376,9 +376,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     is such a column, follows. Other columns may have any name."""
 
     def work(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in sliced(batches):
             (texts, spans), out = next(rows_of([b], "text", "spans")), []
             for t, s in zip(texts, spans):
                 kept, n = _kept(t, s)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, rows_of, table
+from .common import materialise, partitions, rows_of, sliced, table
 
 SAMPLE_ROWS, LEXICON, MIN_DOCS, MIN_ODDS, START, FOLDS = 16_000, 3_000, 3, 4.0, 5, 5
 THRESHOLD = 0.3
@@ -178,16 +178,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             return pa.record_batch([*columns, *(pa.array([n[y] for n in count.values()], pa.int64()) for y in (0, 1))], ["token", "fold", "clean", "toxic"])
 
         count: dict[tuple[bytes, int], list[int]] = {}
-        for b in batches:
-            for k in range(0, b.num_rows, 64):
-                for texts, ys, folds in rows_of([b.slice(k, 64)], "text", "y", "fold"):
-                    for t, y, f in zip(texts, ys, folds):
-                        words = set(words_of(t))
-                        for w in words | {w[:START] + b"*" for w in words if len(w) > START}:
-                            count.setdefault((w, f), [0, 0])[y] += 1
-                if len(count) > 50_000:
-                    yield told(count)
-                    count = {}
+        for texts, ys, folds in rows_of(sliced(batches, 64), "text", "y", "fold"):
+            for t, y, f in zip(texts, ys, folds):
+                words = set(words_of(t))
+                for w in words | {w[:START] + b"*" for w in words if len(w) > START}:
+                    count.setdefault((w, f), [0, 0])[y] += 1
+            if len(count) > 50_000:
+                yield told(count)
+                count = {}
         yield told(count)
 
     n = np.zeros((FOLDS, 2), int)
@@ -212,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     learned, without = lexicon(None), [lexicon(f) for f in range(FOLDS)]
 
     def vectors(batches):
-        for texts, ys, folds in rows_of((b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)), "text", "y", "fold"):
+        for texts, ys, folds in rows_of(sliced(batches, 256), "text", "y", "fold"):
             x = [features(t, without[f]).tobytes() for t, f in zip(texts, folds)]
             yield pa.record_batch([pa.array(x, pa.binary()), pa.array(ys, pa.int32()), pa.array(folds, pa.int32())], ["x", "y", "fold"])
 
@@ -238,7 +236,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted of each row of ``docs``."""
 
     def work(batches):
-        for ids, texts in rows_of(batches, "doc_id", "text"):
+        for ids, texts in rows_of(sliced(batches), "doc_id", "text"):
             s = model.score(texts)
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from docloom.functions.frames import prepared
 
-from . import ann, bpe, chat, decontaminate, language, merkle, records, sharding, simhash, substrings, toxicity
+from . import ann, bpe, chat, decontaminate, language, merkle, packing, records, sharding, simhash, substrings, toxicity
 
 _ALL = {
     "op1_toxicity": toxicity,
@@ -18,6 +18,7 @@ _ALL = {
     "op9_chat_format": chat,
     "op10_language_id": language,
     "op12_merkle": merkle,
+    "op13_packing": packing,
 }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from docloom.functions.frames import prepared
 
-from . import ann, bpe, chat, decontaminate, language, merkle, packing, records, sharding, simhash, substrings, toxicity
+from . import ann, bpe, chat, decontaminate, language, merkle, packing, records, sharding, simhash, substrings, toxicity, whitening
 
 _ALL = {
     "op1_toxicity": toxicity,
@@ -17,6 +17,7 @@ _ALL = {
     "op8_decontamination": decontaminate,
     "op9_chat_format": chat,
     "op10_language_id": language,
+    "op11_whitening": whitening,
     "op12_merkle": merkle,
     "op13_packing": packing,
 }

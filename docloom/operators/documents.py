@@ -6,6 +6,7 @@ need only a row's own text stay where the row is.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -138,22 +139,22 @@ def token_guard(chunks: DataFrame, limit: int = 256, special: int = 2) -> tuple[
 
 def embed(chunks: DataFrame, dim: int = 64) -> DataFrame:
     """``chunks`` with a unit-length embedding of search_text: a hashed bag of words, the default encoder where no model
-    files are at hand. Texts without words have null."""
+    files are at hand. A word adds to two places with signs of its own; where a text's words cancel out, the hash of all its
+    words names one place. Texts without words have null."""
     import numpy as np
 
+    def vector(words: list[str]) -> np.ndarray:
+        h = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words))
+        places = np.concatenate([h % dim, (h // dim) % dim])
+        v = np.bincount(places, np.concatenate([h >> 31, (h >> 30) & 1]) * 2.0 - 1, dim)
+        if not v.any():
+            v[zlib.crc32(" ".join(words).encode()) % dim] = 1
+        return (v / np.linalg.norm(v)).astype(np.float32)
+
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import zlib
-
         for texts in batches:
-            out = []
-            for t in texts.fillna(""):
-                v = np.zeros(dim)
-                for w in folds.match_words(t):
-                    h = zlib.crc32(w.encode())
-                    v[h % dim] += 1 if h >> 31 else -1
-                n = np.linalg.norm(v)
-                out.append((v / n).astype(np.float32) if n else None)
-            yield pd.Series(out)
+            listed = texts.fillna("").map(folds.match_words)
+            yield pd.Series([vector(w) if w else None for w in listed])
 
     return chunks.withColumn("embedding", encode("search_text"))

@@ -69,13 +69,32 @@ def waiting_messages(messages: DataFrame, thread: str) -> DataFrame:
     return messages.where((F.col("role") == "assistant") & (get("threadId") == thread) & (get("status") == "awaiting_approval"))
 
 
-def target_rank(golden: DataFrame, results: DataFrame) -> DataFrame:
+def holding_documents(items: DataFrame, docs: DataFrame, run: int = 5) -> DataFrame:
+    """question_id, doc_id: the documents whose text contains the item's text, as written. items: question_id, text; docs:
+    doc_id, text.
+
+    All words of an item but its first and last are whole words of any text that holds it, so up to ``run`` of them are a
+    key that documents are met by, and only texts that share it are searched. Items of fewer than three words (between
+    single blanks) are no passages and found nowhere."""
+    keyed = items.select("question_id", F.col("text").alias("item"), F.split("text", " ").alias("w")).where(F.size("w") > 2)
+    keyed = keyed.select("question_id", "item", F.least(F.size("w") - 2, F.lit(run)).alias("n"), "w")
+    keyed = keyed.select("question_id", "item", "n", F.xxhash64("n", F.array_join(F.slice("w", F.lit(2), F.col("n")), " ")).alias("key"))
+    lengths = [r["n"] for r in keyed.select("n").distinct().orderBy("n").collect()]  # at most ``run``
+    if not lengths:
+        return keyed.select("question_id", F.lit(0).cast("long").alias("doc_id"))
+    # the words are bound once, as the variable of an outer lambda, and not split again for each window
+    windows = ", ".join(f"transform(sequence(1, greatest(size(w) - {n - 1}, 1)), i -> xxhash64({n}, array_join(slice(w, i, {n}), ' ')))" for n in lengths)
+    keys = docs.select("doc_id", F.explode(F.expr(f"array_distinct(flatten(flatten(transform(array(split(text, ' ')), w -> array({windows})))))")).alias("key"))
+    near = keys.join(keyed, "key").select("question_id", "item", F.col("doc_id").alias("near_id")).distinct()
+    return docs.join(near, docs["doc_id"] == near["near_id"]).where(F.contains("text", "item")).select("question_id", "doc_id").distinct()
+
+
+def target_rank(questions: DataFrame, targets: DataFrame, results: DataFrame) -> DataFrame:
     """question_id, rank: the worst rank of the question's targets, 0 if one isn't found; questions without targets have
-    null. golden: question_id, targets (array); results: question_id, chunk_id, rank."""
-    wanted = golden.select("question_id", F.explode("targets").alias("chunk_id"))
-    hit = wanted.join(results.groupBy("question_id", "chunk_id").agg(F.min("rank").alias("rank")), ["question_id", "chunk_id"], "left")
+    null. targets: question_id, chunk_id, a row for each; results: question_id, chunk_id, rank."""
+    hit = targets.join(results.groupBy("question_id", "chunk_id").agg(F.min("rank").alias("rank")), ["question_id", "chunk_id"], "left")
     worst = hit.groupBy("question_id").agg(F.when(F.bool_and(F.col("rank").isNotNull()), F.max("rank")).otherwise(0).alias("rank"))
-    return golden.select("question_id").join(worst, "question_id", "left")
+    return questions.select("question_id").join(worst, "question_id", "left")
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -1,5 +1,5 @@
 """Queries: conversations, evaluation and cost (M rows). Messages are conversations, golden questions the benchmark with
-the documents that hold an item's first 120 characters as targets, judge scores labels, and usage events."""
+the documents that hold an item as targets, judge scores labels, and usage events."""
 
 from __future__ import annotations
 
@@ -73,24 +73,14 @@ def waiting(spark, sf_dir):
 
 def ranks(spark, sf_dir):
     """question_id, rank, category, faithfulness, relevance of each item."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.substring("text", 1, 120).alias("head"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # the second to the sixth word of a head are words of any text that holds it: few texts meet an item by them
-    words = F.split("head", " ")
-    keyed = items.withColumn("key", F.when(F.size(words) > 6, F.xxhash64(F.array_join(F.slice(words, 2, 5), " "))))
-    w = F.split("text", " ")
-    five = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 5), " ")))
-    near = docs.select("doc_id", F.explode(F.array_distinct(five)).alias("key")).join(keyed.where("key is not null").select("question_id", "key"), "key").select("question_id", "doc_id").distinct()
-    near = near.join(docs, "doc_id").join(items, "question_id").where(F.contains("text", "head"))
-    short = docs.join(keyed.where("key is null"), F.contains("text", "head"))  # heads of six words or fewer have no key
-    held = near.select("question_id", "doc_id").unionByName(short.select("question_id", "doc_id")).groupBy("question_id").agg(F.collect_set("doc_id").alias("targets"))
-    golden = items.select("question_id").join(held, "question_id", "left")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
+    held = M.holding_documents(items, table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("doc_id", "chunk_id")
     found = P.fused(spark, sf_dir).select(F.col("query_id").alias("question_id"), F.floor(F.col("parent_id") / 10_000).alias("chunk_id"), F.col("position").alias("rank"))
     judged = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("question_id"), F.col("quality").alias("faithfulness"), F.col("toxic").alias("relevance"))
-    return M.target_rank(golden, found).join(judged, "question_id", "left").withColumn("category", F.concat(F.lit("c"), (F.col("question_id") % 3).cast("string")))
+    return M.target_rank(items, held, found).join(judged, "question_id", "left").withColumn("category", F.concat(F.lit("c"), (F.col("question_id") % 3).cast("string")))
 
 
-RANKS = f"""WITH {P.BASE}, wanted AS (SELECT item_id AS question_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 120))),
+RANKS = f"""WITH {P.BASE}, wanted AS (SELECT item_id AS question_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) AND len(string_split(b.text, ' ')) > 2),
 found AS (SELECT query_id AS question_id, parent_id // 10000 AS doc_id, min(position) AS rank FROM fused GROUP BY 1, 2),
 worst AS (SELECT question_id, CASE WHEN bool_and(rank IS NOT NULL) THEN max(rank) ELSE 0 END AS rank FROM wanted LEFT JOIN found USING (question_id, doc_id) GROUP BY 1),
 ranks AS (SELECT b.item_id AS question_id, rank, quality AS faithfulness, toxic AS relevance, 'c' || (b.item_id % 3) AS category FROM benchmark b LEFT JOIN worst w ON w.question_id = b.item_id LEFT JOIN labels l ON l.doc_id = b.item_id)"""

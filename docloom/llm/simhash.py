@@ -174,54 +174,193 @@ def met(variants: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
     return found.where("variant is null").select("a", "b").distinct().unionByName(split)
 
 
-#: For near copies by five-word shingles: parts of 64 bits in a long fingerprint, bits of a segment, the most bits in which
-#: the first parts of two near copies may differ, and the share of all bits in which two texts of similarity 0.8 do.
-NEAR_SHINGLE, PARTS, SEGMENT, HEAD_BITS, NEAR_SHARE = 5, 6, 24, 16, 0.155
+#: For near copies by five-word shingles: parts of 64 bits in a long fingerprint, bits of a segment, and the share of all
+#: bits in which two texts of similarity 0.8 may differ.
+NEAR_SHINGLE, PARTS, SEGMENT, NEAR_SHARE = 5, 6, 24, 0.155
+_NEAR_MOST = int(NEAR_SHARE * 64 * PARTS)
+_RUNS = "a long, b long, key long, bits binary"
+
+
+def _wide(column) -> np.ndarray:
+    """Long fingerprints as rows of unsigned 64-bit parts."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, PARTS)
+
+
+def _segment_values(bits: np.ndarray) -> np.ndarray:
+    """Segments of long fingerprints as numbers, one row each."""
+    each = np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").reshape(len(bits), -1, SEGMENT)
+    return each @ (np.int64(1) << np.arange(SEGMENT, dtype=np.int64))
+
+
+def _segments(batches):
+    """Each segment of a node's fingerprint as a key, which equal segments share."""
+    for b in sliced(batches):
+        value = _segment_values(_wide(b.column(1)))
+        n = value.shape[1]
+        at = pa.array(np.repeat(np.arange(len(value)), n))
+        yield pa.record_batch([pa.array((value + (np.arange(n, dtype=np.int64) << 32)).ravel()), b.column(0).take(at), b.column(1).take(at)], ["key", "label", "bits"])
 
 
 def _near_variants(batches):
-    """Each segment of a long fingerprint with each of its bits as a wildcard."""
-    segments = 64 * PARTS // SEGMENT
-    number = np.arange(segments * SEGMENT, dtype=np.int64) << 32
-    for b in batches:
-        for k in range(0, b.num_rows, 256):
-            part = b.slice(k, 256)
-            head = part.column(0).to_numpy(zero_copy_only=False)
-            bits = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(head), -1), axis=1, bitorder="little").reshape(len(head), segments, SEGMENT)
-            value = bits @ (np.int64(1) << np.arange(SEGMENT, dtype=np.int64))
-            wild = value[:, :, None] & ~(np.int64(1) << np.arange(SEGMENT, dtype=np.int64))
-            yield pa.record_batch([pa.array((wild.reshape(len(head), -1) + number).ravel()), pa.array(np.repeat(head, segments * SEGMENT))], ["variant", "fp"])
-
-
-def near_classes(docs: DataFrame) -> DataFrame:
+    """Each segment of a node's fingerprint with each of its bits as a wildcard; that bit is the variant's lowest."""
+    one = np.int64(1) << np.arange(SEGMENT, dtype=np.int64)
+    for b in sliced(batches, 256):
+        value = _segment_values(_wide(b.column(2)))
+        n = value.shape[1] * SEGMENT
+        number = np.arange(n, dtype=np.int64).reshape(1, -1, SEGMENT) << 32
+        wild = ((value[:, :, None] & ~one) + number) << 1 | (value[:, :, None] & one != 0)
+        at = pa.array(np.repeat(np.arange(len(value)), n))
+        yield pa.record_batch([pa.array(wild.ravel()), b.column(0).take(at), b.column(1).take(at)], ["variant", "node", "label"])
+
+
+def _apart(block: int):
+    """Variants and nodes of the runs (rows come sorted) whose members have different labels and both values of the
+    wildcard bit: members with one value have equal segments and have met before. Runs over ``block`` pass as they are."""
+
+    def told(v, node, label):
+        start = np.flatnonzero(np.append(True, (v[1:] ^ v[:-1]) > 1))
+        both = [np.minimum.reduceat(x, start) != np.maximum.reduceat(x, start) for x in (v & 1, label)]
+        size = np.diff(np.append(start, len(v)))
+        kept = np.repeat(both[0] & both[1] | (size > block), size)
+        return pa.record_batch([pa.array(v[kept]), pa.array(node[kept])], ["variant", "node"])
+
+    def work(batches):
+        held = [np.zeros(0, np.int64)] * 3
+        for b in batches:
+            held = [np.concatenate([h, b.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held)]
+            if len(held[0]) < max(50_000, 2 * block):
+                continue
+            cut = int(np.searchsorted(held[0], held[0][-1] & ~np.int64(1)))  # the last run may go on
+            if cut:
+                yield told(*(h[:cut] for h in held))
+                held = [h[cut:] for h in held]
+            if len(held[0]) > 2 * block:  # a very long run streams through; what is kept of it stays over the limit
+                yield pa.record_batch([pa.array(h[: -block - 1]) for h in held[:2]], ["variant", "node"])
+                held = [h[-block - 1 :] for h in held]
+        if len(held[0]):
+            yield told(*held)
+
+    return work
+
+
+def near_links(label: np.ndarray, bits: np.ndarray, most: int = _NEAR_MOST) -> list[tuple[int, int]]:
+    """A forest over labels: those of members that differ in at most ``most`` bits are linked by a path, none else.
+    Members of one label count as linked already."""
+    names, group = np.unique(label, return_inverse=True)
+    root, found = np.arange(len(names)), []
+    largest = np.bincount(group).argmax()  # its members meet all others as the others' neighbours
+    for v in np.flatnonzero(group != largest) if len(names) > 1 else []:
+        side = root[group]
+        other = np.flatnonzero(side != side[v])
+        if not len(other):
+            break
+        near = other[np.bitwise_count(bits[other] ^ bits[v]).sum(axis=1) <= most]
+        for c, first in zip(*np.unique(side[near], return_index=True)):
+            found.append((int(label[v]), int(label[near[first]])))
+            root[root == c] = side[v]
+    return found
+
+
+def _near_edges(pairs) -> pa.RecordBatch:
+    x = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.record_batch([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.binary())], ["a", "b", "key", "bits"])
+
+
+def _near_runs(block: int):
+    """Edges between labels inside each run of equal keys (rows key, label, bits come sorted); members of runs over ``block``
+    go out unlinked, as (label, null, key, bits)."""
+
+    def pending(t):
+        return pa.record_batch([t.column("label").combine_chunks(), pa.nulls(len(t), pa.int64()), t.column("key").combine_chunks(), t.column("bits").combine_chunks()], ["a", "b", "key", "bits"])
+
+    def linked(t):
+        key, label = t.column("key").to_numpy(), t.column("label").to_numpy()
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size, bits = np.diff(np.append(start, len(key))), _wide(t.column("bits"))
+        two = start[size == 2]
+        two = two[(np.bitwise_count(bits[two] ^ bits[two + 1]).sum(axis=1) <= _NEAR_MOST) & (label[two] != label[two + 1])]
+        pairs = np.stack([label[two], label[two + 1]], 1).tolist()
+        for a, n in zip(start[size > 2], size[size > 2]):
+            if n > block:
+                yield pending(t.slice(a, n))
+            else:
+                pairs += near_links(label[a : a + n], bits[a : a + n])
+        yield _near_edges(pairs)
+
+    def work(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            if len(held) < max(10_000, 2 * block):
+                continue
+            key = held.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield from linked(held.slice(0, cut))
+                held = held.slice(cut)
+            if len(held) > 2 * block:
+                yield pending(held.slice(0, len(held) - block - 1))
+                held = held.slice(len(held) - block - 1)
+        if held is not None and len(held):
+            yield from linked(held)
+
+    return work
+
+
+def _near_met(rows: DataFrame, block: int, name: str) -> DataFrame:
+    """Edges (a, b) between the labels of ``rows`` (key, label, bits) that share a key and lie near each other, as forests;
+    the members of a key with more than ``block`` are split, and each pair of parts is a group of its own."""
+    n = partitions(rows)
+    dealt = rows.repartition(n, "key").sortWithinPartitions("key", "label", "bits")
+    found = materialise(dealt.mapInArrow(_near_runs(block), _RUNS), name)
+    hot = found.where("key is not null").select("key", F.col("a").alias("label"), "bits")
+    blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block / 2)).cast("int").alias("n"))
+    own = hot.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("bits"), F.col("n")).cast("int"))
+    pairs = own.select("key", "label", "bits", F.expr("explode(sequence(0, n - 1))").alias("other"), "own").select("key", "label", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_near_edges(near_links(t.column("label").to_numpy(), _wide(t.column("bits"))))]).select(["a", "b"])
+
+    split = pairs.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    return found.where("key is null").select("a", "b").distinct().unionByName(split)
+
+
+def near_classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, text_hash, component of each row of ``docs`` (doc_id, text): near copies by five-word shingles share one.
 
     Fingerprints of ``PARTS`` times 64 bits estimate the similarity: texts of Jaccard similarity 0.8 differ in about 15 %
     of the bits. In sixteen segments of 24 bits, such texts mostly differ by at most one bit in some segment, so that
-    they share a one-wildcard variant; where that is so, their first 64 bits are compared in memory, forests of links are
-    handed on, and each link is verified on all bits. Rows with equal first 64 bits are one node."""
+    they share a one-wildcard variant. Distances are taken on all bits, and inside a group whose members share a variant
+    each link is a path of its forest, so no link between such texts is lost to neighbours that only look alike in part.
+
+    Fingerprints go along with equal segments first, which joins nearly all of a large group. After that only the groups
+    of a variant that still hold different classes are of interest; their members' fingerprints follow them. So most
+    variants travel without any, and a large group does not give links for each of its pairs. Rows with equal fingerprints
+    are one node."""
 
     def work(batches):
+        import xxhash
+
         for ids, texts, hashes in rows_of(sliced(batches), "doc_id", "text", "text_hash"):
-            found = [long_fingerprint(t, NEAR_SHINGLE, PARTS) for t in texts]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(np.array([x[0] for x in found], np.uint64).view(np.int64)), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], ["doc_id", "text_hash", "head", "bits"])
+            bits = [long_fingerprint(t, NEAR_SHINGLE, PARTS).astype("<u8").tobytes() for t in texts]
+            node = np.array([xxhash.xxh64_intdigest(x) for x in bits], np.uint64).view(np.int64)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(node), pa.array(bits, pa.binary())], ["doc_id", "text_hash", "node", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    own = materialise(rows.mapInArrow(work, "doc_id long, text_hash long, head long, bits binary"), "long-fingerprints")
-    nodes = materialise(own.groupBy("head").agg(F.min("bits").alias("bits")), "fingerprint-nodes")
-    edges = met(nodes.select("head", "bits").mapInArrow(_near_variants, "variant long, fp long"), HEAD_BITS)
-    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    def verified(batches):
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u8").reshape(b.num_rows, -1) for k in (2, 3))
-            near = np.bitwise_count(x ^ y).sum(1) <= NEAR_SHARE * 64 * PARTS
-            yield pa.record_batch([b.column(k).filter(pa.array(near)) for k in (0, 1)], ["a", "b"])
-
-    both = edges.join(nodes.toDF("a", "x"), "a").join(nodes.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    labels = components(both.mapInArrow(verified, "a long, b long"))
-    labelled = own.select("doc_id", "text_hash", "head").join(labels, own["head"] == labels["node"], "left")
-    return labelled.select("doc_id", "text_hash", F.coalesce("label", "head").alias("component"))
+    own = materialise(rows.mapInArrow(work, "doc_id long, text_hash long, node long, bits binary"), "long-fingerprints")
+    nodes = materialise(own.groupBy("node").agg(F.min("bits").alias("bits")), "fingerprint-nodes")
+    equal = components(_near_met(nodes.select("node", "bits").mapInArrow(_segments, "key long, label long, bits binary"), block, "segment-links"))
+    joined = nodes.join(equal.withColumnRenamed("node", "own"), nodes["node"] == F.col("own"), "left")
+    nodes = materialise(joined.select("node", F.coalesce("label", "node").alias("label"), "bits"), "fingerprint-nodes")
+    variants = nodes.select("node", "label", "bits").mapInArrow(_near_variants, "variant long, node long, label long")
+    dealt = variants.repartition(partitions(variants), F.shiftright("variant", 1)).sortWithinPartitions("variant")
+    apart = materialise(dealt.mapInArrow(_apart(block), "variant long, node long"), "variants-apart")
+    lists = apart.groupBy("node").agg(F.collect_list(F.shiftright("variant", 1)).alias("keys"))  # at most one for each bit
+    met = nodes.join(lists, "node").select(F.explode("keys").alias("key"), "label", "bits")
+    labels = components(_near_met(met, block, "variant-links")).toDF("was", "now")
+    classes = nodes.join(labels, nodes["label"] == labels["was"], "left").select("node", F.coalesce("now", "label").alias("component"))
+    return own.select("doc_id", "text_hash", "node").join(classes, "node").select("doc_id", "text_hash", "component")
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:

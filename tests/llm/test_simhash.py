@@ -120,6 +120,60 @@ def test_near_copies_by_five_word_shingles(spark):
     assert near > 300 and met / near > 0.9 and far > 3_000
 
 
+def joined(n, pairs):
+    root = list(range(n))
+    for i, j in pairs:
+        a, b = root[i], root[j]
+        root = [a if r == b else r for r in root]
+    return root
+
+
+def same_partition(a, b):
+    return len(set(zip(a, b))) == len(set(a)) == len(set(b))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_forests_lose_no_class(seed):
+    """True copies among decoys that look alike in the first 64 bits only; some members share a label beforehand."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2, 384)
+    members = []
+    for k in range(60):
+        x = base.copy()
+        if k % 2:
+            x[64:] = rng.integers(0, 2, 320) if k % 3 else x[64:]
+        x[rng.choice(384, int(rng.integers(0, 40)), replace=False)] ^= 1
+        members.append(x)
+    bits = np.packbits(members, axis=1, bitorder="little").view("<u8")
+    label = rng.permutation(60) if seed % 2 else rng.integers(0, 25, 60)
+    alike = [(i, j) for i in range(60) for j in range(i) if (members[i] != members[j]).sum() <= simhash._NEAR_MOST or label[i] == label[j]]
+    first = {int(x): int(np.flatnonzero(label == x)[0]) for x in label}
+    linked = [(first[a], first[b]) for a, b in simhash.near_links(label, bits)]
+    assert same_partition(joined(60, alike), joined(60, linked + [(i, first[int(x)]) for i, x in enumerate(label)]))
+    assert len(linked) < len(set(label.tolist()))
+
+
+@pytest.mark.parametrize("block", [4, simhash.BLOCK])
+def test_classes_against_all_pairs_that_share_a_variant(spark, block):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(30, 90))]
+        for _ in range(rng.randrange(1, 25)):
+            x = list(base)
+            for _ in range(rng.randrange(5)):
+                x[rng.randrange(len(x))] = f"n{rng.randrange(99)}"
+            texts.append(" ".join(x))
+    prints = np.stack([simhash.long_fingerprint(t, simhash.NEAR_SHINGLE, simhash.PARTS) for t in texts])
+    each = np.unpackbits(prints.astype("<u8").view(np.uint8), axis=1, bitorder="little").reshape(len(texts), -1, simhash.SEGMENT)
+    pairs = []
+    for i in range(len(texts)):
+        differ = (each[:i] != each[i]).sum(axis=2)
+        pairs += [(i, j) for j in np.flatnonzero((differ.min(axis=1) <= 1) & (differ.sum(axis=1) <= simhash._NEAR_MOST))] if i else []
+    found = {r.doc_id: r.component for r in simhash.near_classes(documents(spark, texts), block).collect()}
+    assert same_partition(joined(len(texts), pairs), [found[i] for i in range(len(texts))]) and pairs
+
+
 def test_one_row_of_each_class_stays(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(3, text, 1, "a"), (2, text + " more", 2, "b"), (None, text, 3, "c"), (2, text + " more", 4, "d"), (7, "other words", 5, "e"), (None, "null id alone", 6, "f"), (None, None, 7, "g"), (9, "", 8, "h")]

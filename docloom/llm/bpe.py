@@ -9,7 +9,8 @@ together in order. Pre-tokens that end within ``MARGIN`` characters of a chunk's
 may have wanted to look further. A text in which some neighbours share no trusted boundary (one run of letters longer
 than the overlap, say) is encoded in one piece, which gives the same ids. Decoding joins the tokens' raw bytes.
 
-Null text counts as empty: no ids and the digest of nothing. Repeated doc_ids are rows of their own.
+Null text counts as empty: no ids and the digest of nothing. Repeated doc_ids are rows of their own; long ones that also
+repeat the text are encoded once and counted.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, rows_of, table
+from .common import rows_of, table
 
 CHUNK, OVERLAP, MARGIN = 16_384, 1_024, 8
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -127,29 +128,32 @@ def _long(rows: DataFrame, ranks_path: str, pattern: str, chunk: int, overlap: i
             yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(ks, pa.int32()), pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64())), pa.array(ends, pa.int64())], ["key", "k", "head", "tail", "upto"])
 
     def encode(batches):
-        for keys, ids, ks, starts, ends, apart, pieces in rows_of(batches, "key", "doc_id", "k", "start", "end", "apart", "piece"):
+        for keys, ids, copies, ks, starts, ends, apart, pieces in rows_of(batches, "key", "doc_id", "copies", "k", "start", "end", "apart", "piece"):
             # where the text can't be stitched, its own characters go on instead of ids
             part = ["" if x else p[a - k * chunk : b - k * chunk] for x, k, a, b, p in zip(apart, ks, starts, ends, pieces)]
             coded = [p[:chunk].encode() if x else c.tobytes() for x, c, p in zip(apart, _encode(part, ranks_path, pattern), pieces)]
-            yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(ks, pa.int32()), pa.array(apart), pa.array(coded, pa.binary())], ["key", "doc_id", "k", "apart", "coded"])
+            yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(copies, pa.int64()), pa.array(ks, pa.int32()), pa.array(apart), pa.array(coded, pa.binary())], ["key", "doc_id", "copies", "k", "apart", "coded"])
 
     def gather(pdf):
-        copies, i = int((pdf["k"] == 0).sum()), pdf["doc_id"].iloc[0]
-        ids = b"".join(pdf.drop_duplicates("k").sort_values("k")["coded"])
+        copies, i = int(pdf["copies"].iloc[0]), pdf["doc_id"].iloc[0]
+        ids = b"".join(pdf.sort_values("k")["coded"])
         if pdf["apart"].iloc[0]:
             ids = next(_encode([ids.decode()], ranks_path, pattern)).tobytes()
         x = np.frombuffer(ids, "<u4")
         i = None if i is None or i != i else int(i)
-        return _batch([i] * copies, [len(x)] * copies, [ids] * copies, [decode(x, ranks_path, pattern)] * copies, digest).to_pandas()
+        return _batch([i], [len(x)], [ids], [decode(x, ranks_path, pattern)], digest).to_pandas().assign(copies=copies)
 
-    chunks = rows.mapInArrow(cut, "key binary, doc_id long, k int, last int, piece string").repartition(partitions(rows), "key", "k")
-    marks = chunks.mapInArrow(mark, "key binary, k int, head array<long>, tail array<long>, upto long").dropDuplicates(["key", "k"])
+    # rows that repeat doc_id and text are counted before the shuffle, so that each chunk is there once
+    pieces = rows.mapInArrow(cut, "key binary, doc_id long, k int, last int, piece string")
+    chunks = pieces.groupBy("key", "k").agg(F.first("doc_id").alias("doc_id"), F.first("last").alias("last"), F.first("piece").alias("piece"), F.count("*").alias("copies"))
+    marks = chunks.mapInArrow(mark, "key binary, k int, head array<long>, tail array<long>, upto long")
     order, every = Window.partitionBy("key").orderBy("k"), Window.partitionBy("key")
     meet = F.array_min(F.array_intersect(F.lag("tail").over(order), "head"))
     starts = marks.select("key", "k", "upto", F.when(F.col("k") == 0, F.lit(0).cast("long")).otherwise(meet).alias("start"))
     stitches = starts.select("key", "k", "start", F.coalesce(F.lead("start").over(order), "upto").alias("end"), F.max(F.col("start").isNull()).over(every).alias("apart"))
-    coded = chunks.join(stitches, ["key", "k"]).mapInArrow(encode, "key binary, doc_id long, k int, apart boolean, coded binary")
-    return coded.groupBy("key").applyInPandas(gather, out)
+    coded = chunks.join(stitches, ["key", "k"]).mapInArrow(encode, "key binary, doc_id long, copies long, k int, apart boolean, coded binary")
+    once = coded.groupBy("key").applyInPandas(gather, f"{out}, copies long")
+    return once.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy", "copies")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

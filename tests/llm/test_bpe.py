@@ -26,3 +26,11 @@ def test_round_trip_and_empty_table(spark):
     for r in bpe.encode_decode(docs, chunk=500, overlap=50).collect():
         assert r.decoded == (ODD[r.doc_id] or "").encode() and bpe.decode(np.frombuffer(r.ids, "<u4")) == r.decoded
     assert bpe.encode_decode(docs.limit(0)).count() == 0
+
+
+def test_copies_of_a_long_text_are_encoded_once(spark):
+    text = "many words, again and again. " * 40
+    rows = [(5, text)] * 300 + [(6, text)] * 2 + [(None, text)] * 3 + [(5, text + "!")]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, copies int").repartition(4)
+    found = bpe.encode_decode(docs, chunk=100, overlap=30, digest=True)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(((i, *expected(t)) for i, t in rows), key=str)

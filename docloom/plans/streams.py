@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom.functions import markdown
+from docloom.operators import chunking, documents
 from docloom.registry import query
+from docloom.sources import snapshots
 from docloom.streaming import events as X
 
-from .tables import new_folder, table
+from .chunking import OUTLINE
+from .tables import new_folder, stored, table
 
 
 def streamed(spark, sf_dir):
@@ -72,16 +76,43 @@ def replacements(spark, sf_dir):
     return X.choose_replacements(e, docs)
 
 
-@query("x3_ingest_stream", """SELECT doc_id AS document_id, CASE WHEN trim(coalesce(text, '')) <> '' AND doc_id % 10 > 0 THEN 'COMPLETED' ELSE 'FAILED' END AS status,
-    CASE WHEN trim(coalesce(text, '')) <> '' AND doc_id % 10 > 0 THEN len(string_split(text, chr(10))) END AS lines FROM documents""")
+PAGE_LINES, DAMAGED = 20, "%%damaged%%"
+
+
+def checked_blocks(text, is_plain):
+    """The parser of the stream's pages: it stops at a damaged one."""
+    if text and DAMAGED in text:
+        raise ValueError(f"damaged at {text.index(DAMAGED)}")
+    return markdown.blocks(text, is_plain)
+
+
+def ingest_pages(docs):
+    """W1 over plain texts, twenty lines to a page; document_id as doc_id."""
+    line = docs.select(F.col("document_id").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    pages = line.groupBy("doc_id", (F.floor(F.col("n") / PAGE_LINES) + 1).cast("int").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    none = F.lit(None).cast("string")
+    pages = pages.withColumns({"is_plain": F.lit(True), "refs": F.array().cast("array<string>"), "appendix": none, "boundary": none})
+    titles = pages.select("doc_id").distinct().withColumn("title", F.concat(F.lit("Document "), F.col("doc_id").cast("string")))
+    parents, children, faults = chunking.build_sound_chunks(pages, titles, docs.sparkSession.createDataFrame([], OUTLINE), stored, checked_blocks)
+    return {"parents": parents, "children": documents.embed(children)}, faults.withColumnRenamed("doc_id", "document_id")
+
+
+@query("x3_ingest_stream", f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN text END AS text FROM documents),
+w AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS words FROM d),
+s AS (SELECT doc_id, words, CASE WHEN coalesce(trim(text), '') = '' THEN 'no text' WHEN doc_id % 10 = 3 THEN 'page 1: ValueError: damaged at 0' WHEN doc_id % 10 = 7 AND len(string_split(text, chr(10))) > {PAGE_LINES} THEN 'page 2: ValueError: damaged at 0' END AS reason FROM d JOIN w USING (doc_id))
+SELECT doc_id AS document_id, CASE WHEN reason IS NULL THEN 'COMPLETED' ELSE 'FAILED' END AS status, reason, CASE WHEN reason IS NULL THEN words END AS words, CASE WHEN reason IS NULL THEN words END AS child_words, CASE WHEN reason IS NULL THEN true END AS embedded FROM s""")
 def ingested(spark, sf_dir):
-    """Documents arrive as a stream, every tenth without text; what is ingested is their lines."""
-    schema = table(spark, sf_dir, "documents").schema
-    docs = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]").select(F.col("doc_id").alias("document_id"), F.when(F.col("doc_id") % 10 > 0, F.col("text")).alias("text"))
+    """Documents arrive as a stream and go through W1. Every tenth has no text, and of two more in ten a page is damaged:
+    the first, or the second if there is one. The chunks hold all words of the documents that are completed."""
+    damaged = F.transform(F.split("text", "\n"), lambda x, i: F.when(((F.col("doc_id") % 10 == 3) & (i == 0)) | ((F.col("doc_id") % 10 == 7) & (i == PAGE_LINES)), F.concat(F.lit(DAMAGED), x)).otherwise(x))
+    docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]")
+    docs = docs.select(F.col("doc_id").alias("document_id"), F.when(F.col("doc_id") % 10 != 0, F.array_join(damaged, "\n")).alias("text"))
     out = new_folder(spark, "x3")
-    X.ingest_stream(docs, lambda d: d.select("document_id", F.explode(F.split("text", "\n")).alias("line")), out, f"{out}/checkpoint").awaitTermination()
-    n = spark.read.parquet(f"{out}/chunks").groupBy("document_id").agg(F.count("*").alias("lines"))
-    return spark.read.parquet(f"{out}/status").join(n, "document_id", "left").select("document_id", "status", "lines")
+    X.ingest_stream(docs, ingest_pages, out, f"{out}/checkpoint", stored).awaitTermination()
+    words = F.regexp_count("text", F.lit(r"\S+"))
+    parents = snapshots.current(spark, out, "parents").groupBy(F.col("doc_id").alias("document_id")).agg(F.sum(words).alias("words"))
+    children = snapshots.current(spark, out, "children").groupBy(F.col("doc_id").alias("document_id")).agg(F.sum(words).alias("child_words"), F.bool_and(F.col("embedding").isNotNull()).alias("embedded"))
+    return snapshots.current(spark, out, "status").join(parents, "document_id", "left").join(children, "document_id", "left")
 
 
 @query("x4_replace_stream", """SELECT document_id, version, ts FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ts, version) AS n FROM (SELECT user_id AS document_id, CAST(event_id % 3 + 1 AS INT) AS version, ts FROM events)) WHERE n = 1 AND version = 2""")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import snapshots
+
 #: File kinds that hold text.
 TEXT_KINDS = ("txt", "md", "markdown", "html", "htm", "csv", "json", "xml")
 
@@ -22,13 +24,16 @@ def read_corpus(spark: SparkSession, path: str, kind: str = "text") -> DataFrame
     return rows.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*TEXT_KINDS))
 
 
-def save_chunks(parents: DataFrame, children: DataFrame, units: DataFrame, path: str, buckets: int = 64) -> None:
-    """Writes the three tables below ``path``, parents first, partitioned by a bucket of the document. Units replace the
-    buckets they fall in, so give each touched bucket's current units whole."""
-    bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
-    for name, df in (("parents", parents), ("children", children), ("units", units)):
-        rows = df.withColumn("bucket", bucket).repartition("bucket")
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{name}")
+def save_chunks(parents: DataFrame, children: DataFrame, units: DataFrame, path: str, buckets: int = 64, documents: DataFrame | None = None) -> None:
+    """Puts the documents' parents, children and units in place of what was saved of them below ``path``, all at once:
+    until the last step readers (``saved``) have the old version whole. ``documents`` (document_id) names documents that
+    go without a successor."""
+    snapshots.replace_documents(parents.sparkSession, path, {"parents": parents, "children": children, "units": units}, buckets, documents)
+
+
+def saved(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """``parents``, ``children`` or ``units`` as last saved."""
+    return snapshots.current(spark, path, name)
 
 
 def export_parents(parents: DataFrame, documents: DataFrame, filename_like: str) -> DataFrame:

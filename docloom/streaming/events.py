@@ -5,6 +5,7 @@ Events: event_id, document_id, type, ts. Streams carry a watermark on ts; state
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docloom.functions.frames import prepared, united
+from docloom.sources import snapshots
+
 #: Events that close a document's progress.
 TERMINAL = ("completed", "failed", "summary_failed", "replace_complete", "replace_failed")
 #: How long a document's state outlives its last event, in event time.
@@ -63,15 +67,48 @@ def unit_progress_counts(units: DataFrame) -> DataFrame:
     return units.groupBy("document_id").agg(F.count("*").alias("total_units"), F.count_if(F.col("chunk_id").isNotNull()).alias("linked_units"))
 
 
-def ingest_stream(documents: DataFrame, ingest: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Starts a query that ingests arriving documents (document_id, text) per micro-batch. Documents without text are
-    FAILED rows and don't stop the others. Each batch writes its own folder, so a repeated batch replaces itself."""
+#: What ``ingest`` gives for a batch: tables by name, and (document_id, reason) of documents that it could not take.
+Ingested = tuple[dict[str, DataFrame], DataFrame]
+STATUS = "document_id long, status string, reason string"
+
+
+def isolated(docs: DataFrame, ingest: Callable[[DataFrame], Ingested], stored: Callable[[DataFrame, str], DataFrame], depth: int = 0) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables of ``ingest`` over ``docs`` (which must be stored), written, and the failures that it names.
+
+    If it raises, the documents are halved by a hash and each half is taken by itself, until the one that it raises for is
+    alone: that is a failure with the exception as its reason. So f bad documents of n cost about f log2(n) runs, and
+    documents that ``ingest`` tells apart by itself cost none."""
+    try:
+        tables, failures = ingest(docs)
+        return {name: stored(df, name) for name, df in tables.items()}, stored(failures, "failures")
+    except Exception as e:
+        ids = docs.select("document_id").distinct()
+        if ids.limit(2).count() < 2:
+            said = next((x.strip() for x in reversed(str(e).splitlines()) if re.match(r"\s*(\w+\.)*\w+(Error|Exception)\b", x)), str(e).split("\n")[0])
+            return {}, stored(ids.select("document_id", F.lit(said).alias("reason")), "failures")
+        side = F.pmod(F.xxhash64("document_id", F.lit(depth)), F.lit(2))
+        found = [isolated(docs.where(side == k), ingest, stored, depth + 1) for k in (0, 1)]
+        names = {n for tables, _ in found for n in tables}
+        return {n: united([t[n] for t, _ in found if n in t]) for n in names}, united([f for _, f in found])
+
+
+def ingest_stream(documents: DataFrame, ingest: Callable[[DataFrame], Ingested], path: str, checkpoint: str, stored: Callable[[DataFrame, str], DataFrame]):
+    """Starts a query that ingests arriving documents (document_id, text and more) per micro-batch. Documents without text,
+    and those that ``ingest`` names or raises for, are FAILED with a reason and don't stop the others.
+
+    What a batch gives, status included, is published as one part named by its number (see sources.snapshots): readers
+    see a batch whole or not at all, and a batch that runs twice replaces itself."""
 
     def batch(df: DataFrame, number: int) -> None:
+        spark = prepared(df.sparkSession)
+        docs = stored(df, "batch")
         good = F.trim(F.coalesce("text", F.lit(""))) != ""
-        status = df.select("document_id", F.when(good, "COMPLETED").otherwise("FAILED").alias("status"))
-        ingest(df.where(good)).write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
-        status.write.mode("overwrite").parquet(f"{path}/status/batch={number}")
+        tables, failures = isolated(docs.where(good), ingest, stored)
+        why = failures.groupBy("document_id").agg(F.min("reason").alias("reason"))
+        rows = docs.select("document_id", good.alias("good")).groupBy("document_id").agg(F.bool_or("good").alias("good")).join(why, "document_id", "left")
+        reason = F.when(F.col("good"), F.col("reason")).otherwise("no text")
+        status = rows.select("document_id", F.when(reason.isNull(), "COMPLETED").otherwise("FAILED").alias("status"), reason.alias("reason"))
+        snapshots.publish(spark, path, [(name, f"batch={number}", df) for name, df in ({"status": status} | tables).items()])
 
     return documents.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

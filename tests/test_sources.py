@@ -1,5 +1,8 @@
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from docloom.sources import files
 
 
@@ -25,13 +28,44 @@ def test_golden_targets(spark, tmp_path):
     assert got == {1: ("q1", ["a"], "c"), 2: ("q2", ["a", "b"], "c"), 3: ("q3", [], "d")}
 
 
-def test_units_replace_only_touched_buckets(spark, tmp_path):
-    units = lambda rows: spark.createDataFrame(rows, "document_id long, text string")
-    none = units([])
-    files.save_chunks(none, none, units([(i, "old") for i in range(20)]), str(tmp_path), 4)
-    first = spark.read.parquet(f"{tmp_path}/units")
-    bucket = {r.document_id: r.bucket for r in first.collect()}
-    touched = [(i, "new") for i in bucket if bucket[i] == bucket[0]]
-    files.save_chunks(none, none, units(touched), str(tmp_path), 4)
-    got = {r.document_id: r.text for r in spark.read.parquet(f"{tmp_path}/units").collect()}
-    assert got == {i: "new" if bucket[i] == bucket[0] else "old" for i in range(20)}
+def rows_of(spark, path, name):
+    found = files.saved(spark, path, name)
+    return {} if found is None else {r.document_id: r.text for r in found.collect()}
+
+
+def test_a_document_replaces_itself_alone(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    make = lambda rows: spark.createDataFrame(rows, "document_id long, text string")
+    none = make([])
+    assert rows_of(spark, path, "units") == {}
+    files.save_chunks(make([(1, "p")]), none, make([(i, "old") for i in range(20)]), path, 4)
+    files.save_chunks(none, none, make([(7, "new")]), path, 4)
+    assert rows_of(spark, path, "units") == {i: "new" if i == 7 else "old" for i in range(20)}
+    assert rows_of(spark, path, "parents") == {1: "p"} and rows_of(spark, path, "children") == {}
+    # documents that go, down to the last row of a bucket
+    files.save_chunks(none, none, none, path, 4, make([(i, "") for i in range(1, 20)]))
+    assert rows_of(spark, path, "units") == {0: "old"} and rows_of(spark, path, "parents") == {}
+    files.save_chunks(none, none, none, path, 4)
+    assert rows_of(spark, path, "units") == {0: "old"}
+
+
+def test_a_change_that_fails_midway_leaves_the_old_version(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    make = lambda rows: spark.createDataFrame(rows, "document_id long, text string")
+    old = make([(i, "old") for i in range(9)])
+    files.save_chunks(old, old, old, path, 2)
+    new = make([(3, "new"), (4, "new")])
+
+    @F.udf("string")
+    def broken(x):
+        raise ValueError("no disk")
+
+    with pytest.raises(Exception, match="no disk"):  # parents are written by then, children fail
+        files.save_chunks(new, new.withColumn("text", broken("text")), new, path, 2)
+    for name in ("parents", "children", "units"):
+        assert rows_of(spark, path, name) == {i: "old" for i in range(9)}
+    held = files.saved(spark, path, "parents")  # a reader that has begun
+    files.save_chunks(new, new, new, path, 2)
+    assert {r.text for r in held.collect()} == {"old"}
+    for name in ("parents", "children", "units"):
+        assert rows_of(spark, path, name) == {i: "new" if i in (3, 4) else "old" for i in range(9)}

@@ -12,13 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.config import FUSION_K, STOP_WORDS, WEIGHTS, Limits
-from docloom.functions.frames import united
+from docloom.functions.frames import spread_join, stored, united
 from docloom.functions.text import words
 
-#: Most queries that meet the children in one pass; more go in several passes.
-QUERY_BLOCK = 4_096
-#: Most (query, term) rows that are broadcast.
-TERMS_SENT = 200_000
+#: Queries and children of one block of vector search, and the vectors that blocks lie around.
+QUERY_BLOCK, CHILD_BLOCK, PIVOTS = 4_096, 16_384, 64
 SOURCES = ("vector", "identifier", "phrase", "keyword")
 
 
@@ -58,87 +56,133 @@ def _ranked(rows: DataFrame, k: int, *order: Column) -> DataFrame:
 
 
 def vector_topk(queries: DataFrame, children: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """Exact search by cosine distance. Each pass takes at most ``QUERY_BLOCK`` queries to all children; a batch of
-    children hands on no more than the k nearest of each query (and ties), so the shuffle carries those alone."""
-    asked = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    rows = children.where("embedding is not null").select(F.col("id").alias("child_id"), "parent_id", "document_id", "embedding")
-    found = []
-    for b in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        if allowed is None:
-            seen = rows.drop("document_id")
-        else:  # the block's queries that may see a document, at most QUERY_BLOCK
-            viewers = allowed.join(mine.select("query_id"), "query_id", "left_semi").groupBy("document_id").agg(F.collect_set("query_id").alias("viewers"))
-            seen = rows.join(viewers, "document_id").drop("document_id")
-        found.append(_near(mine.toPandas(), seen, k))
-    return _ranked(united(found), k, F.col("distance"))
-
-
-def _near(asked: pd.DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    ids = asked["query_id"].to_numpy(np.int64)
-    q = np.stack(asked["embedding"].to_numpy()) if len(asked) else np.zeros((0, 1))
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    columns = ["query_id", "child_id", "parent_id", "distance"]
-
-    def best(found: list[pd.DataFrame]) -> pd.DataFrame:
-        every = pd.concat(found).sort_values(["query_id", "distance", "child_id"])
-        return every[every.groupby("query_id").cumcount() < k]
+    """Exact search by cosine distance: blocks of queries meet blocks of children, and of a block only the k nearest of
+    each query go on. With ``allowed`` (query_id, document_id), what a query may see goes to the blocks with it.
+
+    Where there is more than one block, children lie with the nearest of a few pivots (children themselves). A query first
+    searches the blocks of its own pivot. Its k-th distance there is a bound: a pivot's block can hold something nearer
+    only if the angle to the pivot, less the largest one of the pivot's children, is within it; all others are skipped,
+    and none of the k nearest with them."""
+    double = F.col("embedding").cast("array<double>").alias("embedding")
+    asked = queries.where("embedding is not null").select("query_id", double)
+    rows = children.where("embedding is not null").select(F.col("id").alias("child_id"), "parent_id", "document_id", double)
+    n_queries, n_rows = asked.count(), rows.count()
+    parts = max(1, -(-n_queries // QUERY_BLOCK))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    if n_rows <= CHILD_BLOCK:
+        held = rows.withColumns({"pivot": F.lit(0), "block": F.lit(0)})
+        wanted = asked.withColumns({"pivot": F.lit(0), "block": F.lit(0)})
+        return _ranked(_block_search(wanted, held, parts, k, allowed), k, F.col("distance"))
+    # a fixed number of vectors, whatever the data
+    pivots = np.array([r[0] for r in rows.orderBy(F.xxhash64("child_id")).limit(PIVOTS).select("embedding").collect()])
+    placed = stored(_to_pivots(rows, pivots, 1), "children-by-pivot")
+    sizes = placed.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(CHILD_BLOCK)).cast("int").alias("blocks"), F.max("angle").alias("radius"))  # one row a pivot
+    held = placed.join(F.broadcast(sizes), "pivot").withColumn("block", F.pmod(F.xxhash64("child_id"), F.col("blocks")).cast("int")).drop("angle", "blocks", "radius")
+    near = stored(_to_pivots(asked, pivots, len(pivots)), "queries-by-pivot").join(F.broadcast(sizes), "pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = F.col("place") == 0
+    first = stored(_block_search(near.where(own), held, parts, k, allowed), "nearest-of-own-pivot")
+    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "child_id")))
+    bound = ranked.where(F.col("n") == k).select("query_id", F.acos(F.greatest(F.lit(-1.0), 1 - F.col("distance"))).alias("bound"))
+    reach = F.col("angle") - F.col("radius") - 1e-6
+    rest = near.where(~own).join(bound, "query_id", "left").where(F.col("bound").isNull() | (reach <= F.col("bound")))
+    return _ranked(united([first, _block_search(rest, held, parts, k, allowed)]), k, F.col("distance"))
+
+
+def _unit(vectors) -> np.ndarray:
+    x = np.stack(list(vectors)).astype(float)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _to_pivots(rows: DataFrame, pivots: np.ndarray, most: int) -> DataFrame:
+    """``rows`` for each of their ``most`` nearest pivots: pivot, angle to it and place (0: the nearest). Vectors of length
+    zero have a right angle to everything and so an angle that rules nothing out: 0 as rows, pi as children."""
+    unit, one = _unit(pivots), most == 1
 
     def work(batches):
-        """The k nearest of each query in the whole partition; what is held stays near that size."""
-        found: list[pd.DataFrame] = []
         for b in batches:
-            if not len(b) or not len(ids):
-                continue
-            x = np.stack(b["embedding"].to_numpy()).astype(float)
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            d = 1 - q @ x.T
-            if "viewers" in b:
-                d = np.where(np.stack([np.isin(ids, v) for v in b["viewers"]], axis=1), d, np.inf)
+            if len(b):
+                x = _unit(b["embedding"])
+                angle = np.arccos(np.clip(x @ unit.T, -1, 1))
+                angle[~x.any(axis=1)] = np.pi if one else 0
+                order = np.argsort(angle, axis=1, kind="stable")[:, :most]
+                at = np.repeat(np.arange(len(b)), order.shape[1])
+                found = b.iloc[at].reset_index(drop=True)
+                yield found.assign(pivot=order.ravel().astype(np.int32), angle=np.take_along_axis(angle, order, 1).ravel(), place=np.tile(np.arange(order.shape[1], dtype=np.int32), len(b)))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(work, f"{kinds}, pivot int, angle double, place int")
+
+
+def _block_search(asked: DataFrame, held: DataFrame, parts: int, k: int, allowed: DataFrame | None) -> DataFrame:
+    """query_id, child_id, parent_id, distance: the k nearest (with ties) of each query in each block that it asks. asked:
+    query_id, embedding, part, pivot, block; held: child_id, parent_id, document_id, embedding, pivot, block."""
+    keys = ["pivot", "block", "part"]
+    left = asked.select(*keys, "query_id", "embedding", F.lit(None).cast("long").alias("document_id"))
+    if allowed is not None:  # rights go to the blocks that hold something of their document, if the query asks these
+        where = held.select("document_id", "pivot", "block").distinct()
+        rights = allowed.join(where, "document_id").join(asked.select(*keys, "query_id"), ["query_id", "pivot", "block"])
+        left = united([left, rights.select(*keys, "query_id", F.lit(None).cast("array<double>").alias("embedding"), "document_id")])
+    right = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))  # a copy for each block of queries: one, nearly always
+    columns, scoped = ["query_id", "child_id", "parent_id", "distance"], allowed is not None
+
+    def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        own = q[q["embedding"].notna()]
+        if not len(own) or not len(c):
+            return pd.DataFrame({x: pd.Series(dtype=float if x == "distance" else np.int64) for x in columns})
+        ids, unit = own["query_id"].to_numpy(np.int64), _unit(own["embedding"])
+        seen = None
+        if scoped:
+            documents, of = np.unique(c["document_id"].to_numpy(), return_inverse=True)
+            rights = q[q["embedding"].isna()]
+            rights = rights[rights["document_id"].isin(documents)]
+            seen = np.zeros((len(ids), len(documents)), bool)
+            order = np.argsort(ids)
+            seen[order[np.searchsorted(ids[order], rights["query_id"].to_numpy(np.int64))], np.searchsorted(documents, rights["document_id"].to_numpy())] = True
+        child, parent, found = c["child_id"].to_numpy(np.int64), c["parent_id"].to_numpy(np.int64), []
+        for at in range(0, len(c), 1_024):
+            part = slice(at, at + 1_024)
+            d = 1 - unit @ _unit(c["embedding"].iloc[part]).T
+            if seen is not None:
+                d = np.where(seen[:, of[part]], d, np.inf)
             most = min(k, d.shape[1])
             i, j = np.nonzero((d <= np.partition(d, most - 1, axis=1)[:, most - 1 : most]) & np.isfinite(d))
-            found.append(pd.DataFrame(dict(zip(columns, (ids[i], b["child_id"].to_numpy()[j], b["parent_id"].to_numpy()[j], np.round(d[i, j], 12))))))
-            if sum(map(len, found)) > 4 * k * len(ids):
-                found = [best(found)]
-        if found:
-            yield best(found)
+            found.append(pd.DataFrame(dict(zip(columns, (ids[i], child[part][j], parent[part][j], np.round(d[i, j], 12))))))
+        every = pd.concat(found).sort_values(["query_id", "distance", "child_id"])
+        return every[every.groupby("query_id").cumcount() < k]
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, child_id long, parent_id long, distance double")
+
+
+#: Lengths of the character runs that patterns are looked up by: the longest that a pattern has, three at least.
+GRAMS = (3, 5)
+
 
-    return rows.mapInPandas(work, "query_id long, child_id long, parent_id long, distance double")
+def _runs_of(text: Column, n: int) -> Column:
+    """Hashes of the distinct runs of n characters."""
+    at = F.sequence(F.lit(1), F.greatest(F.char_length(text) - (n - 1), F.lit(1)))
+    runs = F.transform(at, lambda i: F.xxhash64(F.lit(n), F.substr(text, i, F.lit(n))))
+    return F.when(F.char_length(text) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<long>"))
 
 
 def _occurrences(rows: DataFrame, patterns: DataFrame) -> DataFrame:
-    """child_id, parent_id, pattern, n: how often each pattern stands in each text without overlapping itself.
-
-    rows: child_id, parent_id, text; patterns: pattern. Every text is read once for each ``QUERY_BLOCK`` patterns, by an
-    automaton of them, however many there are."""
-    patterns = patterns.select("pattern").distinct()
-    blocks = max(1, -(-patterns.count() // QUERY_BLOCK))
-    schema = "child_id long, parent_id long, pattern string, n long"
-
-    def reader(own: list[str]):
-        def work(batches):
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-            for x in own:
-                automaton.add_word(x, x)
-            automaton.make_automaton()
-            for b in batches:
-                found: list[tuple] = []
-                for child, parent, text in zip(b["child_id"], b["parent_id"], b["text"]):
-                    count: dict[str, list[int]] = {}
-                    for end, x in automaton.iter(text) if own and text else ():
-                        seen = count.setdefault(x, [0, -1])
-                        if end - len(x) >= seen[1]:
-                            seen[0], seen[1] = seen[0] + 1, end
-                    found += [(child, parent, x, n) for x, (n, _) in count.items()]
-                yield pd.DataFrame(found, columns=["child_id", "parent_id", "pattern", "n"])
-
-        return work
-
-    passes = [rows.mapInPandas(reader([r.pattern for r in patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == b).collect()]), schema) for b in range(blocks)]
-    return united(passes)
+    """child_id, parent_id, pattern, n: how often each pattern (of three characters at least) stands in each text without
+    overlapping itself.
+
+    rows: child_id, parent_id, text; patterns: pattern. An inverted index of character runs: of the runs that some pattern
+    has, the texts' are counted; each pattern is looked up by the one that the fewest texts have, and those texts are
+    searched. A pattern with a run that no text has is found nowhere. All patterns share these passes over the texts."""
+    patterns = patterns.select("pattern").distinct().where("char_length(pattern) >= 3")
+    size = F.when(F.char_length("pattern") >= GRAMS[1], GRAMS[1]).otherwise(GRAMS[0])
+    grams = F.when(size == GRAMS[1], _runs_of(F.col("pattern"), GRAMS[1])).otherwise(_runs_of(F.col("pattern"), GRAMS[0]))
+    indexed = patterns.select("pattern", F.explode(grams).alias("gram"))
+    postings = rows.select("child_id", F.explode(F.concat(*(_runs_of(F.col("text"), n) for n in GRAMS))).alias("gram"))
+    postings = postings.join(indexed.select("gram").distinct(), "gram", "left_semi")
+    known = indexed.join(postings.groupBy("gram").agg(F.count("*").alias("texts")), "gram", "left")
+    best = known.groupBy("pattern").agg(F.min_by("gram", F.struct("texts", "gram")).alias("gram"), F.bool_and(F.col("texts").isNotNull()).alias("all")).where("all").select("pattern", "gram")
+    hits = spread_join(postings, best, "gram", F.col("child_id")).select(F.col("child_id").alias("hit_id"), "pattern")
+    texts = rows.join(hits, rows["child_id"] == hits["hit_id"]).where(F.contains("text", "pattern"))
+    n = (F.char_length("text") - F.char_length(F.replace("text", "pattern", F.lit("")))) / F.char_length("pattern")
+    return texts.select("child_id", "parent_id", "pattern", n.cast("long").alias("n"))
 
 
 def identifier_match(tiers: DataFrame, children: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
@@ -162,13 +206,12 @@ def phrase_match(tiers: DataFrame, children: DataFrame, k: int, allowed: DataFra
 
 def keyword_hits(tiers: DataFrame, children: DataFrame) -> DataFrame:
     """query_id, child_id, parent_id, n: occurrences of the query's terms. Words are counted per child before they meet
-    the terms, and only words that some query asks for are kept."""
+    the terms, only words that some query asks for are kept, and a word that a great part of the children has is dealt
+    over many tasks."""
     asked = tiers.select("query_id", F.explode("terms").alias("term"))
     rows = children.select(F.col("id").alias("child_id"), "parent_id", F.explode(words(F.col("search_text"))).alias("term"))
     counted = rows.join(asked.select("term").distinct(), "term", "left_semi").groupBy("child_id", "parent_id", "term").agg(F.count("*").alias("tf"))
-    # a term that many children have would be a hot key: the queries' terms go to them instead, while they are few
-    few = asked.limit(TERMS_SENT + 1).count() <= TERMS_SENT
-    return counted.join(F.broadcast(asked) if few else asked, "term").groupBy("query_id", "child_id", "parent_id").agg(F.sum("tf").alias("n"))
+    return spread_join(counted, asked, "term", F.col("child_id")).groupBy("query_id", "child_id", "parent_id").agg(F.sum("tf").alias("n"))
 
 
 def keyword_match(hits: DataFrame, k: int) -> DataFrame:

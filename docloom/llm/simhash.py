@@ -178,6 +178,9 @@ def met(variants: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
 #: bits in which two texts of similarity 0.8 may differ.
 NEAR_SHINGLE, PARTS, SEGMENT, NEAR_SHARE = 5, 6, 24, 0.155
 _NEAR_MOST = int(NEAR_SHARE * 64 * PARTS)
+#: A node's id begins with so many bits of its fingerprint. Of two nodes that differ in at most ``_NEAR_MOST`` of all bits,
+#: these differ in 8 on average, and in more than ``HEAD_MOST`` once in two million; of unlike ones, in 24 on average.
+HEAD, HEAD_MOST = 48, 19
 _RUNS = "a long, b long, key long, bits binary"
 
 
@@ -213,15 +216,28 @@ def _near_variants(batches):
         yield pa.record_batch([pa.array(wild.ravel()), b.column(0).take(at), b.column(1).take(at)], ["variant", "node", "label"])
 
 
+_SHORT = 8
+
+
 def _apart(block: int):
     """Variants and nodes of the runs (rows come sorted) whose members have different labels and both values of the
-    wildcard bit: members with one value have equal segments and have met before. Runs over ``block`` pass as they are."""
+    wildcard bit: members with one value have equal segments and have met before. Of runs of up to ``_SHORT`` members, most
+    of them chance meetings, those stay that have such a member with a like head. Runs over ``block`` pass as they are."""
 
     def told(v, node, label):
         start = np.flatnonzero(np.append(True, (v[1:] ^ v[:-1]) > 1))
         both = [np.minimum.reduceat(x, start) != np.maximum.reduceat(x, start) for x in (v & 1, label)]
-        size = np.diff(np.append(start, len(v)))
-        kept = np.repeat(both[0] & both[1] | (size > block), size)
+        size, both = np.diff(np.append(start, len(v))), both[0] & both[1]
+        kept = np.repeat((both & (size > _SHORT)) | (size > block), size)
+        head = node.view(np.uint64) >> np.uint64(64 - HEAD)
+        for m in range(2, _SHORT + 1):
+            at = start[both & (size == m)]
+            for i in range(m):
+                for j in range(i + 1, m):
+                    a, b = at + i, at + j
+                    like = ((v[a] ^ v[b]) & 1 == 1) & (label[a] != label[b]) & (np.bitwise_count(head[a] ^ head[b]) <= HEAD_MOST)
+                    kept[a] |= like
+                    kept[b] |= like
         return pa.record_batch([pa.array(v[kept]), pa.array(node[kept])], ["variant", "node"])
 
     def work(batches):
@@ -337,14 +353,16 @@ def near_classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     Fingerprints go along with equal segments first, which joins nearly all of a large group. After that only the groups
     of a variant that still hold different classes are of interest; their members' fingerprints follow them. So most
     variants travel without any, and a large group does not give links for each of its pairs. Rows with equal fingerprints
-    are one node."""
+    are one node, and so are those with equal heads and an equal 16-bit hash of the rest."""
 
     def work(batches):
         import xxhash
 
         for ids, texts, hashes in rows_of(sliced(batches), "doc_id", "text", "text_hash"):
             bits = [long_fingerprint(t, NEAR_SHINGLE, PARTS).astype("<u8").tobytes() for t in texts]
-            node = np.array([xxhash.xxh64_intdigest(x) for x in bits], np.uint64).view(np.int64)
+            rest = np.array([xxhash.xxh64_intdigest(x) & ((1 << (64 - HEAD)) - 1) for x in bits], np.uint64)
+            head = np.array([int.from_bytes(x[:8], "little") >> (64 - HEAD) << (64 - HEAD) for x in bits], np.uint64)
+            node = (head | rest).view(np.int64)
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(node), pa.array(bits, pa.binary())], ["doc_id", "text_hash", "node", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))

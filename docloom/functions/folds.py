@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable
 from html.parser import HTMLParser
 from itertools import accumulate
 
+import numpy as np
+
 def text_sources(text: str, most: int = 12_000) -> list[str]:
     """Pieces of at most ``most`` characters, cut after the last blank line if that lies past the half."""
     out = []
@@ -22,53 +24,76 @@ def text_sources(text: str, most: int = 12_000) -> list[str]:
     return out or [""]
 
 
+#: Matching pairs for each unit, on average, beyond which rows of bits are faster than pairs.
+DENSE = 64
+
+
 def kept_in_order(old: list, new: list) -> int:
-    """Length of the longest common subsequence, in time of the length times the number of differences."""
-    start = 0
-    while start < min(len(old), len(new)) and old[start] == new[start]:
-        start += 1
-    end = 0
-    while end < min(len(old), len(new)) - start and old[-1 - end] == new[-1 - end]:
-        end += 1
-    a, b = old[start : len(old) - end], new[start : len(new) - end]
-    reach = {1: 0}  # furthest place in a on each diagonal
-    for d in range(len(a) + len(b) + 1):
-        for k in range(-d, d + 1, 2):
-            x = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
-            while x < len(a) and x - k < len(b) and a[x] == b[x - k]:
-                x += 1
-            reach[k] = x
-            if x >= len(a) and x - k >= len(b):
-                return start + end + (len(a) + len(b) - d) // 2
-    return start + end
+    """Length of the longest common subsequence.
+
+    Units of one side only are left out. The pairs of equal units, by place in ``old`` and falling place in ``new``, are
+    dealt on piles (the least end of a common subsequence of each length), in time of the pairs times the logarithm of
+    the length. Where a few units repeat so often that there are too many pairs, a row of bits stands for the piles."""
+    places: dict = {}
+    for j, x in enumerate(new):
+        places.setdefault(x, []).append(j)
+    a = [x for x in old if x in places]
+    if sum(len(places[x]) for x in a) > DENSE * (len(a) + len(new)):
+        return _kept_by_bits(a, new)
+    ends: list[int] = []
+    for x in a:
+        for j in reversed(places[x]):
+            at = bisect_left(ends, j)
+            if at == len(ends):
+                ends.append(j)
+            else:
+                ends[at] = j
+    return len(ends)
+
+
+def _kept_by_bits(old: list, new: list) -> int:
+    shared = set(old)
+    new = [x for x in new if x in shared]
+    number = {x: i for i, x in enumerate(shared)}
+    coded = np.array([number[x] for x in new], np.int64)
+    bits = {x: int.from_bytes(np.packbits(coded == i, bitorder="little").tobytes(), "little") for x, i in number.items()}
+    whole = (1 << len(new)) - 1
+    row = whole  # a zero is a place where a longer common subsequence ends
+    for x in old:
+        met = row & bits[x]
+        row = ((row + met) | (row - met)) & whole
+    return len(new) - row.bit_count()
 
 
 def match_words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", (text or "").lower())
 
 
-def holds(unit: list[str], chunk: list[str]) -> bool:
-    """Whether the chunk has the unit's words in order: all of three or fewer, nine in ten of more."""
+def word_places(text: str) -> dict[str, list[int]]:
+    """The places of each word of a text."""
+    found: dict[str, list[int]] = {}
+    for i, w in enumerate(match_words(text)):
+        found.setdefault(w, []).append(i)
+    return found
+
+
+def holds(unit: list[str], places: dict[str, list[int]]) -> bool:
+    """Whether a chunk (word_places) has the unit's words in order: all of three or fewer, nine in ten of more."""
     at = found = 0
     for w in unit:
-        try:
-            at = chunk.index(w, at) + 1
-            found += 1
-        except ValueError:
-            pass
+        own = places.get(w, ())
+        k = bisect_left(own, at)
+        if k < len(own):
+            at, found = own[k] + 1, found + 1
     return found == len(unit) if len(unit) <= 3 else found / len(unit) >= 0.9
 
 
-def link_units(units: list[tuple[str, int]], chunks: list[tuple[object, set, str]]) -> list:
-    """For each (text, page) in reading order, the id of the chunk (id, pages, text) on its page that holds it, tried from
-    the last hit onwards and then from the start; None without one."""
-    words = [match_words(t) for _, _, t in chunks]
+def follow(candidates: Iterable[list[int] | None]) -> list[int | None]:
+    """Of each unit's candidates (ascending places of chunks), the first from the last hit onwards, else the first."""
     cursor, out = 0, []
-    for text, page in units:
-        own = match_words(text)
-        order = [*range(cursor, len(chunks)), *range(cursor)]
-        hit = next((i for i in order if page in chunks[i][1] and holds(own, words[i])), None) if own else None
-        out.append(None if hit is None else chunks[hit][0])
+    for own in candidates:
+        hit = None if own is None or not len(own) else own[k] if (k := bisect_left(own, cursor)) < len(own) else own[0]
+        out.append(hit)
         cursor = cursor if hit is None else hit
     return out
 

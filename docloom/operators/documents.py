@@ -80,24 +80,37 @@ def diff_moved(old: DataFrame, new: DataFrame, counts: DataFrame) -> DataFrame:
         n = folds.kept_in_order(list(x.sort_values("position")["hash"]), list(y.sort_values("position")["hash"]))
         return pd.DataFrame({"doc_id": [(x if len(x) else y)["doc_id"].iloc[0]], "kept": [n]})
 
-    pick = lambda df: df.join(changed, "doc_id", "left_semi").select(F.col("doc_id").alias("doc_id"), "position", "hash").groupBy("doc_id")
-    kept = pick(old).cogroup(pick(new)).applyInPandas(fold, "doc_id long, kept long")
+    # units of one side only never meet the fold
+    pick = lambda df, other: df.join(changed, "doc_id", "left_semi").join(other.select("doc_id", "hash").distinct(), ["doc_id", "hash"], "left_semi").select(F.col("doc_id").alias("doc_id"), "position", "hash").groupBy("doc_id")
+    kept = pick(old, new).cogroup(pick(new, old)).applyInPandas(fold, "doc_id long, kept long")
+    kept = changed.join(kept, "doc_id", "left").na.fill(0, ["kept"])
     found = counts.join(kept, "doc_id", "left").withColumn("kept", F.coalesce("kept", "same"))
     return found.select("doc_id", "kept", (F.col("same") - F.col("kept")).alias("moved"), "added", "removed")
 
 
 def link_units(units: DataFrame, chunks: DataFrame) -> DataFrame:
-    """doc_id, position, chunk_id of each unit. units: doc_id, position, page, text; chunks: doc_id, chunk_id,
-    chunk_index, source_pages, text."""
-
-    def fold(u: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        u, c = u.sort_values("position"), c.sort_values(["chunk_index", "chunk_id"])
-        ids = folds.link_units(list(zip(u["text"], u["page"])), [(i, set(p), t) for i, p, t in zip(c["chunk_id"], c["source_pages"], c["text"])])
-        return pd.DataFrame({"doc_id": u["doc_id"], "position": u["position"], "chunk_id": pd.array(ids, "Int64")})
-
-    left = units.select("doc_id", "position", "page", "text").groupBy("doc_id")
-    right = chunks.select("doc_id", "chunk_id", "chunk_index", "source_pages", "text").groupBy("doc_id")
-    return left.cogroup(right).applyInPandas(fold, "doc_id long, position int, chunk_id long")
+    """doc_id, position, chunk_id of each unit: the chunk on its page that holds it, tried from the last unit's chunk onwards
+    and then from the start. units: doc_id, position, page, text; chunks: doc_id, chunk_id, chunk_index, source_pages, text.
+
+    A unit meets the chunks of its page alone, by an equality join, and is looked up in the places of their words. What
+    depends on reading order, the last hit, is a fold over the numbers of chunks that hold each unit, without any text."""
+
+    @F.pandas_udf("boolean")
+    def held(unit: pd.Series, chunk: pd.Series) -> pd.Series:
+        places = {c: folds.word_places(c) for c in set(chunk)}
+        return pd.Series([bool(w := folds.match_words(u)) and folds.holds(w, places[c]) for u, c in zip(unit, chunk)])
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("position")
+        return pdf[["doc_id", "position"]].assign(number=pd.array(folds.follow(pdf["numbers"]), "Int32"))
+
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index", "chunk_id")) - 1
+    numbered = chunks.select("doc_id", "chunk_id", number.alias("number"))
+    paged = chunks.join(numbered.select("doc_id", "chunk_id", "number"), ["doc_id", "chunk_id"]).select("doc_id", "number", F.explode(F.array_distinct("source_pages")).alias("page"), F.coalesce("text", F.lit("")).alias("chunk"))
+    met = units.select("doc_id", "position", "page", F.coalesce("text", F.lit("")).alias("text")).join(paged, ["doc_id", "page"])
+    hits = met.where(held("text", "chunk")).groupBy("doc_id", "position").agg(F.array_sort(F.collect_list("number")).alias("numbers"))
+    read = units.select("doc_id", "position").join(hits, ["doc_id", "position"], "left").groupBy("doc_id").applyInPandas(fold, "doc_id long, position int, number int")
+    return read.join(numbered, ["doc_id", "number"], "left").select("doc_id", "position", "chunk_id")
 
 
 def word_count(text: str) -> int:

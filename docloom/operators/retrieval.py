@@ -15,6 +15,8 @@ from docloom.config import FUSION_K, STOP_WORDS, WEIGHTS, Limits
 from docloom.functions.frames import spread_join, stored, united
 from docloom.functions.text import words
 
+from . import postings
+
 #: Queries and children of one block of vector search, and the vectors that blocks lie around.
 QUERY_BLOCK, CHILD_BLOCK, PIVOTS = 4_096, 16_384, 64
 SOURCES = ("vector", "identifier", "phrase", "keyword")
@@ -153,36 +155,13 @@ def _block_search(asked: DataFrame, held: DataFrame, parts: int, k: int, allowed
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, child_id long, parent_id long, distance double")
 
 
-#: Lengths of the character runs that patterns are looked up by: the longest that a pattern has, three at least.
-GRAMS = (3, 5)
-
-
-def _runs_of(text: Column, n: int) -> Column:
-    """Hashes of the distinct runs of n characters."""
-    at = F.sequence(F.lit(1), F.greatest(F.char_length(text) - (n - 1), F.lit(1)))
-    runs = F.transform(at, lambda i: F.xxhash64(F.lit(n), F.substr(text, i, F.lit(n))))
-    return F.when(F.char_length(text) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<long>"))
-
-
 def _occurrences(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """child_id, parent_id, pattern, n: how often each pattern (of three characters at least) stands in each text without
-    overlapping itself.
-
-    rows: child_id, parent_id, text; patterns: pattern. An inverted index of character runs: of the runs that some pattern
-    has, the texts' are counted; each pattern is looked up by the one that the fewest texts have, and those texts are
-    searched. A pattern with a run that no text has is found nowhere. All patterns share these passes over the texts."""
-    patterns = patterns.select("pattern").distinct().where("char_length(pattern) >= 3")
-    size = F.when(F.char_length("pattern") >= GRAMS[1], GRAMS[1]).otherwise(GRAMS[0])
-    grams = F.when(size == GRAMS[1], _runs_of(F.col("pattern"), GRAMS[1])).otherwise(_runs_of(F.col("pattern"), GRAMS[0]))
-    indexed = patterns.select("pattern", F.explode(grams).alias("gram"))
-    postings = rows.select("child_id", F.explode(F.concat(*(_runs_of(F.col("text"), n) for n in GRAMS))).alias("gram"))
-    postings = postings.join(indexed.select("gram").distinct(), "gram", "left_semi")
-    known = indexed.join(postings.groupBy("gram").agg(F.count("*").alias("texts")), "gram", "left")
-    best = known.groupBy("pattern").agg(F.min_by("gram", F.struct("texts", "gram")).alias("gram"), F.bool_and(F.col("texts").isNotNull()).alias("all")).where("all").select("pattern", "gram")
-    hits = spread_join(postings, best, "gram", F.col("child_id")).select(F.col("child_id").alias("hit_id"), "pattern")
-    texts = rows.join(hits, rows["child_id"] == hits["hit_id"]).where(F.contains("text", "pattern"))
-    n = (F.char_length("text") - F.char_length(F.replace("text", "pattern", F.lit("")))) / F.char_length("pattern")
-    return texts.select("child_id", "parent_id", "pattern", n.cast("long").alias("n"))
+    overlapping itself, by an inverted index. rows: child_id, parent_id, text; patterns: pattern."""
+    everywhere = F.lit(0).alias("scope")
+    texts = rows.select(F.col("child_id").alias("id"), "parent_id", "text", everywhere)
+    found = postings.containing(texts, patterns.select(everywhere, "pattern"), (3, 5))
+    return found.select(F.col("id").alias("child_id"), "parent_id", "pattern", postings.occurrences(F.col("text"), F.col("pattern")).alias("n"))
 
 
 def identifier_match(tiers: DataFrame, children: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
@@ -375,8 +354,11 @@ def follow_references(seeds: DataFrame, parents: DataFrame, questions: DataFrame
     rows = rows.where(F.col("ref").rlike(OVERRIDES) | cited | F.coalesce(guide & shared, F.lit(False)))
     pattern = F.when(F.startswith("ref", F.lit("§")), F.trim(F.substr("ref", F.lit(2)))).otherwise(F.col("ref"))
     wanted = rows.withColumn("pattern", F.lower(pattern)).where("char_length(pattern) >= 2").groupBy("question_id", "document_id", "pattern").agg(F.min(F.struct("seed", "at")).alias("place"))
-    live = parents.where("removed_in is null").select("document_id", F.col("id").alias("found"), "chunk_index", F.lower("search_text").alias("body"), F.lower(F.coalesce("heading", F.lit(""))).alias("head"), F.lower(F.ltrim("text")).alias("start"), "is_toc")
-    hit = wanted.join(live, "document_id").where(F.contains("body", "pattern"))
+    live = parents.where("removed_in is null").select(F.col("document_id").alias("scope"), "id", "chunk_index", F.lower("search_text").alias("text"), F.lower(F.coalesce(F.col("heading"), F.lit(""))).alias("head"), F.lower(F.ltrim("text")).alias("start"), "is_toc")
+    sought = wanted.withColumnRenamed("document_id", "scope")
+    # only documents that are asked about are indexed, each chunk under its document
+    held = postings.containing(live.join(sought.select("scope").distinct(), "scope", "left_semi"), sought, (2, 4))
+    hit = sought.join(held.withColumnRenamed("id", "found"), ["scope", "pattern"]).withColumnRenamed("scope", "document_id")
     target = Window.partitionBy("question_id", "document_id", "pattern")
     first = hit.withColumn("n", F.row_number().over(target.orderBy("chunk_index", "found"))).where("n <= 5 and not (is_toc <=> true)")
     score = F.when(F.contains("head", "pattern"), 3).otherwise(0) + F.when(F.startswith("start", "pattern"), 2).otherwise(0)

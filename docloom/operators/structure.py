@@ -9,8 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.frames import united
 from docloom.functions.references import cross_references
 
+from . import postings
+
 #: Fixed value: an appendix code, after an optional letter label.
 APPENDIX = r"(?i)^(?:[A-Z]\s*[-–—]?\s+)?((?:Appendix|Annexure|Annex)[\s-]+[A-Z0-9]+)\b"
 
@@ -98,10 +101,21 @@ def appendix_ranges(outline: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def appendix_at_page(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``pages`` (doc_id, page) with the title of the appendix they lie in: the earliest start, then contents order."""
-    r = ranges.select("doc_id", "idx", "title", "first", "last")
-    hit = pages.select("doc_id", "page").distinct().join(r, "doc_id").where("page between first and last").groupBy("doc_id", "page").agg(F.min_by("title", F.struct("first", "idx")).alias("appendix"))
-    return pages.join(hit, ["doc_id", "page"], "left")
+    """``pages`` (doc_id, page) with the title of the appendix they lie in: the earliest start, then contents order.
+
+    In that order a range matters only from where all before it have ended. So ranges become intervals that don't overlap,
+    and one sweep over the starts of intervals and the pages tells each page the last start before it: the work is that
+    of pages plus ranges, however they nest."""
+    before = Window.partitionBy("doc_id").orderBy("first", "idx").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.greatest("first", F.coalesce(F.max("last").over(before) + 1, "first"))
+    held = ranges.select("doc_id", "idx", "title", "first", "last").withColumn("start", start).where("start <= last")
+    none = F.lit(None).cast("struct<title:string,last:int>")
+    marks = held.select("doc_id", F.col("start").cast("int").alias("page"), F.lit(0).alias("kind"), F.struct("title", F.col("last").cast("int").alias("last")).alias("open"))
+    asked = pages.select("doc_id", F.col("page").cast("int").alias("page"), F.lit(1).alias("kind"), none.alias("open")).distinct()
+    sweep = Window.partitionBy("doc_id").orderBy("page", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    seen = united([marks, asked]).withColumn("open", F.last("open", ignorenulls=True).over(sweep)).where("kind = 1")
+    found = seen.select("doc_id", "page", F.when(F.col("open.last") >= F.col("page"), F.col("open.title")).alias("appendix"))
+    return pages.join(found, ["doc_id", "page"], "left")
 
 
 def table_passages(tables: DataFrame) -> DataFrame:
@@ -151,8 +165,12 @@ def document_boundaries(pages: DataFrame, outline: DataFrame) -> DataFrame:
     code, title = F.trim(F.coalesce("code", F.lit(""))), F.trim(F.coalesce("title", F.lit("")))
     label = F.when((code != "") & (title != "") & ~F.startswith(F.lower(title), F.lower(code)), F.concat(code, F.lit(" - "), title)).when(title != "", title).otherwise(code)
     o = outline.select("doc_id", "idx", "target_page", label.alias("label"), F.concat_ws(" ", "code", "title").rlike(ATTACHED).alias("attached"), F.when(~F.coalesce("code", F.lit("")).rlike(r"\d+\.\d+") & (title != ""), F.lower("title")).alias("top"))
-    hit = p.select("doc_id", "page", F.lower("head").alias("low")).join(o, "doc_id").where("(attached and target_page = page) or contains(low, top)")
-    first = hit.groupBy("doc_id", "page").agg(F.min_by("label", "idx").alias("listed"))
+    # by the page that an entry points to, and by its title in an index of the pages' first lines
+    pointed = o.where("attached").select("doc_id", F.col("target_page").alias("page"), "idx", "label")
+    heads = p.select(F.struct("doc_id", "page").alias("id"), F.col("doc_id").alias("scope"), F.lower("head").alias("text")).distinct()
+    titled = o.where("top is not null").select(F.col("doc_id").alias("scope"), F.col("top").alias("pattern"), "idx", "label")
+    held = postings.containing(heads, titled).join(titled, ["scope", "pattern"]).select("id.doc_id", "id.page", "idx", "label")
+    first = united([pointed, held]).groupBy("doc_id", "page").agg(F.min_by("label", "idx").alias("listed"))
     flagged = F.when(F.col("is_boundary"), F.nullif(F.trim("boundary_title"), F.lit("")))
     appendix = F.nullif(F.trim(F.regexp_extract("head", r"(?i)^(?:[A-Z]\s+)?(Appendix\s+[A-Z0-9]+[\s:\-–—]+.+)", 1)), F.lit(""))
     named = [F.when(F.col("head").rlike(pattern), F.lit(name)) for pattern, name in HEADINGS]

@@ -149,7 +149,17 @@ def at_page_whole(spark, sf_dir):
     return D.appendix_at_page(pages, D.appendix_ranges(possible(spark, sf_dir, True), totals(spark, sf_dir, True)))
 
 
-@query("d7_document_boundaries")
+BOUNDARIES = rf"""ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(code) ORDER BY line_no) AS k FROM possible),
+outline AS (SELECT doc_id, line_no AS idx, trim(code) AS code, trim(title) AS title, target_page FROM ranked WHERE (page_count IS NULL OR target_page + page_count - 1 <= total) AND (k = 1 OR NOT regexp_matches(code, '(?i)^(appendix|annex)'))),
+o AS (SELECT *, CASE WHEN code <> '' AND title <> '' AND NOT starts_with(lower(title), lower(code)) THEN code || ' - ' || title WHEN title <> '' THEN title ELSE code END AS label,
+    regexp_matches(code || ' ' || title, '{D.ATTACHED}') AS attached, CASE WHEN NOT regexp_matches(code, '\d+\.\d+') AND title <> '' THEN lower(title) END AS top FROM outline),
+heads AS (SELECT doc_id, CAST(line_no + 1 AS INT) AS page, CASE line_no % 5 WHEN 1 THEN 'Minutes of a meeting ' WHEN 2 THEN 'Form FAT ' WHEN 3 THEN 'Appendix Q: notes ' ELSE '' END || text AS head, line_no % 7 = 6 AS flagged FROM lines),
+hits AS (SELECT p.doc_id, page, arg_min(label, idx) AS listed FROM heads p JOIN o ON o.doc_id = p.doc_id AND ((attached AND target_page = page) OR contains(lower(head), top)) GROUP BY 1, 2)
+SELECT p.doc_id, page, coalesce(listed, CASE WHEN flagged THEN 'Part' END, nullif(trim(regexp_extract(head, '(?i)^(?:[A-Z]\s+)?(Appendix\s+[A-Z0-9]+[\s:\-–—]+.+)', 1)), ''),
+    {", ".join(f"CASE WHEN regexp_matches(head, '{pattern}') THEN '{name}' END" for pattern, name in D.HEADINGS)}) AS boundary FROM heads p LEFT JOIN hits USING (doc_id, page)"""
+
+
+@query("d7_document_boundaries", f"WITH {WHOLE}, {BOUNDARIES}")
 def boundaries(spark, sf_dir):
     n = F.col("line_no")
     heads = F.when(n % 5 == 1, "Minutes of a meeting").when(n % 5 == 2, "Form FAT").when(n % 5 == 3, "Appendix Q: notes").otherwise("")

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -8,6 +9,8 @@ from docloom.operators import documents as O
 from docloom.operators import evidence as E
 from docloom.operators import retrieval as R
 from docloom.operators.units import strip_page_furniture
+from docloom.plans import documents as plans
+from docloom.plans import retrieval, tables
 
 
 def test_sources_cut_at_blank_lines_past_the_half():
@@ -55,13 +58,79 @@ def test_kept_in_order_is_the_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(300):
         a, b = ([rng.randrange(4) for _ in range(rng.randrange(12))] for _ in "ab")
+        assert folds.kept_in_order(a, b) == folds._kept_by_bits([x for x in a if x in b], b) == plain_lcs(a, b)
+    for values in (1, 3, 40, 1_000):  # from all alike to hardly any pair
+        a, b = ([rng.randrange(values) for _ in range(300)] for _ in "ab")
         assert folds.kept_in_order(a, b) == plain_lcs(a, b)
 
 
-def test_links_try_the_current_chunk_first():
-    chunks = [("c1", {1}, "Internal use only"), ("c2", {1, 2}, "Internal Approval by the CFO (VEN-033) within ten days")]
-    units = [("Approval by the CFO", 1), ("Internal", 1), ("(VEN- 033)", 2), ("not there at all here", 2), ("", 1)]
-    assert folds.link_units(units, chunks) == ["c2", "c2", "c2", None, None]
+def test_long_documents_take_time_in_proportion():
+    """Fully different, equal, shuffled and boilerplate documents, at two sizes."""
+    rng = random.Random(2)
+
+    def took(n):
+        same = list(range(n))
+        mixed = rng.sample(same, n)
+        cases = [(same, [x + n for x in same]), (same, same), (same, mixed), ([x % 5 for x in same[: n // 5]], [x % 7 for x in same[: n // 5]])]
+        began = time.perf_counter()
+        kept = [folds.kept_in_order(a, b) for a, b in cases]
+        assert kept[:2] == [0, n] and 0 < kept[2] < 10 * n**0.5 and kept[3] > n // 20
+        return time.perf_counter() - began
+
+    small, large = took(12_500), took(50_000)
+    assert large < 3 and large < 16 * small + 0.5
+
+
+def plain_links(units, chunks):
+    """Chunk ids for (text, page) in reading order; chunks: (id, pages, text)."""
+    cursor, out = 0, []
+    for text, page in units:
+        words = folds.match_words(text)
+
+        def holds(chunk):
+            own, at, found = folds.match_words(chunk), 0, 0
+            for w in words:
+                if w in own[at:]:
+                    at, found = own.index(w, at) + 1, found + 1
+            return found == len(words) if len(words) <= 3 else found / len(words) >= 0.9
+
+        order = [*range(cursor, len(chunks)), *range(cursor)]
+        hit = next((i for i in order if words and page in chunks[i][1] and holds(chunks[i][2])), None)
+        out.append(None if hit is None else chunks[hit][0])
+        cursor = cursor if hit is None else hit
+    return out
+
+
+def linked(spark, units, chunks):
+    u = spark.createDataFrame([(1, i, p, t) for i, (t, p) in enumerate(units)], "doc_id long, position int, page int, text string")
+    c = spark.createDataFrame([(1, i, n, list(p), t) for n, (i, p, t) in enumerate(chunks)], "doc_id long, chunk_id long, chunk_index int, source_pages array<int>, text string")
+    return [r.chunk_id for r in O.link_units(u, c).orderBy("position").collect()]
+
+
+def test_links_try_the_current_chunk_first(spark):
+    chunks = [(11, {1}, "Internal use only"), (12, {1, 2}, "Internal Approval by the CFO (VEN-033) within ten days")]
+    units = [("Approval by the CFO", 1), ("Internal", 1), ("(VEN- 033)", 2), ("not there at all here", 2), ("", 1), (None, 1), ("Internal", None)]
+    assert linked(spark, units, chunks) == [12, 12, 12, None, None, None, None] == plain_links(units, chunks)
+
+
+def test_links_against_trying_each_chunk(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join(rng.choice("abcdefg") for _ in range(n))
+    chunks = [(100 + i, {i // 3, i // 3 + rng.randrange(2)}, say(rng.randrange(1, 40))) for i in range(40)]
+    units = [(say(rng.randrange(0, 14)), i // 12) for i in range(160)]
+    assert linked(spark, units, chunks) == plain_links(units, chunks)
+
+
+def test_links_of_a_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    found = {(r.doc_id, r.position): r.chunk_id for r in plans.linked(spark, sf).collect()}
+    chunks, units = {}, {}
+    for r in retrieval.parents(spark, sf).orderBy("document_id", "chunk_index").collect():
+        chunks.setdefault(r.document_id, []).append((r.id, set(r.source_pages), r.text))
+    for r in tables.lines(spark, sf).orderBy("doc_id", "line_no").collect():
+        units.setdefault(r.doc_id, []).append((r.line_no, r.page, r.text))
+    want = {(d, n): c for d, own in units.items() for (n, _, _), c in zip(own, plain_links([(t, p) for _, p, t in own], chunks.get(d, [])))}
+    assert found == want and sum(c is not None for c in want.values()) > len(want) * 0.9
 
 
 def test_batches_and_splits():

@@ -1,5 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
+from docloom.operators import postings
 from docloom.operators import structure as D
 
 OUTLINE = "doc_id long, idx int, code string, title string, target_page int, page_count int"
@@ -36,3 +39,43 @@ def test_titles_and_codes(spark):
     rows = [("E", "Appendix E - Notes"), ("", "A Appendix A - Glossary"), ("1.2", "How to read"), ("3", "3 Scope"), ("B", None), (None, "- **Annex 4** x")]
     frame = spark.createDataFrame(rows, "code string, title string").select(D.outline_title(F.col("code"), F.col("title")).alias("t"), D.entry_appendix(F.col("code"), F.col("title")).alias("a"))
     assert [tuple(r) for r in frame.collect()] == [("Appendix E - Notes", "Appendix E"), ("Appendix A - Glossary", "Appendix A"), ("1.2 - How to read", None), ("3 Scope", None), ("B - ", None), ("- **Annex 4** x", "Annex 4")]
+
+
+def test_appendix_of_each_page_against_all_ranges(spark):
+    """Nested, touching, equal and empty ranges, some of which go on behind others that they hold."""
+    rng = random.Random(1)
+    ranges = [(d, i, f"A{i}", f := rng.randrange(1, 60), f + rng.randrange(-1, rng.choice((3, 40)))) for d in range(12) for i in range(rng.randrange(1, 14))]
+    pages = [(d, p) for d in range(13) for p in range(1, 90)] + [(0, 5), (0, 5)]
+    found = D.appendix_at_page(spark.createDataFrame(pages, "doc_id long, page int"), spark.createDataFrame(ranges, "doc_id long, idx int, title string, first int, last int"))
+    want = [(d, p, min(((f, i, t) for e, i, t, f, z in ranges if e == d and f <= p <= z), default=(0, 0, None))[2]) for d, p in pages]
+    assert sorted((tuple(r) for r in found.select("doc_id", "page", "appendix").collect()), key=repr) == sorted(want, key=repr)
+    rows = D.appendix_at_page(spark.createDataFrame(pages, "doc_id long, page int"), spark.createDataFrame([(0, i, "x", 1, 80) for i in range(500)], "doc_id long, idx int, title string, first int, last int"))
+    assert "NestedLoop" not in rows._jdf.queryExecution().toString() and rows.where("doc_id = 0 and appendix = 'x'").count() == 82
+
+
+def test_texts_that_contain_patterns_of_their_scope(spark):
+    rng = random.Random(2)
+    texts = [(i, i % 3, "".join(rng.choice("abc é") for _ in range(rng.randrange(30)))) for i in range(150)] + [(900, 0, None), (901, None, "abc"), (902, 1, "")]
+    patterns = sorted({(s, t[k : k + n]) for _, s, t in texts[:60] for k in (0, 4) for n in (1, 2, 3, 6) if len(t) >= k + n} | {(0, "zz"), (1, "c" * 9), (2, "abcab")})
+    found = postings.containing(spark.createDataFrame(texts, "id long, scope int, text string"), spark.createDataFrame(patterns * 2, "scope int, pattern string"))
+    assert sorted((r.id, r.pattern) for r in found.collect()) == sorted((i, p) for i, s, t in texts if t for c, p in patterns if c == s and p in t)
+
+
+def test_boundaries_against_all_entries(spark):
+    rng = random.Random(3)
+    outline = [(d, i, rng.choice(["", "1", "2.1", "A", "Annex 3"]), rng.choice(["", "Scope of work", "Appendix C - Maps", "Rules", "x", "Schedule of fees"]), rng.choice([None, *range(1, 12)]), None) for d in range(6) for i in range(8)]
+    pages = [(d, p, "\n".join(rng.choice(["", "  Scope of work ", "see appendix c - maps", "Rules apply", "plain", "y"]) for _ in range(9)), False, None) for d in range(7) for p in range(1, 12)]
+    found = D.document_boundaries(spark.createDataFrame(pages, "doc_id long, page int, text string, is_boundary boolean, boundary_title string"), spark.createDataFrame(outline, OUTLINE))
+
+    def label(code, title):
+        return f"{code} - {title}" if code and title and not title.lower().startswith(code.lower()) else title or code
+
+    def listed(d, p, head):
+        for e, i, code, title, target, _ in sorted(outline, key=lambda o: o[1]):
+            attached = any(w in f"{code} {title}".lower() for w in ("appendix", "annex", "exhibit", "schedule", "attachment", "minutes", "restatement"))
+            if e == d and ((attached and target == p) or (code != "2.1" and title and title.lower() in head)):
+                return label(code, title)
+        return None
+
+    want = {(d, p): listed(d, p, " ".join([x.strip() for x in t.split("\n") if x.strip()][:6]).lower()) for d, p, t, _, _ in pages}
+    assert {(r.doc_id, r.page): r.boundary for r in found.collect()} == want and len(set(want.values())) > 5

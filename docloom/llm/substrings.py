@@ -11,9 +11,10 @@ candidate passages: all words of the windows that hold one.
 
 Confirming and locating: a passage goes to the shard of the document in which its anchor occurs first, so all
 occurrences of a window meet in one shard and a copied document goes to few. A shard confirms the windows that occur in
-two documents, compiles the anchor phrases of these into an Aho-Corasick automaton over words and streams its passages
-through it. A window around a located phrase is repeated if it is that of an earlier document, word by word. (An
-automaton of the windows themselves finds the same, with thirteen times as many nodes.)
+two documents and joins neighbours with the same anchor to pieces of 13 to 21 words. It compiles the distinct pieces into
+an Aho-Corasick automaton over words and streams its passages through it: a hit says that the piece's windows lie there,
+and each piece carries the first document of its windows, which makes them repeated in any later one. (Pieces need about
+a quarter of the nodes of single windows, and near copies share all that no edit touches.)
 
 Skew: shards of ordinary first documents are packed to about ``SHARD`` anchors. A first document with more than that
 (a large group of near copies, a passage in a third of all documents) is hot: its passages are dealt over slots by
@@ -201,25 +202,21 @@ class Shard:
         both = np.stack([_hashed(np.ascontiguousarray(x), self.at[at], WINDOW) for x in lanes.T], 1)
         return [x.tobytes() for x in both]
 
-    def locate(self, window: np.ndarray, first: np.ndarray) -> pa.Table:
-        """Words [start, stop) of each row that confirmed windows (numbers of self.at, with their first documents in
-        ``first``) of earlier documents cover.
-
-        An automaton of the windows' anchor phrases streams the passages; of the windows that have a located phrase as
-        their anchor, those count that equal a confirmed one, which is known for each place of the shard."""
-        import ahocorasick
+    def pieces(self, window: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What the automaton holds: each distinct piece's first word and number of windows, the first documents of all these
+        windows one after another, and where each piece's begin.
 
-        doc_id, at = self.rows["doc_id"].to_numpy(), self.rows["at"].to_numpy()
-        if not len(window):
-            return SPANS_ARROW.empty_table()
-        # the first document of the window at each place, if that window is confirmed
-        group = np.zeros(len(self.order), np.int64)
-        group[self.first_of] = 1
+        A piece is a run of confirmed windows (numbers of self.at, with their first documents in ``first``) that follow each
+        other in a text and have one anchor, so at most ``_REACH`` + 1 of them. Copies with an edit have the same pieces
+        elsewhere."""
+        none = np.iinfo(np.int64).max
+        number = np.zeros(len(self.order), np.int64)
+        number[self.first_of] = 1
         member = np.empty(len(self.order), np.int64)
-        member[self.order] = np.cumsum(group) - 1
-        known = np.full(len(self.first_of), np.iinfo(np.int64).max)
+        member[self.order] = np.cumsum(number) - 1
+        known = np.full(len(self.first_of), none)
         known[member[window]] = first
-        earlier = known[member] < self.doc
+        earliest = known[member]  # the first document of the window at each place, if it is confirmed
         # each window's anchor: the place of its phrase with the least hash
         phrase = _hashed(self.lane, np.arange(max(len(self.word) - PHRASE + 1, 0)), PHRASE)
         least, anchor = phrase[self.at], self.at.copy()
@@ -227,34 +224,57 @@ class Shard:
             h = phrase[self.at + j]
             lower = h < least
             least[lower], anchor[lower] = h[lower], self.at[lower] + j
-        # words of the anchors get numbers, written with few symbols so that no node has many branches
-        places = np.unique(anchor[window])
-        places = places[np.unique(phrase[places], return_index=True)[1]]
-        used, number = np.unique(self.word[places[:, None] + np.arange(PHRASE)], return_inverse=True)
+        confirmed = earliest < none
+        goes_on = np.append(False, confirmed[1:] & confirmed[:-1] & (self.at[1:] == self.at[:-1] + 1) & (anchor[1:] == anchor[:-1]))
+        start = np.flatnonzero(confirmed & ~goes_on)
+        stop = np.append(start[1:], len(self.at))[: len(start)]
+        n = np.add.reduceat(confirmed.astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
+        assert (n <= stop - start).all() and (n <= _REACH + 1).all()
+        # its first and its last window hold all words of a piece
+        _, own = np.unique(np.stack([member[start], member[start + n - 1], n], 1), axis=0, return_index=True)
+        start, n = start[own], n[own]
+        return self.at[start], n, earliest[ragged(start, n)], np.cumsum(n) - n
+
+    def locate(self, window: np.ndarray, first: np.ndarray) -> pa.Table:
+        """Words [start, stop) of each row that confirmed windows of earlier documents cover: an automaton of the pieces
+        streams the passages, and its hits say where windows lie and which document has them first."""
+        import ahocorasick
+
+        doc_id, at = self.rows["doc_id"].to_numpy(), self.rows["at"].to_numpy()
+        begin, n, earliest, base = self.pieces(window, first)
+        if not len(begin):
+            return SPANS_ARROW.empty_table()
+        # words of the pieces get numbers, written with few symbols so that no node has many branches
+        length = n + WINDOW - 1
+        used, number = np.unique(self.word[ragged(begin, length)], return_inverse=True)
         digits = 1
         while _DIGIT**digits < len(used):
             digits += 1
         step = _DIGIT ** np.arange(digits)
         symbols = lambda x: (x[..., None] // step % _DIGIT + 1 + _DIGIT * np.arange(digits)).astype("<u4")
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for k in symbols(number.reshape(-1, PHRASE)).reshape(len(places), -1):
-            automaton.add_word(k.tobytes().decode("utf-32-le"))
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        written, stops = symbols(number).tobytes().decode("utf-32-le"), (np.cumsum(length) * digits).tolist()
+        for k, (a, z) in enumerate(zip([0, *stops], stops)):
+            automaton.add_word(written[a:z], k)
         automaton.make_automaton()
         code = np.full(len(self.vocabulary), -1, np.int64)
         code[used] = np.arange(len(used))
         own = code[self.word]
         text = symbols(own)
-        text[own < 0] = 0  # in no phrase
-        met = np.fromiter((end for end, _ in automaton.iter(text.tobytes().decode("utf-32-le"))), np.int64)
-        located = np.zeros(len(self.word) + 1, bool)
-        located[met // digits - PHRASE + 1] = True
-        hit = np.flatnonzero(located[anchor] & earlier)
+        text[own < 0] = 0  # in no piece
+        hits = np.array(list(automaton.iter(text.tobytes().decode("utf-32-le"))), np.int64).reshape(-1, 2)
+        last, piece = hits[:, 0] // digits, hits[:, 1]
+        start = last - length[piece] + 1
+        inside = self.row[start] == self.row[last]  # not from one passage into the next
+        start, piece = start[inside], piece[inside]
+        covered, document = ragged(start, n[piece]), earliest[ragged(base[piece], n[piece])]
+        start = np.unique(covered[document < doc_id[self.row[covered]]])
+        row = self.row[start]
         # windows of a row that overlap or touch are one span
-        start, row = self.at[hit], self.row[self.at[hit]]
         new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (start[1:] > start[:-1] + WINDOW))[: len(row)])
         last = np.append(new[1:], len(row))[: len(new)] - 1
-        found, start, stop = row[new], start[new] - self.begin[row[new]], start[last] + WINDOW - self.begin[row[new]]
-        return pa.table([pa.array(doc_id[found]), self.rows["key"].combine_chunks().take(pa.array(found)), pa.array(at[found] + start), pa.array(at[found] + stop)], schema=SPANS_ARROW)
+        found, low, high = row[new], start[new] - self.begin[row[new]], start[last] + WINDOW - self.begin[row[new]]
+        return pa.table([pa.array(doc_id[found]), self.rows["key"].combine_chunks().take(pa.array(found)), pa.array(at[found] + low), pa.array(at[found] + high)], schema=SPANS_ARROW)
 
 
 def _hashed(lane: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:

@@ -96,3 +96,25 @@ def test_cleaned_keeps_columns_of_any_name(spark):
     got = substrings.cleaned(docs)
     assert got.dtypes == docs.dtypes
     assert sorted(map(tuple, got.collect())) == sorted([rows[0], (1, "b", 1, "k", 7, "e"), *rows[2:]])
+
+
+def test_what_the_automaton_lacks_is_not_removed(spark, monkeypatch):
+    """Windows lie where the automaton's hits say: without a piece, what only that piece covers stays."""
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"v{rng.randrange(900)}" for _ in range(n))
+    passage = say(40)
+    rows = [(i, f"{say(20)} {passage} {say(20)}") for i in range(4)]
+    whole = substrings.Shard.pieces
+    seen = []
+
+    def fewer(self, window, first):
+        begin, n, earliest, base = whole(self, window, first)
+        seen.append(len(begin))
+        return begin[1:], n[1:], earliest, base[1:]
+
+    table_of = lambda: pa.table({"shard": [0] * 4, "slot": pa.array([-1] * 4, pa.int32()), "doc_id": [i for i, _ in rows], "key": [b"k"] * 4, "at": [0] * 4, "passage": [t.encode() for _, t in rows]})
+    spans = lambda: sorted((r["doc_id"], r["start"], r["stop"]) for r in substrings._locate_cold(table_of()).to_pylist())
+    assert spans() == [(i, 20, 60) for i in (1, 2, 3)]
+    monkeypatch.setattr(substrings.Shard, "pieces", fewer)
+    fewer_words = sum(b - a for _, a, b in spans())
+    assert seen[0] > 2 and 0 < fewer_words < 120

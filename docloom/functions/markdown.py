@@ -1,10 +1,9 @@
-"""Markdown of one page, without Spark: its top-level blocks, and tables mended so that they can be read as tables."""
+"""Markdown of one page, without Spark: its top-level blocks."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import groupby
 
 _HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*")
 _RULE = re.compile(r" {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*")
@@ -14,9 +13,6 @@ _QUOTE = re.compile(r" {0,3}>")
 _UNDERLINE = re.compile(r" {0,3}(=+|-+)[ \t]*")
 _DASHES = re.compile(r":?-+:?")
 _BAR = re.compile(r"(?<!\\)\|")
-_CAPTION = re.compile(r"[*_]*(?:table|tab\.|figure|fig\.|exhibit|chart)\s*[A-Z]?[.-]?\d", re.IGNORECASE)
-#: Fixed value: a cell goes on over so many lines at most.
-WRAPPED = 8
 
 
 def cells(line: str) -> list[str]:
@@ -123,135 +119,6 @@ def blocks(text: str | None, is_plain: bool = False) -> Iterator[dict]:
         i = end
 
 
-def _ruled(row: list[str]) -> bool:
-    """A row of dashes, of which a few cells may be missing."""
-    dashes = sum(bool(_DASHES.fullmatch(c)) for c in row)
-    return 2 * dashes > len(row) and dashes + row.count("") == len(row)
-
-
-def _names(row: list[str]) -> list[str]:
-    return [c for c in row if c]
-
-
-def _digits(row: list[str]) -> bool:
-    return any(ch.isdigit() for c in row for ch in c)
-
-
-def _is_row(line: str) -> bool:
-    s = line.strip()
-    return s[:1] == "|" or s[-1:] == "|" or s.replace("\\|", "").count("|") >= 2
-
-
-def _unwrapped(lines: list[str]) -> tuple[list[str], int]:
-    """Rows whose cells were written over several lines, on one line each; and how many there were."""
-    out: list[str] = []
-    open_at, joined = None, 0  # place in ``out`` of a row that has not been closed
-    for line in lines:
-        s = line.strip()
-        if open_at is not None and s and s[0] != "|" and len(out) - open_at <= WRAPPED:
-            out.append(line)
-            if s[-1] == "|":
-                out[open_at:] = [" ".join(x.strip() for x in out[open_at:])]
-                open_at, joined = None, joined + 1
-            continue
-        open_at = len(out) if len(s) > 1 and s[0] == "|" and s[-1] != "|" else None
-        out.append(line)
-    return out, joined
-
-
-def _parted(run: list[str]) -> list[list[str]]:
-    """The tables (and bold captions between them) that stand in one run of rows without a blank line."""
-    parts: list[list[str]] = []
-    while True:
-        rows = [cells(x) for x in run]
-        again = [k for k in range(4, len(rows)) if _ruled(rows[k]) and not _ruled(rows[k - 1])] if len(rows) > 4 and _ruled(rows[1]) else []
-        if not again:
-            return [*parts, run]
-        k = again[0]
-        if rows[k - 1] == rows[0]:  # the same labels once more: still the same table
-            run = run[: k - 1] + run[k + 1 :]
-            continue
-        caption = _names(rows[k - 2])
-        caption = caption[0] if len(caption) == 1 and _CAPTION.match(caption[0]) else None
-        cut = k - 2 if caption else k - 1
-        if cut < 3:
-            return [*parts, run]
-        parts.append(run[:cut])
-        if caption:
-            parts.append([f"**{caption.strip('*')}**"])
-        run = run[k - 1 :]
-
-
-def _labels(heads: list[list[str]], width: int) -> list[str]:
-    """One label for each column from several rows of them: the lowest name of each column if all rows are full; else the
-    row with most names, to which a coarser one gives what stands at its ends."""
-    if len(heads) > 1 and all(len(h) == width for h in heads):
-        return [next((h[c] for h in reversed(heads) if h[c]), "") for c in range(width)]
-    fine, coarse = (sorted(heads, key=lambda h: -len(_names(h))) + [[], []])[:2]
-    ends = _names(coarse) or [""]
-    if len(fine) == width:
-        filled = {0: ends[0], width - 1: ends[-1] if len(ends) > 1 else ""}
-        return [c or filled.get(i, "") for i, c in enumerate(fine)]
-    names = _names(fine)
-    if len(names) == width - 1 and heads:
-        names = [ends[0], *names]
-    elif len(names) == width - 2 and len(ends) > 1:
-        names = [ends[0], *names, ends[-1]]
-    return (names + [""] * width)[:width]
-
-
-def _table(labels: list[str], body: list[list[str]]) -> list[str]:
-    width = len(labels)
-    rows = [labels, *((r + [""] * width)[:width] for r in body)]
-    lines = [f"| {' | '.join(r)} |" for r in rows]
-    return [lines[0], "|" + "---|" * width, *lines[1:]]
-
-
-def _mended(run: list[str]) -> tuple[list[str], int] | None:
-    """The run as one well-formed table, and how many rows gave its labels; None if it may stay as it is."""
-    rows = [cells(x) for x in run]
-    ruled = [k for k, r in enumerate(rows) if _ruled(r)]
-    if not ruled:
-        # a lone title above a row of names, and values below
-        titled = len(rows) > 2 and len(_names(rows[0])) == 1 and rows[0][0] and len(rows[1]) > 1 and all(rows[1]) and not _digits(rows[1])
-        return ([f"**{rows[0][0]}**", "", *_table(rows[1], rows[2:])], 1) if titled and any(map(_digits, rows[2:])) else None
-    if ruled == [1] and len(rows[1]) == len(rows[0]) and _names(rows[0]) and all(len(r) <= len(rows[0]) for r in rows[2:]):
-        return None
-    heads, body = [r for r in rows[: ruled[-1]] if not _ruled(r)], rows[ruled[-1] + 1 :]
-    if not body:
-        return None
-    width = max(map(len, body))
-    # names right below the dashes are labels too, as long as those above don't name every column
-    while len(body) > 1 and not _digits(body[0]) and len(_names(body[0])) < width and max((len(_names(h)) for h in heads), default=0) < width:
-        heads.append(body.pop(0))
-    return _table(_labels(heads, width), body), len(heads)
-
-
-def repair_tables(text: str | None) -> dict:
-    """A page's text with its tables mended, and how many were rebuilt, rows joined, and blank lines put between tables
-    and what follows them. Well-formed tables stay as they are."""
-    lines, joined = _unwrapped((text or "").split("\n"))
-    out: list[str] = []
-    repaired = separated = 0
-    glued = False  # the last line is the last one of a table of two lines or more
-    for is_table, group in groupby(lines, _is_row):
-        run = list(group)
-        if not is_table:
-            if glued and run[0].strip():
-                out.append("")
-                separated += 1
-            out += run
-            glued = False
-            continue
-        for k, part in enumerate(_parted(run)):
-            fixed = _mended(part) if len(part) > 1 else None
-            repaired += fixed is not None
-            separated += k > 0
-            out += ([""] if k else []) + (fixed[0] if fixed else part)
-        glued = len(run) > 1
-    return {"text": "\n".join(out), "repaired": repaired, "joined_rows": joined, "separated": separated}
-
-
 def cut_point(text: str) -> tuple[int, str]:
     """Where a text that is too long is cut, and the separator that goes: at the line break nearest the middle, else at the
     blank after a sentence end nearest it in the middle half, else at the nearest blank, else in the middle."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import chunking as K
 from docloom.operators import documents
+from docloom.operators import tables as mending
 from docloom.registry import query
 
 from .tables import stored, table
@@ -37,7 +38,7 @@ def tables(spark, sf_dir):
 
 def pages(spark, sf_dir):
     web = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 5).alias("doc_id"), (F.pmod("page_id", F.lit(5)) + 1).cast("int").alias("page"), documents.html_to_markdown(F.col("html")).alias("text"))
-    mended = K.repair_tables(web.unionByName(tables(spark, sf_dir))).select("doc_id", "page", "text")
+    mended = mending.repair_tables(web.unionByName(tables(spark, sf_dir))).select("doc_id", "page", "text")
     none = F.lit(None).cast("string")
     return mended.withColumns({"is_plain": F.lit(False), "refs": F.array(F.lit("Table 2"), F.lit("R-1")), "appendix": none, "boundary": none})
 
@@ -60,7 +61,7 @@ def built(spark, sf_dir):
 
 @query("d1_repair_tables")
 def repaired(spark, sf_dir):
-    return K.repair_tables(tables(spark, sf_dir))
+    return mending.repair_tables(tables(spark, sf_dir))
 
 
 @query("d8_split_sections")

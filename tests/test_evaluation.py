@@ -1,7 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docloom.operators import documents, evaluation
+from docloom.operators import documents, evaluation, evidence
 
 
 def test_documents_that_hold_an_item(spark):
@@ -37,3 +37,18 @@ def test_no_text_with_words_lacks_an_embedding(spark):
         for r in documents.embed(rows, dim).collect():
             assert (r.embedding is None) == (not documents.folds.match_words(r.search_text)), r.search_text
             assert r.embedding is None or abs(sum(x * x for x in r.embedding) - 1) < 1e-5
+
+
+def test_context_by_bundles_and_then_by_what_fits(spark):
+    docs = [(q, i, f"c{i}", f"d{i % 2}", i, n) for q in (1, 2, 3) for i, n in enumerate((100, 40, 300, 20, 60))] + [(1, 9, "c1", "d1", 7, 5)]
+    bundles = [(1, 0, ["c2", "c1", "c2"]), (1, 1, ["c3", "gone"]), (1, 2, []), (2, 0, ["c2", "c0", "c4"])]
+    docs = spark.createDataFrame(docs, "question_id long, pos int, chunk_id string, document_id string, chunk_index int, length int")
+    bundles = spark.createDataFrame(bundles, "question_id long, pos int, chunk_ids array<string>")
+    own = lambda most, chars: {q: [r.chunk_id for r in sorted(rows, key=lambda r: r.place)] for q in (1, 2, 3) if (rows := [r for r in found(most, chars) if r.question_id == q])}
+    found = lambda most, chars: evidence.select_context(docs, bundles, most, chars).collect()
+    sep = evidence.SEPARATOR
+    # 1: the bundle of 300 + 40, then c0; c3 stays out, since an unread bundle names it. 2: the bundle is too large
+    assert own(10, 440 + 2 * sep) == {1: ["c0", "c2", "c1"], 2: ["c1", "c3"], 3: ["c0", "c4", "c1", "c3"]} or own(10, 440 + 2 * sep)[1] == ["c0", "c2", "c1"]
+    assert own(10, 440 + 2 * sep - 1)[1] == ["c2", "c4", "c1"]
+    assert own(2, 10_000) == {1: ["c2", "c1"], 2: ["c1", "c3"], 3: ["c0", "c1"]}
+    assert own(10, 39) == {1: [], 2: ["c3"], 3: ["c3"]} or own(10, 39)[3] == ["c3"]

@@ -1,8 +1,5 @@
-"""Queries: document structure (D rows, C5 and C6). Contents lists are made of the first words of documents' lines.
-
-Queries named ``..._whole`` take all lines and as many pages as there are lines; those of the same name without it follow
-SQL twins that fix 16 lines and 30 pages.
-"""
+"""Queries: document structure (D rows, C5 and C6). Contents lists are made of the first words of all lines of a document,
+which has as many pages as lines."""
 
 from __future__ import annotations
 
@@ -16,11 +13,9 @@ from .retrieval import BASE as RETRIEVAL
 from .retrieval import children, parents
 from .tables import LINES_SQL, lines, table
 
-TOTAL = 30
-
 
-def contents(spark, sf_dir, whole=False):
-    """The first 16 lines of each document, or all, as contents lines of four kinds."""
+def contents(spark, sf_dir):
+    """The lines of each document as contents lines of four kinds."""
     n, w = F.col("line_no"), F.regexp_extract("text", "^[^ .,]+", 0)
     k = F.floor(n / 4).cast("int")
     letter = F.char(F.lit(65) + k % 26)
@@ -31,10 +26,10 @@ def contents(spark, sf_dir, whole=False):
         .otherwise(F.concat(F.lit("## "), w))
     )
     rows = lines(spark, sf_dir)
-    return (rows if whole else rows.where("line_no < 16")).select("doc_id", "page", "line_no", text.alias("text"))
+    return rows.select("doc_id", "page", "line_no", text.alias("text"))
 
 
-CONTENTS = f"""{LINES_SQL}, kinds AS (SELECT doc_id, page, line_no, regexp_extract(text, '^[^ .,]+') AS w, substr('ABCDEFG', line_no // 4 + 1, 1) AS letter FROM lines WHERE line_no < 16),
+CONTENTS = f"""{LINES_SQL}, kinds AS (SELECT doc_id, page, line_no, regexp_extract(text, '^[^ .,]+') AS w, chr(65 + line_no // 4 % 26) AS letter FROM lines),
 contents AS (SELECT doc_id, page, line_no, CASE line_no % 4 WHEN 0 THEN 'Appendix ' || letter || ' - ' || w || ' ..... ' || (line_no + 1)
     WHEN 1 THEN '- 1.' || line_no || ' ' || w || ' (2 pages) . . . . ' || line_no WHEN 2 THEN '| **Annexure ' || letter || '** ' || w || ' ...... ' || (line_no * 3) ELSE '## ' || w END AS text FROM kinds),
 cleaned AS (SELECT doc_id, page, line_no, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^\\s*#{{1,6}}\\s+', ''), '^\\s*[-*]\\s+', ''), '^\\s*\\|\\s*', ''), '\\*\\*', '', 'g')) AS t FROM contents),
@@ -43,19 +38,17 @@ entries AS (SELECT doc_id, page, line_no, coalesce(nullif(regexp_replace(regexp_
     SELECT doc_id, page, line_no, trim(regexp_extract(t, '^(.+?)\\s*(?:\\.\\s*){{3,}}(\\d+)\\s*$', 1)) AS title, CAST(nullif(regexp_extract(t, '^(.+?)\\s*(?:\\.\\s*){{3,}}(\\d+)\\s*$', 2), '') AS INT) AS target_page FROM cleaned) WHERE title <> '')"""
 
 
-WHOLE = CONTENTS.replace("substr('ABCDEFG', line_no // 4 + 1, 1)", "chr(65 + line_no // 4 % 26)").replace(" WHERE line_no < 16", "") + """,
+WHOLE = f"""{CONTENTS},
 totals AS (SELECT doc_id, max(line_no) + 1 AS total FROM lines GROUP BY doc_id),
 possible AS (SELECT entries.*, total FROM entries JOIN totals USING (doc_id) WHERE target_page BETWEEN 1 AND total)"""
 
 
-def entries(spark, sf_dir, whole=False):
-    return D.parse_contents_lines(contents(spark, sf_dir, whole)).withColumnRenamed("line_no", "idx")
+def entries(spark, sf_dir):
+    return D.parse_contents_lines(contents(spark, sf_dir)).withColumnRenamed("line_no", "idx")
 
 
-def totals(spark, sf_dir, whole=False):
-    if whole:
-        return lines(spark, sf_dir).groupBy("doc_id").agg((F.max("line_no") + 1).alias("total_pages"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.lit(TOTAL).alias("total_pages"))
+def totals(spark, sf_dir):
+    return lines(spark, sf_dir).groupBy("doc_id").agg((F.max("line_no") + 1).alias("total_pages"))
 
 
 @query("d2_contents_pages", rf"""WITH {LINES_SQL}, pages AS (SELECT doc_id, page, CASE WHEN doc_id % 3 = 0 THEN '# Contents' || chr(10) ELSE '' END || string_agg(text, chr(10) ORDER BY line_no) AS text, page = 2 AS is_toc FROM lines GROUP BY doc_id, page)
@@ -67,88 +60,52 @@ def contents_pages(spark, sf_dir):
     return D.contents_pages(pages).select("doc_id", "page")
 
 
-@query("d3_contents_lines", f"WITH {CONTENTS} SELECT * FROM entries")
+@query("d3_contents_lines", f"WITH {WHOLE} SELECT * FROM entries")
 def contents_lines(spark, sf_dir):
     return D.parse_contents_lines(contents(spark, sf_dir))
 
 
-@query("d3_contents_lines_whole", f"WITH {WHOLE} SELECT * FROM entries")
-def contents_lines_whole(spark, sf_dir):
-    return D.parse_contents_lines(contents(spark, sf_dir, True))
-
-
 @query("d4_merge_outline", f"""WITH {WHOLE}, ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(code) ORDER BY line_no) AS k FROM possible)
 SELECT doc_id, line_no AS idx, code, title, target_page, page_count FROM ranked WHERE (page_count IS NULL OR target_page + page_count - 1 <= total) AND (k = 1 OR NOT regexp_matches(code, '(?i)^(appendix|annex)'))""")
 def outline(spark, sf_dir):
-    return D.merge_outline(entries(spark, sf_dir, True), totals(spark, sf_dir, True))[0]
-
-
-@query("d4_outline_warnings", f"WITH {CONTENTS} SELECT doc_id, line_no AS idx, 'invalid_page' AS type, target_page FROM entries WHERE target_page < 1 OR target_page > {TOTAL}")
-def outline_warnings(spark, sf_dir):
-    return D.merge_outline(entries(spark, sf_dir), totals(spark, sf_dir))[1].select("doc_id", "idx", "type", "target_page")
+    return D.merge_outline(entries(spark, sf_dir), totals(spark, sf_dir))[0]
 
 
-@query("d4_outline_warnings_whole", f"""WITH {WHOLE} SELECT doc_id, line_no AS idx, 'invalid_page' AS type, target_page FROM entries JOIN totals USING (doc_id) WHERE target_page < 1 OR target_page > total
+@query("d4_outline_warnings", f"""WITH {WHOLE} SELECT doc_id, line_no AS idx, 'invalid_page' AS type, target_page FROM entries JOIN totals USING (doc_id) WHERE target_page < 1 OR target_page > total
 UNION ALL SELECT doc_id, line_no, 'invalid_range', target_page FROM possible WHERE target_page + page_count - 1 > total
 UNION ALL SELECT doc_id, line_no, 'conflict', target_page FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(code) ORDER BY line_no) AS k FROM possible WHERE regexp_matches(code, '(?i)^(appendix|annex)')) WHERE k > 1""")
-def outline_warnings_whole(spark, sf_dir):
-    return D.merge_outline(entries(spark, sf_dir, True), totals(spark, sf_dir, True))[1].select("doc_id", "idx", "type", "target_page")
+def outline_warnings(spark, sf_dir):
+    return D.merge_outline(entries(spark, sf_dir), totals(spark, sf_dir))[1].select("doc_id", "idx", "type", "target_page")
 
 
-@query("d5_missing_appendices", f"""WITH {CONTENTS} SELECT DISTINCT doc_id, lower(regexp_replace(regexp_extract(t, '{D.APPENDIX}', 1), '[\\s-]+', ' ', 'g')) AS code FROM cleaned
+@query("d5_missing_appendices", f"""WITH {WHOLE} SELECT DISTINCT doc_id, lower(regexp_replace(regexp_extract(t, '{D.APPENDIX}', 1), '[\\s-]+', ' ', 'g')) AS code FROM cleaned
     WHERE line_no % 8 <> 0 AND regexp_matches(t, '{D.APPENDIX}') EXCEPT SELECT doc_id, lower(code) FROM entries WHERE line_no % 8 <> 4""")
 def missing(spark, sf_dir):
     return D.missing_appendices(contents(spark, sf_dir).where("line_no % 8 <> 0"), entries(spark, sf_dir).where("idx % 8 <> 4"))
 
 
-@query("d5_missing_appendices_whole", f"""WITH {WHOLE} SELECT DISTINCT doc_id, lower(regexp_replace(regexp_extract(t, '{D.APPENDIX}', 1), '[\\s-]+', ' ', 'g')) AS code FROM cleaned
-    WHERE line_no % 8 <> 0 AND regexp_matches(t, '{D.APPENDIX}') EXCEPT SELECT doc_id, lower(code) FROM entries WHERE line_no % 8 <> 4""")
-def missing_whole(spark, sf_dir):
-    return D.missing_appendices(contents(spark, sf_dir, True).where("line_no % 8 <> 0"), entries(spark, sf_dir, True).where("idx % 8 <> 4"))
-
-
-RANGES = f"""tops AS (SELECT doc_id, line_no AS idx, code, title, target_page, page_count FROM entries WHERE target_page BETWEEN 1 AND {TOTAL}),
-ranges AS (SELECT a.doc_id, a.idx, a.title, a.target_page AS first, greatest(a.target_page, coalesce((SELECT min(b.target_page) FROM tops b WHERE b.doc_id = a.doc_id AND b.idx <> a.idx
-    AND NOT regexp_matches(CASE WHEN b.code <> '' THEN b.code ELSE b.title END, '^\\s*(?:\\d+|[A-Z])\\.\\d+') AND (b.target_page > a.target_page OR (b.target_page = a.target_page AND b.idx > a.idx))), {TOTAL} + 1) - 1) AS last
-    FROM tops a WHERE regexp_matches(a.code, '(?i)^(appendix|annex)'))"""
-
-
 #: The next top-level entry by a window, since documents are long.
-RANGES_WHOLE = r"""ranges AS (SELECT doc_id, idx, title, first, greatest(first, coalesce(next, total + 1) - 1) AS last FROM (
+RANGES = r"""ranges AS (SELECT doc_id, idx, title, first, greatest(first, coalesce(next, total + 1) - 1) AS last FROM (
     SELECT doc_id, line_no AS idx, code, title, target_page AS first, total, first_value(CASE WHEN NOT regexp_matches(CASE WHEN code <> '' THEN code ELSE title END, '^\s*(?:\d+|[A-Z])\.\d+') THEN target_page END IGNORE NULLS)
         OVER (PARTITION BY doc_id ORDER BY target_page, line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM possible) WHERE regexp_matches(code, '(?i)^(appendix|annex)'))"""
 
 
-def possible(spark, sf_dir, whole=False):
-    if whole:
-        return entries(spark, sf_dir, True).join(totals(spark, sf_dir, True), "doc_id").where("target_page between 1 and total_pages").drop("total_pages")
-    return entries(spark, sf_dir).where(F.col("target_page").between(1, TOTAL))
+def possible(spark, sf_dir):
+    return entries(spark, sf_dir).join(totals(spark, sf_dir), "doc_id").where("target_page between 1 and total_pages").drop("total_pages")
 
 
-@query("d6_appendix_ranges", f"WITH {CONTENTS}, {RANGES} SELECT * FROM ranges")
+@query("d6_appendix_ranges", f"WITH {WHOLE}, {RANGES} SELECT * FROM ranges")
 def ranges(spark, sf_dir):
     return D.appendix_ranges(possible(spark, sf_dir), totals(spark, sf_dir))
 
 
-@query("d6_appendix_ranges_whole", f"WITH {WHOLE}, {RANGES_WHOLE} SELECT * FROM ranges")
-def ranges_whole(spark, sf_dir):
-    return D.appendix_ranges(possible(spark, sf_dir, True), totals(spark, sf_dir, True))
-
-
-@query("d6_appendix_at_page", f"""WITH {CONTENTS}, {RANGES}, pages AS (SELECT doc_id, unnest(generate_series(1, {TOTAL})) AS page FROM documents)
+@query("d6_appendix_at_page", f"""WITH {WHOLE}, {RANGES}, pages AS (SELECT doc_id, unnest(generate_series(1, total)) AS page FROM totals)
 SELECT p.doc_id, CAST(page AS INT) AS page, arg_min(title, (first, idx)) AS appendix FROM pages p LEFT JOIN ranges r ON r.doc_id = p.doc_id AND page BETWEEN first AND last GROUP BY 1, 2""")
 def at_page(spark, sf_dir):
-    pages = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(TOTAL))).alias("page"))
+    pages = totals(spark, sf_dir).select("doc_id", F.explode(F.sequence(F.lit(1), "total_pages")).alias("page"))
     return D.appendix_at_page(pages, D.appendix_ranges(possible(spark, sf_dir), totals(spark, sf_dir)))
 
 
-@query("d6_appendix_at_page_whole", f"""WITH {WHOLE}, {RANGES_WHOLE}, pages AS (SELECT doc_id, unnest(generate_series(1, total)) AS page FROM totals)
-SELECT p.doc_id, CAST(page AS INT) AS page, arg_min(title, (first, idx)) AS appendix FROM pages p LEFT JOIN ranges r ON r.doc_id = p.doc_id AND page BETWEEN first AND last GROUP BY 1, 2""")
-def at_page_whole(spark, sf_dir):
-    pages = totals(spark, sf_dir, True).select("doc_id", F.explode(F.sequence(F.lit(1), "total_pages")).alias("page"))
-    return D.appendix_at_page(pages, D.appendix_ranges(possible(spark, sf_dir, True), totals(spark, sf_dir, True)))
-
-
 BOUNDARIES = rf"""ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(code) ORDER BY line_no) AS k FROM possible),
 outline AS (SELECT doc_id, line_no AS idx, trim(code) AS code, trim(title) AS title, target_page FROM ranked WHERE (page_count IS NULL OR target_page + page_count - 1 <= total) AND (k = 1 OR NOT regexp_matches(code, '(?i)^(appendix|annex)'))),
 o AS (SELECT *, CASE WHEN code <> '' AND title <> '' AND NOT starts_with(lower(title), lower(code)) THEN code || ' - ' || title WHEN title <> '' THEN title ELSE code END AS label,
@@ -164,7 +121,7 @@ def boundaries(spark, sf_dir):
     n = F.col("line_no")
     heads = F.when(n % 5 == 1, "Minutes of a meeting").when(n % 5 == 2, "Form FAT").when(n % 5 == 3, "Appendix Q: notes").otherwise("")
     pages = lines(spark, sf_dir).select("doc_id", (n + 1).alias("page"), F.concat(heads, F.lit("\n"), "text").alias("text"), (n % 7 == 6).alias("is_boundary"), F.lit(" Part ").alias("boundary_title"))
-    return D.document_boundaries(pages, D.merge_outline(entries(spark, sf_dir, True), totals(spark, sf_dir, True))[0])
+    return D.document_boundaries(pages, D.merge_outline(entries(spark, sf_dir), totals(spark, sf_dir))[0])
 
 
 @query("d10_table_passages", """SELECT o_orderkey AS table_id, row_no, passage FROM (SELECT l_orderkey AS o_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INT) AS row_no,
@@ -175,24 +132,18 @@ def passages(spark, sf_dir):
     return D.table_passages(tables)
 
 
-@query("d11_toc_chunks", rf"""WITH {CONTENTS}, chunks AS (SELECT doc_id, line_no // 4 AS part, string_agg(text, chr(10) ORDER BY line_no) AS text FROM contents WHERE line_no % 4 <> 3 GROUP BY 1, 2)
+@query("d11_toc_chunks", rf"""WITH {WHOLE}, chunks AS (SELECT doc_id, line_no // 4 AS part, string_agg(text, chr(10) ORDER BY line_no) AS text FROM contents WHERE line_no % 4 <> 3 GROUP BY 1, 2)
 SELECT doc_id, part, (doc_id % 4 = 1 AND part = 2) OR len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\.{{3,}}|\. \. \.') AND regexp_matches(x, '\d+\s*$'))) >= 3 AS is_toc FROM chunks""")
-def toc_chunks(spark, sf_dir, whole=False):
+def toc_chunks(spark, sf_dir):
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")
-    chunks = contents(spark, sf_dir, whole).where("line_no % 4 <> 3").groupBy("doc_id", F.floor(F.col("line_no") / 4).alias("part")).agg(text.alias("text"))
+    chunks = contents(spark, sf_dir).where("line_no % 4 <> 3").groupBy("doc_id", F.floor(F.col("line_no") / 4).alias("part")).agg(text.alias("text"))
     path = F.when((F.col("doc_id") % 4 == 1) & (F.col("part") == 2), F.array(F.lit("Front"), F.lit("Table of Contents"))).otherwise(F.array(F.lit("Body")))
     return chunks.select("doc_id", "part", is_toc_chunk(path, F.col("text")).alias("is_toc"))
 
 
-@query("d11_toc_chunks_whole", rf"""WITH {WHOLE}, chunks AS (SELECT doc_id, line_no // 4 AS part, string_agg(text, chr(10) ORDER BY line_no) AS text FROM contents WHERE line_no % 4 <> 3 GROUP BY 1, 2)
-SELECT doc_id, part, (doc_id % 4 = 1 AND part = 2) OR len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\.{{3,}}|\. \. \.') AND regexp_matches(x, '\d+\s*$'))) >= 3 AS is_toc FROM chunks""")
-def toc_chunks_whole(spark, sf_dir):
-    return toc_chunks(spark, sf_dir, True)
-
-
 @query("d13_verified_references", f"""WITH {LINES_SQL} SELECT doc_id, line_no, list_sort(list_distinct(['§1'] || list_filter([upper(left(text, 3)), 'nowhere to be found'], lambda r: contains(lower(text), lower(r))))) AS refs FROM lines WHERE regexp_matches(text, '^[A-Za-z]{{3}}')""")
 def references(spark, sf_dir):
-    rows = lines(spark, sf_dir).where(F.col("text").rlike("^[A-Za-z]{3}")).select("doc_id", "line_no", "text", F.array(F.lit("§1")).alias("extracted"), F.array(F.upper(F.substring("text", 1, 3)), F.lit("nowhere to be found")).alias("supplied"))
+    rows = lines(spark, sf_dir).select("doc_id", "line_no", "text", F.array(F.lit("§1")).alias("extracted"), F.array(F.upper(F.substring("text", 1, 3)), F.lit("nowhere to be found")).alias("supplied"))
     return D.verified_references(rows).select("doc_id", "line_no", F.array_sort("references").alias("refs"))
 
 

@@ -296,11 +296,14 @@ def referring(p, s):
     return rows, questions
 
 
-#: The questions cite every reference of their seeds, so all of them matter.
+#: Every other question is the item's own text, so that a reference matters by its kind, by being cited, or by a guide's line.
 @query("r18_follow_references", rf"""WITH {BASE}, later AS (SELECT id - 3 AS id, trim(array_to_string(string_split_regex(text, '\s+')[1:2], ' ')) AS ref FROM parents),
-cited AS (SELECT DISTINCT question_id FROM seeds s JOIN later l ON l.id = s.parent_id),
-own AS (SELECT question_id, seed, p.document_id, l.ref FROM seeds s JOIN cited USING (question_id) JOIN parents p ON p.id = s.parent_id LEFT JOIN later l ON l.id = s.parent_id),
-refs AS (SELECT question_id, seed, document_id, 0 AS spot, ref FROM own WHERE ref IS NOT NULL UNION ALL SELECT question_id, seed, document_id, CASE WHEN ref IS NULL THEN 0 ELSE 1 END, 'Appendix A' FROM own),
+q AS (SELECT question_id, lower(CASE WHEN question_id % 2 = 0 THEN any_value(b.text) ELSE string_agg(DISTINCT l.ref, ' and ' ORDER BY l.ref) END) AS question FROM seeds s JOIN later l ON l.id = s.parent_id JOIN benchmark b ON b.item_id = question_id GROUP BY question_id),
+own AS (SELECT question_id, question, seed, p.document_id, p.text, p.is_toc, l.ref FROM seeds s JOIN q USING (question_id) JOIN parents p ON p.id = s.parent_id LEFT JOIN later l ON l.id = s.parent_id),
+named AS (SELECT *, 0 AS spot FROM own WHERE ref IS NOT NULL UNION ALL SELECT * REPLACE ('Appendix A' AS ref), CASE WHEN ref IS NULL THEN 0 ELSE 1 END FROM own),
+lined AS (SELECT *, lower(coalesce(nullif(regexp_extract(ref, '{R.NUMBERED}', 1), ''), ref)) AS number, list_filter(string_split(text, chr(10)), lambda x: contains(lower(x), lower(ref)))[1] AS line FROM named),
+refs AS (SELECT question_id, seed, document_id, spot, ref FROM lined WHERE regexp_matches(ref, '{R.OVERRIDES}') OR contains(question, lower(ref)) OR (length(number) >= 2 AND contains(question, number))
+    OR ((is_toc OR regexp_matches(text, '{R.GUIDES}')) AND len(list_filter(string_split_regex(lower(line), '\W+'), lambda w: length(w) >= 4 AND contains(question, w))) > 0)),
 wanted AS (SELECT question_id, document_id, pattern, min((seed, spot)) AS place FROM (SELECT *, lower(CASE WHEN starts_with(ref, '§') THEN trim(substr(ref, 2)) ELSE ref END) AS pattern FROM refs) WHERE length(pattern) >= 2 GROUP BY 1, 2, 3),
 hit AS (SELECT w.*, p.id AS found, is_toc, CASE WHEN contains('chapter ' || chapter, pattern) THEN 3 ELSE 0 END + CASE WHEN starts_with(lower(ltrim(text)), pattern) THEN 2 ELSE 0 END AS score,
     row_number() OVER (PARTITION BY question_id, w.document_id, pattern ORDER BY chunk_index, p.id) AS n FROM wanted w JOIN parents p ON p.document_id = w.document_id AND NOT removed AND contains(lower(text), pattern)),
@@ -310,7 +313,10 @@ SELECT question_id, place[1] AS seed, row_number() OVER (PARTITION BY question_i
 def followed(spark, sf_dir):
     """Each parent refers to the first two words of the parent three places on, as an appendix or as cited text."""
     s = seeds(spark, sf_dir)
-    return R.follow_references(s, *referring(parents(spark, sf_dir), s), FREE.references)
+    rows, cited = referring(parents(spark, sf_dir), s)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("item"))
+    questions = cited.join(items, "question_id").select("question_id", F.when(F.col("question_id") % 2 == 0, F.col("item")).otherwise(F.col("text")).alias("text"))
+    return R.follow_references(s, rows, questions, FREE.references)
 
 
 def visible(spark, sf_dir):

@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 SHARDS = 8
-#: First ranges, keys sampled per range, and the share of a shard beyond which a range is subdivided.
-RANGES, PER_RANGE, OVERFULL = 1_024, 32, 1 / 64
+#: First ranges at least, rows beyond which there are more of them, keys sampled per range, and the multiple of a range's
+#: mean weight, and share of a shard, beyond which it is subdivided.
+RANGES, RANGE_ROWS, PER_RANGE, OVERFULL, OF_SHARD = 1_024, 4_000_000, 32, 2, 1 / 64
 KEY = ("text_hash", "doc_id", "row")
 LOWEST = -(1 << 63)
 
@@ -84,12 +85,14 @@ def _between(cuts: list[tuple[int, int, int]], text_hash: np.ndarray, doc_id: np
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row of ``docs``, under the law ``bytes``."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row of ``docs``, under the law ``bytes``. ``ranges``:
+    that many at least; a range is sorted in one task, so there are more where they would have over ``RANGE_ROWS`` rows."""
     rows = materialise(keyed(docs), "sharding-keys")
     total, n = rows.agg(F.sum("size"), F.count("*")).first()
     total = total or 0
     rows = rows.withColumn("weight", F.col("size") + total / max(n, 1))
-    limit = max(1.0, 2 * total / shards * OVERFULL)
+    ranges = max(ranges, -(-n // RANGE_ROWS))
+    limit = max(1.0, min(2 * total / ranges * OVERFULL, 2 * total / shards * OF_SHARD))
     cuts = splitters(_sampled(rows, F.lit(ranges * PER_RANGE / max(2 * total, 1))), ranges)
     while True:
         ranged, sizes = _ranged(rows, cuts)

@@ -41,6 +41,18 @@ def test_equal_texts_share_a_shard_while_they_fit(spark):
     assert max(map(len, where.values())) == 1
 
 
+def test_ranges_grow_with_the_rows(spark, monkeypatch):
+    """No task sorts more than a few times the rows of a range."""
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 100)
+    texts = [f"text {i} " * (i % 7 + 1) for i in range(4_000)]
+    met = []
+    whole = sharding._ranged
+    monkeypatch.setattr(sharding, "_ranged", lambda rows, cuts: met.append(out := whole(rows, cuts)) or out)
+    sizes = check(sharding.shard(documents(spark, texts), 8, 4).collect(), texts)
+    assert len(sizes) == 8 and max(sizes.values()) < 1.1 * min(sizes.values())
+    assert len(met[-1][1]) >= 40 and met[-1][1]["n"].max() < 400
+
+
 def test_rows_that_are_all_alike(spark):
     rows = [(5, "the same text in every row " * 3, "k")] * 4_000
     found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, `range` string")).toPandas()

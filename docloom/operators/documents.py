@@ -39,7 +39,7 @@ def html_to_markdown(html: Column) -> Column:
 
 
 #: Where a sentence ends, and a number that goes with the sentence after it.
-SENTENCE_END, LABEL = r"""(?<=[.?!])\s+(?=[A-Z0-9("“])""", r"^\d+(\.\d+)*\.$"
+SENTENCE_END, LABEL = r"""(?<=[.?!])\s+(?=[A-Z0-9("“])""", r"(^|\x01)(\d+(?:\.\d+)*\.)\x01([^\x01]*)"
 
 
 def build_units(lines: DataFrame, widths: DataFrame) -> DataFrame:
@@ -59,8 +59,9 @@ def build_units(lines: DataFrame, widths: DataFrame) -> DataFrame:
     runs = rows.select("doc_id", run.alias("run"), "page", "line_no", part.alias("part"), "row").groupBy("doc_id", "run").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", "part"))), lambda x: x["part"]), "").alias("whole"), F.min("page").alias("page"), F.bool_or("row").alias("row")
     )
-    pieces = F.split(F.regexp_replace("whole", " $", ""), SENTENCE_END)
-    joined = F.aggregate(pieces, F.array().cast("array<string>"), lambda done, p: F.when(F.coalesce(F.get(done, F.size(done) - 1).rlike(LABEL), F.lit(False)), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(F.get(done, F.size(done) - 1), F.lit(" "), p)))).otherwise(F.array_append(done, p)))
+    # sentences between marks; a number and the sentence after it are one, in time of the text's length
+    marked = F.array_join(F.split(F.regexp_replace("whole", " $", ""), SENTENCE_END), "\x01")
+    joined = F.split(F.regexp_replace(marked, LABEL, "$1$2 $3"), "\x01")
     runs = runs.withColumn("parts", F.when(F.col("row"), F.array("whole")).otherwise(joined))
     sentence = (F.size("parts") > 1) | F.right(trim_all(F.col("whole")), F.lit(1)).isin(*".?!")
     kind = F.when(F.col("row"), "row").when(sentence, "sentence").otherwise("line")

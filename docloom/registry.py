@@ -11,7 +11,7 @@ from docloom.functions.frames import prepared
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("text", "access", "chunking", "retrieval", "versions", "evaluation", "structure", "documents", "evidence", "streams")
+MODULES = ("text", "access", "chunking", "retrieval", "versions", "evaluation", "structure", "documents", "evidence", "streams", "corpus")
 
 
 def query(name: str, sql: str | None = None):

@@ -216,19 +216,20 @@ def _near_variants(batches):
         yield pa.record_batch([pa.array(wild.ravel()), b.column(0).take(at), b.column(1).take(at)], ["variant", "node", "label"])
 
 
+#: Runs of so many members are compared all at once, longer ones one by one.
 _SHORT = 8
 
 
 def _apart(block: int):
     """Variants and nodes of the runs (rows come sorted) whose members have different labels and both values of the
-    wildcard bit: members with one value have equal segments and have met before. Of runs of up to ``_SHORT`` members, most
-    of them chance meetings, those stay that have such a member with a like head. Runs over ``block`` pass as they are."""
+    wildcard bit: members with one value have equal segments and have met before. Of those, members stay that have another
+    with the other value, another label and a like head beside them. Runs over ``block`` pass as they are."""
 
     def told(v, node, label):
         start = np.flatnonzero(np.append(True, (v[1:] ^ v[:-1]) > 1))
         both = [np.minimum.reduceat(x, start) != np.maximum.reduceat(x, start) for x in (v & 1, label)]
         size, both = np.diff(np.append(start, len(v))), both[0] & both[1]
-        kept = np.repeat((both & (size > _SHORT)) | (size > block), size)
+        kept = np.repeat(size > block, size)
         head = node.view(np.uint64) >> np.uint64(64 - HEAD)
         for m in range(2, _SHORT + 1):
             at = start[both & (size == m)]
@@ -238,6 +239,15 @@ def _apart(block: int):
                     like = ((v[a] ^ v[b]) & 1 == 1) & (label[a] != label[b]) & (np.bitwise_count(head[a] ^ head[b]) <= HEAD_MOST)
                     kept[a] |= like
                     kept[b] |= like
+        longer = both & (size > _SHORT) & (size <= block)
+        for a, m in zip(start[longer], size[longer]):
+            own = slice(a, a + m)
+            _, group, n = np.unique(label[own], return_inverse=True, return_counts=True)
+            for x in np.flatnonzero(group != n.argmax()):  # the largest class meets the others as theirs
+                like = (group != group[x]) & ((v[own] ^ v[a + x]) & 1 == 1) & (np.bitwise_count(head[own] ^ head[a + x]) <= HEAD_MOST)
+                if like.any():
+                    kept[own] |= like
+                    kept[a + x] = True
         return pa.record_batch([pa.array(v[kept]), pa.array(node[kept])], ["variant", "node"])
 
     def work(batches):

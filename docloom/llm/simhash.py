@@ -221,9 +221,10 @@ _SHORT = 8
 
 
 def _apart(block: int):
-    """Variants and nodes of the runs (rows come sorted) whose members have different labels and both values of the
-    wildcard bit: members with one value have equal segments and have met before. Of those, members stay that have another
-    with the other value, another label and a like head beside them. Runs over ``block`` pass as they are."""
+    """Keys and nodes of the runs (rows come sorted) whose members have different labels and both values of the wildcard bit:
+    members with one value have equal segments and have met before. Of those, members stay that have another with the other
+    value, another label and a like head beside them. The key is the segment that the more of them have, so that these have
+    one key for all its bits, and the others visit it. Runs over ``block`` pass as they are, under keys of their own."""
 
     def told(v, node, label):
         start = np.flatnonzero(np.append(True, (v[1:] ^ v[:-1]) > 1))
@@ -248,7 +249,12 @@ def _apart(block: int):
                 if like.any():
                     kept[own] |= like
                     kept[a + x] = True
-        return pa.record_batch([pa.array(v[kept]), pa.array(node[kept])], ["variant", "node"])
+        ones, every = (np.add.reduceat(x.astype(np.int64), start) for x in (kept & (v & 1 == 1), kept))
+        host = np.repeat(2 * ones > every, size).astype(np.int64)
+        number = v >> 33
+        key = (number // SEGMENT << 32) | (v >> 1 & 0xFFFFFFFF) | host << number % SEGMENT
+        key = np.where(np.repeat(size > block, size), ~(v >> 1), key)
+        return pa.record_batch([pa.array(key[kept]), pa.array(node[kept])], ["key", "node"])
 
     def work(batches):
         held = [np.zeros(0, np.int64)] * 3
@@ -261,7 +267,7 @@ def _apart(block: int):
                 yield told(*(h[:cut] for h in held))
                 held = [h[cut:] for h in held]
             if len(held[0]) > 2 * block:  # a very long run streams through; what is kept of it stays over the limit
-                yield pa.record_batch([pa.array(h[: -block - 1]) for h in held[:2]], ["variant", "node"])
+                yield pa.record_batch([pa.array(~(held[0][: -block - 1] >> 1)), pa.array(held[1][: -block - 1])], ["key", "node"])
                 held = [h[-block - 1 :] for h in held]
         if len(held[0]):
             yield told(*held)
@@ -383,8 +389,8 @@ def near_classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     nodes = materialise(joined.select("node", F.coalesce("label", "node").alias("label"), "bits"), "fingerprint-nodes")
     variants = nodes.select("node", "label", "bits").mapInArrow(_near_variants, "variant long, node long, label long")
     dealt = variants.repartition(partitions(variants), F.shiftright("variant", 1)).sortWithinPartitions("variant")
-    apart = materialise(dealt.mapInArrow(_apart(block), "variant long, node long"), "variants-apart")
-    lists = apart.groupBy("node").agg(F.collect_list(F.shiftright("variant", 1)).alias("keys"))  # at most one for each bit
+    apart = materialise(dealt.mapInArrow(_apart(block), "key long, node long").distinct(), "variants-apart")
+    lists = apart.groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most one for each bit
     met = nodes.join(lists, "node").select(F.explode("keys").alias("key"), "label", "bits")
     labels = components(_near_met(met, block, "variant-links")).toDF("was", "now")
     classes = nodes.join(labels, nodes["label"] == labels["was"], "left").select("node", F.coalesce("now", "label").alias("component"))

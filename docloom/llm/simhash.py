@@ -223,8 +223,8 @@ _SHORT = 8
 def _apart(block: int):
     """Keys and nodes of the runs (rows come sorted) whose members have different labels and both values of the wildcard bit:
     members with one value have equal segments and have met before. Of those, members stay that have another with the other
-    value, another label and a like head beside them. The key is the segment that the more of them have, so that these have
-    one key for all its bits, and the others visit it. Runs over ``block`` pass as they are, under keys of their own."""
+    value, another label and a like head beside them. The key is the segment that the more of them have: those are found by it, so
+    only the others, who visit it, go on. Runs over ``block`` pass as they are, under keys of their own."""
 
     def told(v, node, label):
         start = np.flatnonzero(np.append(True, (v[1:] ^ v[:-1]) > 1))
@@ -253,7 +253,8 @@ def _apart(block: int):
         host = np.repeat(2 * ones > every, size).astype(np.int64)
         number = v >> 33
         key = (number // SEGMENT << 32) | (v >> 1 & 0xFFFFFFFF) | host << number % SEGMENT
-        key = np.where(np.repeat(size > block, size), ~(v >> 1), key)
+        long = np.repeat(size > block, size)
+        key, kept = np.where(long, ~(v >> 1), key), kept & ((v & 1) != host) | long
         return pa.record_batch([pa.array(key[kept]), pa.array(node[kept])], ["key", "node"])
 
     def work(batches):
@@ -389,9 +390,9 @@ def near_classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     nodes = materialise(joined.select("node", F.coalesce("label", "node").alias("label"), "bits"), "fingerprint-nodes")
     variants = nodes.select("node", "label", "bits").mapInArrow(_near_variants, "variant long, node long, label long")
     dealt = variants.repartition(partitions(variants), F.shiftright("variant", 1)).sortWithinPartitions("variant")
-    apart = materialise(dealt.mapInArrow(_apart(block), "key long, node long").distinct(), "variants-apart")
-    lists = apart.groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most one for each bit
-    met = nodes.join(lists, "node").select(F.explode("keys").alias("key"), "label", "bits")
+    visits = materialise(dealt.mapInArrow(_apart(block), "key long, node long"), "variants-apart").distinct()
+    hosts = nodes.select("label", "bits").mapInArrow(_segments, "key long, label long, bits binary").join(visits.select("key").distinct(), "key", "left_semi")
+    met = visits.join(nodes, "node").select("key", "label", "bits").unionByName(hosts)
     labels = components(_near_met(met, block, "variant-links")).toDF("was", "now")
     classes = nodes.join(labels, nodes["label"] == labels["was"], "left").select("node", F.coalesce("now", "label").alias("component"))
     return own.select("doc_id", "text_hash", "node").join(classes, "node").select("doc_id", "text_hash", "component")

@@ -11,7 +11,7 @@ from docloom.registry import query
 
 from .retrieval import BASE as RETRIEVAL
 from .retrieval import children, parents
-from .tables import LINES_SQL, lines, table
+from .tables import LINES_SQL, lines, table, trim_as_sql
 
 
 def contents(spark, sf_dir):
@@ -141,10 +141,21 @@ def toc_chunks(spark, sf_dir):
     return chunks.select("doc_id", "part", is_toc_chunk(path, F.col("text")).alias("is_toc"))
 
 
+def verified(rows, letters):
+    """References of lines: one that is extracted, and of those supplied the ``letters`` in capitals and one that no line has."""
+    rows = rows.select("doc_id", "line_no", "text", F.array(F.lit("§1")).alias("extracted"), F.array(F.upper(letters), F.lit("nowhere to be found")).alias("supplied"))
+    return D.verified_references(rows).select("doc_id", "line_no", F.array_sort("references").alias("refs"))
+
+
 @query("d13_verified_references", f"""WITH {LINES_SQL} SELECT doc_id, line_no, list_sort(list_distinct(['§1'] || list_filter([upper(left(text, 3)), 'nowhere to be found'], lambda r: contains(lower(text), lower(r))))) AS refs FROM lines WHERE regexp_matches(text, '^[A-Za-z]{{3}}')""")
 def references(spark, sf_dir):
-    rows = lines(spark, sf_dir).select("doc_id", "line_no", "text", F.array(F.lit("§1")).alias("extracted"), F.array(F.upper(F.substring("text", 1, 3)), F.lit("nowhere to be found")).alias("supplied"))
-    return D.verified_references(rows).select("doc_id", "line_no", F.array_sort("references").alias("refs"))
+    return verified(lines(spark, sf_dir, trim_as_sql).where(F.col("text").rlike("^[A-Za-z]{3}")), F.substring("text", 1, 3))
+
+
+@query("d13_verified_references_whole", f"""WITH {LINES_SQL} SELECT doc_id, line_no, list_sort(list_distinct(['§1'] || list_filter([upper(regexp_extract(text, '[A-Za-z]{{3}}')), 'nowhere to be found'], lambda r: r <> '' AND contains(lower(text), lower(r))))) AS refs FROM lines""")
+def references_whole(spark, sf_dir):
+    """All lines, with their first three letters in a row wherever these stand; some lines have none."""
+    return verified(lines(spark, sf_dir, trim_as_sql), F.regexp_extract("text", "[A-Za-z]{3}", 0))
 
 
 @query("c5_link_neighbors", f"""WITH {RETRIEVAL} SELECT document_id, id, CASE WHEN lag(section_id) OVER w = section_id OR lag(chapter) OVER w = chapter THEN lag(id) OVER w END AS prev_id,

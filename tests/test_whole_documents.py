@@ -35,3 +35,18 @@ def test_no_line_is_left_out(spark, long):
     outline = {r.idx: r.target_page for r in q["d4_merge_outline"](spark, long).where("doc_id = 0").collect()}
     assert outline[100] == 101 and 104 not in outline and outline[249] == 249
     assert q["d6_appendix_at_page"](spark, long).where("doc_id = 0").count() == 250
+
+
+def test_references_of_lines_that_begin_otherwise(spark, tmp_path):
+    """Only lines that begin with three letters are d13's; the whole twin has all others too. White space is what the SQL takes for it."""
+    texts = ["Abc one\n1 two\nÉtude of it\nab\n\n  xyz Nowhere to be found\nab1 cdef\n§ 7", None, "", "é", "Part", "\u00a0abc\n\u3000\n\t\f xyz \r\n\x0babc\nabc \x85"]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    narrow = {(0, 0): ["ABC", "§1"], (0, 5): ["XYZ", "nowhere to be found", "§1"], (4, 0): ["PAR", "§1"], (5, 2): ["XYZ", "§1"], (5, 4): ["ABC", "§1"]}
+    others = {(0, 1): ["TWO", "§1"], (0, 2): ["TUD", "§1"], (0, 3): ["§1"], (0, 6): ["CDE", "§1"], (0, 7): ["§1"], (3, 0): ["§1"], (5, 0): ["ABC", "§1"], (5, 1): ["§1"], (5, 3): ["ABC", "§1"]}
+    for name, want in (("d13_verified_references", narrow), ("d13_verified_references_whole", narrow | others)):
+        rows = registry.queries()[name](spark, str(tmp_path)).select("doc_id", "line_no", "refs").collect()
+        assert {(r.doc_id, r.line_no): r.refs for r in rows} == want and len(rows) == len(want)
+        assert sorted(map(tuple, rows)) == sorted(con.execute(f"SELECT doc_id, line_no, refs FROM ({registry.oracle_sql()[name]})").fetchall())

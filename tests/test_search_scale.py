@@ -1,10 +1,13 @@
 """Search against plain Python, with several blocks, and the spread of hot keys."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions.frames import spread_join
+from docloom.operators import postings
 from docloom.operators import retrieval as R
 
 CHILD = "id long, parent_id long, document_id long, search_text string, embedding array<float>"
@@ -68,6 +71,30 @@ def test_patterns_against_plain_python(spark):
     assert sorted((r.child_id, r.pattern, r.n) for r in found) == sorted((i, p, t.count(p)) for i, t in enumerate(texts) if t for p in patterns if p in t)
 
 
+def test_a_long_text_is_searched_in_linear_time(spark):
+    """A text of 600,000 characters, cut for hashing between them, and one of its own pieces at each cut."""
+    rng = np.random.default_rng(6)
+    text = "".join(rng.choice(list("abcdefgh é"), 600_000))
+    patterns = [text[i : i + 12] for i in (0, 299_990, 599_988)] + ["not in it at all"]
+    rows = spark.createDataFrame([(1, 1, text), (2, 2, text[:100] * 2)], "child_id long, parent_id long, text string")
+    began = time.time()
+    found = R._occurrences(rows, spark.createDataFrame([(p,) for p in patterns], "pattern string")).collect()
+    assert time.time() - began < 40
+    assert sorted((r.child_id, r.pattern, r.n) for r in found) == sorted((i, p, t.count(p)) for i, t in ((1, text), (2, text[:100] * 2)) for p in patterns if p in t)
+
+
+def test_texts_are_cut_between_runs(spark, monkeypatch):
+    """The same with cuts every few bytes: no run is lost at one."""
+    texts = spark.createDataFrame([(i, "ab" * i + "cé" + "xyz" * (9 - i)) for i in range(10)] + [(10, "")], "id long, text string")
+    rows = texts.select("id", F.lit(7).cast("long").alias("scope"), F.col("text").cast("binary").alias("text"))
+    every, bits = [], b"\xff" * 128
+    for chunk in (1 << 20, 4):
+        monkeypatch.setattr(postings, "CHUNK", chunk)
+        every.append(sorted(map(tuple, postings._runs(rows, (1, 3, 5), bits).collect())))
+    want = {(r.id, n, r.text.encode()[i : i + n]) for r in texts.collect() for n in (1, 3, 5) for i in range(len(r.text.encode()) - n + 1)}
+    assert every[0] == every[1] == sorted(set(every[0])) and len(every[0]) == len(want)
+
+
 def test_a_hot_term_is_dealt_over_many_tasks(spark):
     """One word in nine of ten children: no task of the join gets many times the rows of the others."""
     n = 20_000

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.frames import united
+from docloom.functions.frames import stored, united
 from docloom.functions.references import cross_references
 
 from . import postings
@@ -164,7 +164,8 @@ def document_boundaries(pages: DataFrame, outline: DataFrame) -> DataFrame:
     p = pages.withColumn("head", F.array_join(F.slice(lines, 1, 6), " "))
     code, title = F.trim(F.coalesce("code", F.lit(""))), F.trim(F.coalesce("title", F.lit("")))
     label = F.when((code != "") & (title != "") & ~F.startswith(F.lower(title), F.lower(code)), F.concat(code, F.lit(" - "), title)).when(title != "", title).otherwise(code)
-    o = outline.select("doc_id", "idx", "target_page", label.alias("label"), F.concat_ws(" ", "code", "title").rlike(ATTACHED).alias("attached"), F.when(~F.coalesce("code", F.lit("")).rlike(r"\d+\.\d+") & (title != ""), F.lower("title")).alias("top"))
+    # what an outline is made of is long, and it is read three times
+    o = stored(outline.select("doc_id", "idx", "target_page", "code", "title"), "outline").select("doc_id", "idx", "target_page", label.alias("label"), F.concat_ws(" ", "code", "title").rlike(ATTACHED).alias("attached"), F.when(~F.coalesce("code", F.lit("")).rlike(r"\d+\.\d+") & (title != ""), F.lower("title")).alias("top"))
     # by the page that an entry points to, and by its title in an index of the pages' first lines
     pointed = o.where("attached").select("doc_id", F.col("target_page").alias("page"), "idx", "label")
     heads = p.select(F.struct("doc_id", "page").alias("id"), F.col("doc_id").alias("scope"), F.lower("head").alias("text")).distinct()

@@ -21,17 +21,19 @@ def plans(spark, sf_dir):
 
 
 def found(spark, sf_dir):
+    """Written once: quotes and context both come from it."""
     p = P.parents(spark, sf_dir).select(F.col("id").alias("parent_id"), "document_id", "chunk_index", "text")
     rows = P.fused(spark, sf_dir).join(p, "parent_id")
-    return rows.select(F.col("query_id").alias("question_id"), "position", F.col("parent_id").cast("string").alias("chunk_id"), "document_id", "chunk_index", "text")
+    return stored(rows.select(F.col("query_id").alias("question_id"), "position", F.col("parent_id").cast("string").alias("chunk_id"), "document_id", "chunk_index", "text"), "found")
 
 
-def evidence(spark, sf_dir):
+def evidence(spark, sf_dir, rows=None):
     """A literal quote, a quote with a gap, and a changed one, for the first three chunks of each question."""
     words = F.split("text", r"\s+")
     piece = lambda a, n: F.array_join(F.slice(words, a, n), " ")
     quote = F.when(F.col("position") == 1, piece(1, 8)).when(F.col("position") == 2, F.concat(piece(1, 5), F.lit(" ... "), piece(9, 5))).otherwise(F.concat(piece(1, 4), F.lit(" never said at all")))
-    return found(spark, sf_dir).where("position <= 3").select("question_id", F.concat(F.lit("h"), F.col("position").cast("string")).alias("hop_id"), "chunk_id", quote.alias("quote"))
+    rows = found(spark, sf_dir) if rows is None else rows
+    return rows.where("position <= 3").select("question_id", F.concat(F.lit("h"), F.col("position").cast("string")).alias("hop_id"), "chunk_id", quote.alias("quote"))
 
 
 def chunks(spark, sf_dir):
@@ -45,8 +47,8 @@ def updates(spark, sf_dir, told=None):
     return rows.select("question_id", "hop_id", F.lit("resolved").alias("status"), value.alias("value"), prior.alias("bindings"), F.array(F.struct("chunk_id", "quote")).alias("evidence"), F.lit("").alias("reason"))
 
 
-def resolved(spark, sf_dir):
-    told = stored(evidence(spark, sf_dir), "evidence")
+def resolved(spark, sf_dir, rows=None):
+    told = stored(evidence(spark, sf_dir, rows), "evidence")
     return E.resolve_hops(plans(spark, sf_dir), updates(spark, sf_dir, told), E.verify_quotes(told, chunks(spark, sf_dir)))
 
 
@@ -151,14 +153,15 @@ def merged(spark, sf_dir):
     return E.merge_rounds(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("question_id"), F.floor(t / 2).alias("attempt"), t.alias("seq"), F.when(t % 3 > 0, F.col("text")).alias("text"), "role"))
 
 
-def sized(spark, sf_dir):
-    return found(spark, sf_dir).select("question_id", F.col("position").alias("pos"), "chunk_id", F.col("document_id").cast("string").alias("document_id"), "chunk_index", F.char_length("text").alias("length"))
+def sized(rows):
+    return rows.select("question_id", F.col("position").alias("pos"), "chunk_id", F.col("document_id").cast("string").alias("document_id"), "chunk_index", F.char_length("text").alias("length"))
 
 
 @query("e10_select_context")
 def context(spark, sf_dir):
-    bundles = resolved(spark, sf_dir).where("status = 'resolved'").select("question_id", F.substring("hop_id", 2, 9).cast("int").alias("pos"), F.transform("evidence", lambda x: x["chunk_id"]).alias("chunk_ids"))
-    return E.select_context(sized(spark, sf_dir), bundles, 10, 6_000)
+    rows = found(spark, sf_dir)
+    bundles = resolved(spark, sf_dir, rows).where("status = 'resolved'").select("question_id", F.substring("hop_id", 2, 9).cast("int").alias("pos"), F.transform("evidence", lambda x: x["chunk_id"]).alias("chunk_ids"))
+    return E.select_context(sized(rows), bundles, 10, 6_000)
 
 
 @query("e11_simple_context", f"""WITH RECURSIVE {P.BASE}, rows AS (SELECT query_id AS question_id, CAST(parent_id AS VARCHAR) AS chunk_id, length(p.text) AS len,
@@ -167,7 +170,7 @@ walk AS (SELECT DISTINCT question_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT)
     UNION ALL SELECT r.question_id, r.n, CASE WHEN used > 4000 AND used + len > 6000 THEN used ELSE used + len END, CASE WHEN used > 4000 AND used + len > 6000 THEN NULL ELSE r.chunk_id END FROM walk w JOIN rows r ON r.question_id = w.question_id AND r.n = w.n + 1)
 SELECT question_id, chunk_id FROM walk WHERE chunk_id IS NOT NULL""")
 def simple(spark, sf_dir):
-    return E.simple_context(sized(spark, sf_dir), 10, 6_000)
+    return E.simple_context(sized(found(spark, sf_dir)), 10, 6_000)
 
 
 @query("e12_citations", f"""WITH {P.BASE} SELECT id, CASE WHEN chunk_index % 3 = 0 THEN page_number || '-' || (page_number + part % 2) WHEN chunk_index % 3 = 1 THEN CAST(page_number AS VARCHAR) ELSE CAST(chunk_index + 1 AS VARCHAR) END AS page,

@@ -72,19 +72,15 @@ def build_units(lines: DataFrame, widths: DataFrame) -> DataFrame:
 
 def diff_moved(old: DataFrame, new: DataFrame, counts: DataFrame) -> DataFrame:
     """``counts`` (of units.diff_counts) with kept and moved in place of same. Documents without any added or removed unit
-    and equal order still need the comparison only if they changed at all, so unchanged ones are told by one hash."""
-    order = lambda df: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "hash"))), lambda x: x["hash"]), ","))
-    a, b = (df.groupBy("doc_id").agg(order(df).alias(n)) for df, n in ((old, "_a"), (new, "_b")))
-    changed = a.join(b, "doc_id").where("_a <> _b").select("doc_id")
-
-    def fold(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        n = folds.kept_in_order(list(x.sort_values("position")["hash"]), list(y.sort_values("position")["hash"]))
-        return pd.DataFrame({"doc_id": [(x if len(x) else y)["doc_id"].iloc[0]], "kept": [n]})
-
-    # units of one side only never meet the fold
-    pick = lambda df, other: df.join(changed, "doc_id", "left_semi").join(other.select("doc_id", "hash").distinct(), ["doc_id", "hash"], "left_semi").select(F.col("doc_id").alias("doc_id"), "position", "hash").groupBy("doc_id")
-    kept = pick(old, new).cogroup(pick(new, old)).applyInPandas(fold, "doc_id long, kept long")
-    kept = changed.join(kept, "doc_id", "left").na.fill(0, ["kept"])
+    and equal order still need the comparison only if they changed at all. A document's hashes are one row of either side."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("position", "hash"))), lambda x: x["hash"])
+    a, b = (df.groupBy("doc_id").agg(listed.alias(n)) for df, n in ((old, "_a"), (new, "_b")))
+
+    @F.pandas_udf("long")
+    def in_order(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([folds.kept_in_order(list(m), list(n)) for m, n in zip(x, y)], dtype="int64")
+
+    kept = a.join(b, "doc_id").where("_a <> _b").select("doc_id", in_order("_a", "_b").alias("kept"))
     found = counts.join(kept, "doc_id", "left").withColumn("kept", F.coalesce("kept", "same"))
     return found.select("doc_id", "kept", (F.col("same") - F.col("kept")).alias("moved"), "added", "removed")
 
@@ -93,24 +89,31 @@ def link_units(units: DataFrame, chunks: DataFrame) -> DataFrame:
     """doc_id, position, chunk_id of each unit: the chunk on its page that holds it, tried from the last unit's chunk onwards
     and then from the start. units: doc_id, position, page, text; chunks: doc_id, chunk_id, chunk_index, source_pages, text.
 
-    A unit meets the chunks of its page alone, by an equality join, and is looked up in the places of their words. What
-    depends on reading order, the last hit, is a fold over the numbers of chunks that hold each unit, without any text."""
+    A page's units and its chunks are one row each, so every text goes to Python once a page. What depends on reading order,
+    the last hit, is a fold over the numbers of chunks that hold each unit, without any text."""
 
-    @F.pandas_udf("boolean")
-    def held(unit: pd.Series, chunk: pd.Series) -> pd.Series:
-        places = {c: folds.word_places(c) for c in set(chunk)}
-        return pd.Series([bool(w := folds.match_words(u)) and folds.holds(w, places[c]) for u, c in zip(unit, chunk)])
+    @F.pandas_udf("array<array<int>>")
+    def held(units: pd.Series, chunks: pd.Series, numbers: pd.Series) -> pd.Series:
+        found = []
+        for u, c, n in zip(units, chunks, numbers):
+            places = [] if c is None else [(int(k), folds.word_places(x)) for k, x in zip(n, c)]
+            found.append([[k for k, p in places if w and folds.holds(w, p)] for w in map(folds.match_words, u)])
+        return pd.Series(found)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        return pdf[["doc_id", "position"]].assign(number=pd.array(folds.follow(pdf["numbers"]), "Int32"))
+    @F.pandas_udf("array<int>")
+    def followed(numbers: pd.Series) -> pd.Series:
+        return numbers.map(folds.follow)
 
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index", "chunk_id")) - 1
-    numbered = chunks.select("doc_id", "chunk_id", number.alias("number"))
-    paged = chunks.join(numbered.select("doc_id", "chunk_id", "number"), ["doc_id", "chunk_id"]).select("doc_id", "number", F.explode(F.array_distinct("source_pages")).alias("page"), F.coalesce("text", F.lit("")).alias("chunk"))
-    met = units.select("doc_id", "position", "page", F.coalesce("text", F.lit("")).alias("text")).join(paged, ["doc_id", "page"])
-    hits = met.where(held("text", "chunk")).groupBy("doc_id", "position").agg(F.array_sort(F.collect_list("number")).alias("numbers"))
-    read = units.select("doc_id", "position").join(hits, ["doc_id", "position"], "left").groupBy("doc_id").applyInPandas(fold, "doc_id long, position int, number int")
+    numbered = chunks.select("doc_id", "chunk_id", number.alias("number"), "source_pages", F.coalesce("text", F.lit("")).alias("chunk"))
+    rows = lambda *columns: F.array_sort(F.collect_list(F.struct(*columns)))
+    near = numbered.select("doc_id", "number", "chunk", F.explode(F.array_distinct("source_pages")).alias("page")).groupBy("doc_id", "page").agg(rows("number", "chunk").alias("near"))
+    pages = units.select("doc_id", F.col("position").cast("int").alias("position"), "page", F.coalesce("text", F.lit("")).alias("text")).groupBy("doc_id", "page").agg(rows("position", "text").alias("own"))
+    met = pages.join(near, ["doc_id", "page"], "left").select("doc_id", F.col("own.position").alias("position"), held("own.text", "near.chunk", "near.number").alias("numbers"))
+    hits = met.select("doc_id", F.inline(F.arrays_zip("position", "numbers"))).groupBy("doc_id").agg(rows("position", "numbers").alias("read"))
+    read = hits.select("doc_id", F.col("read.position").alias("position"), followed("read.numbers").alias("number"))
+    read = read.select("doc_id", F.inline(F.arrays_zip("position", "number")))
+    numbered = numbered.select("doc_id", "chunk_id", "number")
     return read.join(numbered, ["doc_id", "number"], "left").select("doc_id", "position", "chunk_id")
 
 

@@ -61,9 +61,8 @@ def built(spark, sf_dir):
 @query("t7_kept_and_moved")
 def moved(spark, sf_dir):
     old = lines(spark, sf_dir)
-    new = new_lines(old)
-    numbered = lambda df: units.with_hash(df).withColumn("position", F.col("line_no"))
-    a, b = numbered(old), numbered(new)
+    numbered = lambda df: stored(units.with_hash(df).select("doc_id", F.col("line_no").alias("position"), "hash"), "unit-hashes")
+    a, b = numbered(old), numbered(new_lines(old))
     return O.diff_moved(a, b, units.diff_counts(a, b))
 
 

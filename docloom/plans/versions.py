@@ -10,7 +10,7 @@ from docloom.operators import documents, units
 from docloom.operators import versioning as V
 from docloom.registry import query
 
-from .tables import LINES_SQL, NEW_LINES_SQL, hash_sql, lines, new_lines, table
+from .tables import LINES_SQL, NEW_LINES_SQL, hash_sql, lines, new_lines, stored, table
 from .text import DIFF_SQL
 
 NEW = 5_000_000_000
@@ -67,8 +67,9 @@ def gate(spark, sf_dir):
 @query("v1_change_gate_moved")
 def gate_moved(spark, sf_dir):
     """The gate with kept and moved units; every ninth document has its lines in reverse."""
-    old, new = (units.with_hash(lines(spark, sf_dir)).withColumn("position", F.col("line_no")) for _ in "ab")
-    new = new.where("doc_id % 3 > 0 or line_no > 0").withColumn("position", F.when(F.col("doc_id") % 9 == 0, -F.col("line_no")).otherwise(F.col("line_no")))
+    hashed = stored(units.with_hash(lines(spark, sf_dir)).select("doc_id", "line_no", "hash"), "unit-hashes")
+    old = hashed.withColumn("position", F.col("line_no"))
+    new = hashed.where("doc_id % 3 > 0 or line_no > 0").withColumn("position", F.when(F.col("doc_id") % 9 == 0, -F.col("line_no")).otherwise(F.col("line_no")))
     diff = documents.diff_moved(old, new, units.diff_counts(old, new))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit("new").alias("file_hash"))
     return V.change_gate(docs, docs.select(F.col("document_id").alias("id"), F.lit("old").alias("file_hash")), diff)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.frames import united
+from docloom.functions.frames import stored, united
 
 
 def change_gate(uploads: DataFrame, documents: DataFrame, diff: DataFrame) -> DataFrame:
@@ -95,15 +95,21 @@ def apply_children(current: DataFrame, new: DataFrame, plan: DataFrame, versions
     search_text, chunk_index."""
     fit = versions.where("version = current_version + 1").select("document_id", "version")
     fresh = new.join(fit, "document_id").select("document_id", F.col("id").alias("new_id"), F.col("search_text").alias("_text"), F.col("chunk_index").alias("_index"), "version")
+    # the plan has no texts; of the new ones only those that are told go on, once, and each is encoded in one place
+    plan = stored(plan, "children-plan")
     changed = plan.where("new_id is not null").select("old_id", "new_id", F.col("parent_id").alias("_parent"), "action", "reembed").join(fresh, "new_id")
-    made = encode(changed.where("reembed").select("new_id", F.col("_text").alias("search_text"))).select("new_id", F.col("embedding").alias("_vector"))
-    changed = changed.join(made, "new_id", "left")
+    changed = stored(changed.withColumn("_text", F.when(F.col("reembed") | (F.col("action") == "added"), F.col("_text"))), "changed-children")
+
+    def with_vector(rows: DataFrame) -> DataFrame:
+        again = encode(rows.where("reembed").withColumn("search_text", F.col("_text"))).drop("search_text").withColumnRenamed("embedding", "_vector")
+        return united([again, rows.where("not coalesce(reembed, false)").withColumn("_vector", F.lit(None).cast(again.schema["_vector"].dataType))])
+
     gone = plan.where("action = 'removed'").select(F.col("old_id").alias("id"), F.lit(True).alias("_gone"))
-    kept = changed.where("action = 'kept'").select(F.col("old_id").alias("id"), "_index", F.when(F.col("reembed"), F.col("_text")).alias("_text"), "_vector")
+    kept = with_vector(changed.where("action = 'kept'")).select(F.col("old_id").alias("id"), "_index", F.when(F.col("reembed"), F.col("_text")).alias("_text"), "_vector")
     rows = current.join(gone, "id", "left").join(fit, "document_id", "left").join(kept, "id", "left")
     closed = F.coalesce("removed_in", F.when(F.col("_gone"), F.col("version")))
     old = rows.select("document_id", "id", "parent_id", F.coalesce("_text", "search_text").alias("search_text"), F.coalesce("_index", "chunk_index").alias("chunk_index"), F.coalesce("_vector", "embedding").alias("embedding"), "added_in", closed.alias("removed_in"))
-    added = changed.where("action = 'added'")
+    added = with_vector(changed.where("action = 'added'"))
     return united([old, added.select("document_id", F.col("new_id").alias("id"), F.col("_parent").alias("parent_id"), F.col("_text").alias("search_text"), F.col("_index").alias("chunk_index"), F.col("_vector").alias("embedding"), F.col("version").alias("added_in"), F.lit(None).cast("int").alias("removed_in"))])
 
 

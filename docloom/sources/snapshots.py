@@ -14,9 +14,13 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.frames import stored
+
+#: As many documents that are replaced may be sent to all tasks.
+BROADCAST_DOCUMENTS = 1_000_000
 MANIFEST = "version long, name string, part string, folder string"
 
 
@@ -36,12 +40,17 @@ def current(spark: SparkSession, path: str, name: str, parts: list[str] | None =
     return spark.read.parquet(*(f"{path}/data/{f}" for f in folders)) if folders else None
 
 
+def _save(rows: DataFrameWriter, folder: str) -> None:
+    """Folders of versions before stay for their readers, so they are packed tightly."""
+    rows.option("compression", "zstd").parquet(folder)
+
+
 def publish(spark: SparkSession, path: str, changes: list[tuple[str, str, DataFrame]]) -> None:
     """Makes a new version in which each (table, part, rows) of ``changes`` is what these rows are. All of them show at once."""
     written = {}
     for name, part, rows in changes:
         folder = f"{name}-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{path}/data/{folder}")
+        _save(rows.write, f"{path}/data/{folder}")
         written[name, part] = folder
     switch(spark, path, written)
 
@@ -63,15 +72,16 @@ def replace_documents(spark: SparkSession, path: str, tables: dict[str, DataFram
     those in ``documents``, which may have no rows any more. Only the buckets that these fall in are written anew: what
     they hold of other documents is merged in, so callers give no more than their own documents."""
     own = [df.select("document_id") for df in [*tables.values(), *([documents] if documents is not None else [])]]
-    gone = reduce(DataFrame.unionByName, own).distinct()
+    gone = stored(reduce(DataFrame.unionByName, own).distinct(), "replaced-documents")
+    listed = F.broadcast(gone) if gone.count() <= BROADCAST_DOCUMENTS else gone
     touched = sorted(r[0] for r in gone.select(bucket_of(buckets)).distinct().collect())  # at most one row a bucket
     written = {}
     for name, rows in tables.items():
         before = current(spark, path, name, [str(b) for b in touched])
         if before is not None:
-            rows = before.join(gone, "document_id", "left_anti").unionByName(rows, allowMissingColumns=True)
+            rows = before.join(listed, "document_id", "left_anti").unionByName(rows, allowMissingColumns=True)
         folder = f"{name}-{uuid.uuid4().hex}"
-        rows.withColumn("bucket", bucket_of(buckets)).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/data/{folder}")
+        _save(rows.withColumn("bucket", bucket_of(buckets)).repartition("bucket").write.partitionBy("bucket"), f"{path}/data/{folder}")
         held = {r[0] for r in spark.read.schema("bucket int").parquet(f"{path}/data/{folder}").distinct().collect()}
         written |= {(name, str(b)): f"{folder}/bucket={b}" for b in touched if b in held}
         empty = [b for b in touched if b not in held]
